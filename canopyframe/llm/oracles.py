@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_dedup, mixing
 
 CHAT = r"""
 WITH turns AS (
@@ -87,3 +87,21 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, array_to_string(shards[1:copies], ',') AS shards FROM taken
 """
+
+
+def line_dedup_sql() -> str:
+    return rf"""
+WITH lines AS (
+  SELECT doc_id, source, pos, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS cut FROM (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
+), spread AS (
+  SELECT cut, min((doc_id, pos)) AS first FROM lines WHERE length(cut) >= {line_dedup.MIN_CHARS}
+  GROUP BY cut HAVING count(DISTINCT coalesce(source, chr(0))) >= {line_dedup.MIN_SITES}
+), judged AS (
+  SELECT l.*, s.cut IS NOT NULL AND s.first <> (l.doc_id, l.pos) AS goes FROM lines l LEFT JOIN spread s ON l.cut = s.cut
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, sum(goes::INT)::BIGINT AS n_removed, coalesce(string_agg(CASE WHEN NOT goes THEN line END, chr(10) ORDER BY pos), '') AS text FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(coalesce(k.text, ''))::BIGINT AS kept_chars, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""

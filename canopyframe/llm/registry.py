@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, oracles
+from . import chat_format, decontaminate, language_id, line_dedup, mixing, oracles, simhash
 from ._shared import table
 
 
@@ -11,11 +11,16 @@ def _documents(f):
 
 
 QUERIES = {
+    "op4_simhash_pivot_tables": _documents(simhash.digest),
+    "op5_language_word_backoff": _documents(language_id.identify),
+    "op6_benchmark_pigeonhole_edits": lambda spark, sf_dir: decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op8_chat_grammar_round_trip": lambda spark, sf_dir: chat_format.digest(chat_format.with_trial(table(spark, sf_dir, "conversations"))),
     "op9_mixing_hypergeometric_tree": _documents(mixing.digest),
+    "op10_line_site_spread": _documents(line_dedup.digest),
 }
 
 ORACLES = {
     "op8_chat_grammar_round_trip": oracles.CHAT,
     "op9_mixing_hypergeometric_tree": oracles.mixing_sql(),
+    "op10_line_site_spread": oracles.line_dedup_sql(),
 }
