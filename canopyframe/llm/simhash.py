@@ -2,59 +2,85 @@
 
 Fingerprints: A-Z lower-cased, words cut at ASCII white space, word shingles
 with repeats, XXH64 (seed 42) of each, a bit set where over half the hashes
-have it set.
+have it set.  Wider fingerprints mix each hash into further 64-bit words.
 
 Links: fingerprints at most ``radius`` bits apart.  Equal fingerprints fold to
-one first.  The 64 bits are cut into ``blocks`` pieces; two fingerprints within
-the radius agree on at least ``blocks - radius`` of them, so each fingerprint is
-dealt to one bucket per choice of that many pieces, and every link meets in
-some bucket.  Within a bucket each fingerprint has a table of its Hamming
-distances to reference fingerprints; a pair whose tables differ by more than
-the radius in any coordinate is discarded, survivors are verified.  A bucket
-gives one link per fingerprint that it ties to an earlier one, never all
-pairs; connected components then run over these links.
-
-A bucket of more than ``SPLIT`` fingerprints is dealt again by its distances to
-two pivots: a link's distances differ by the radius at most, so each
-fingerprint goes to the cells (``2 * radius + 1`` wide) that it can share with
-a link, and only there meets others.
+one first.  Fingerprints are dealt to buckets, and meet only there:
+
+* a small radius, exactly: the 64 bits are cut into ``blocks`` pieces; two
+  fingerprints within the radius agree on at least ``blocks - radius`` of them,
+  so there is a bucket for each choice of that many pieces;
+* a large radius (:func:`near_copies`): buckets by sampled bits, as many
+  samples as the wanted recall needs at the number of fingerprints there are.
+
+Within a bucket each fingerprint has a table of its Hamming distances to
+reference fingerprints; a pair whose tables differ by more than the radius in
+any coordinate is discarded, survivors are verified.  A bucket gives one link
+per fingerprint that it ties to another, never all pairs; connected components
+then run over these links.
+
+A bucket of more than ``SPLIT`` fingerprints is dealt again.  Under a small
+radius: by the distances to two pivots, which differ by the radius at most for
+a link, so each fingerprint goes to the cells (``2 * radius + 1`` wide) that it
+can share with a link; no link is lost.  Under sampled bits: by a salt that
+differs from sample to sample.
 
 Defined cases: null text has no words; fewer words than a shingle are one
 shingle; no words give fingerprint 0, linked like any other; repeated rows are
 separate documents of one component; a component's id is its smallest doc_id
-that is not null (null if it has none); an empty table gives no rows.
+that is not null (null if it has none); an empty table gives no rows; other
+columns are ignored by the digest and carried by the filter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import checkpoint
+from ._shared import checkpoint, free_name
 from .components import components
 
 SEED = 42
 PIVOTS = 16
 SPLIT = 2048
+BLOCK = 64
+SMALL = 24
+#: near_copies: words of 64 bits, largest share of differing bits (five-word
+#: shingles of similarity 0.8 differ in 15 % of the bits), and the share of
+#: pairs that differ in ``USUAL`` of the bits which must meet in a bucket.
+WIDE, FAR_SHARE, USUAL, RECALL = 4, 0.15, 0.13, 0.95
 #: Hash bits of each byte value, most significant first.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def reference_fingerprints(n: int = PIVOTS) -> np.ndarray:
-    """The pivots: hashes of their own numbers."""
-    return np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(n)], dtype=np.uint64)
+def _mix(h: np.ndarray, word: int) -> np.ndarray:
+    """Another 64 bits from a hash (a multiply-xorshift finalizer)."""
+    if not word:
+        return h
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(0x9E3779B97F4A7C15 * word & (1 << 64) - 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def reference_fingerprints(n: int = PIVOTS, wide: int = 1) -> np.ndarray:
+    """The pivots, (n, wide): hashes of their own numbers."""
+    first = np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(n)], dtype=np.uint64)
+    return np.stack([_mix(first, w) for w in range(wide)], axis=1)
+
+
+def fingerprint(text: str | None, shingle: int = 3, wide: int = 1) -> list[int]:
+    """``wide`` unsigned 64-bit words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * wide
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
@@ -63,23 +89,31 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1]))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())]
-    data = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
-    if len(data) < 400:
-        set_bits = np.unpackbits(data, axis=1).sum(axis=0)
-    else:
-        set_bits = np.concatenate([np.bincount(data[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
-    return int.from_bytes(np.packbits(2 * set_bits > len(data)).tobytes(), "big")
+    base, out = np.array(hashes, dtype=np.uint64), []
+    for w in range(wide):
+        data = _mix(base, w).astype(">u8").view(np.uint8).reshape(-1, 8)
+        if len(data) < 400:
+            set_bits = np.unpackbits(data, axis=1).sum(axis=0)
+        else:
+            set_bits = np.concatenate([np.bincount(data[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
+        out.append(int.from_bytes(np.packbits(2 * set_bits > len(data)).tobytes(), "big"))
+    return out
 
 
-def with_fingerprints(documents: DataFrame, shingle: int = 3, name: str = "fp") -> DataFrame:
-    """The documents' other columns and their fingerprint, as a signed long; the text is dropped."""
-    kept = [c for c in documents.columns if c != "text"]
-    schema = documents.select(*(F.col(f"`{c}`") for c in kept), F.lit(0).cast("long").alias(name)).schema
+def fp_columns(wide: int) -> list[str]:
+    return [f"f{w}" for w in range(wide)]
+
+
+def with_fingerprints(documents: DataFrame, shingle: int = 3, wide: int = 1) -> DataFrame:
+    """``documents`` (whose other columns are not named f0, f1 ...) with signed fingerprint words instead of the text."""
+    kept, cols = [c for c in documents.columns if c != "text"], fp_columns(wide)
+    schema = documents.select(*kept, *(F.lit(0).cast("long").alias(c) for c in cols)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(found.view(np.int64))], [*kept, name])
+            found = np.array([fingerprint(t.as_py(), shingle, wide) for t in batch.column("text")], dtype=np.uint64).reshape(-1, wide)
+            words = np.ascontiguousarray(found.T).view(np.int64)
+            yield pa.record_batch([*(batch.column(c) for c in kept), *(pa.array(w) for w in words)], [*kept, *cols])
 
     return documents.mapInArrow(run, schema)
 
@@ -95,145 +129,217 @@ def pieces(radius: int) -> tuple[int, int]:
     return radius + 2, 2
 
 
-def bucket_keys(fp: Column, radius: int) -> Column:
-    """Array of bucket keys, (choice, bits), of a fingerprint."""
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")
+
+
+def piece_keys(radius: int) -> Column:
+    """Array of bucket keys, (choice, bits), of the fingerprint f0: every link shares one."""
     blocks, shared = pieces(radius)
     cuts = [round(i * 64 / blocks) for i in range(blocks + 1)]
     masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
+    chosen = [sum(masks[c] for c in some) for some in combinations(range(blocks), shared)]
+    return F.array(*(F.struct(F.lit(i).alias("choice"), F.col("f0").bitwiseAND(_signed(mask)).alias("bits")) for i, mask in enumerate(chosen)))
+
+
+def sample_keys(n: int, wide: int, usual: float = USUAL, recall: float = RECALL) -> Column:
+    """Array of bucket keys by sampled bits, for ``n`` fingerprints.
+
+    As many bits as give each unrelated fingerprint about one bucket of its
+    own, and as many samples as let the share ``recall`` of the pairs that
+    differ in ``usual`` of the bits meet.
+    """
+    bits = min(40, max(16, ceil(log2(max(n, 2)))))
+    samples = ceil(log(1 - recall) / log(1 - (1 - usual) ** bits))
+    draw = np.random.default_rng(SEED)
     keys = []
-    for i, chosen in enumerate(combinations(range(blocks), shared)):
-        mask = sum(masks[c] for c in chosen)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(signed).cast("long")).alias("bits")))
+    for i in range(samples):
+        at = draw.choice(64 * wide, bits, replace=False)
+        masks = [sum(1 << int(b % 64) for b in at if b // 64 == w) for w in range(wide)]
+        cut = [F.col(f"f{w}").bitwiseAND(_signed(m)) for w, m in enumerate(masks) if m]
+        keys.append(F.struct(F.lit(i).alias("choice"), F.xxhash64(*cut).alias("bits")))
     return F.array(*keys)
 
 
-def _link_group(fps: np.ndarray, radius: int, pivots: np.ndarray) -> list[tuple[int, int]]:
-    """Links (indices) that tie every fingerprint of a bucket to an earlier linked one, blockwise."""
-    tables = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
-    order = np.argsort(tables[:, 0], kind="stable")
-    fps, tables = fps[order], tables[order]
+def _cells(radius: int) -> Column:
+    """Cells of the distances to the first two pivots that a fingerprint can share with a linked one.
+
+    A cell covers ``2 * radius + 1`` distances; two distances at most ``radius``
+    apart share a cell of either the plain or the shifted grid.
+    """
+    width = 2 * radius + 1
+    first, second = (_signed(int(p)) for p in reference_fingerprints(2)[:, 0])
+    out = []
+    for i, shift in enumerate((0, radius)):
+        for j, other in enumerate((0, radius)):
+            d1 = F.bit_count(F.col("f0").bitwiseXOR(first)) + shift
+            d2 = F.bit_count(F.col("f0").bitwiseXOR(second)) + other
+            out.append(F.lit(1 + i * 2 + j) * 10_000 + F.floor(d1 / width) * 100 + F.floor(d2 / width))
+    return F.array(*(c.cast("long") for c in out))
+
+
+def _within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16) <= radius
+
+
+def _link_group(fps: np.ndarray, radius: int, tables: np.ndarray) -> list[tuple[int, int]]:
+    """Links (indices) that join exactly the fingerprints of a bucket that pairs within the radius join.
+
+    Groups grow by rounds: those last found are held, in blocks, against those
+    not yet found, so a group of copies costs little more than one round.
+    """
+    rest = np.argsort(tables[:, 0], kind="stable")
     found = []
-    upper = np.searchsorted(tables[:, 0], tables[:, 0] + np.int8(radius), side="right")
-    parent = np.arange(len(fps))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return int(i)
-
-    for i in range(len(fps)):
-        hi = int(upper[i])
-        if hi <= i + 1:
-            continue
-        near = np.flatnonzero((np.abs(tables[i + 1 : hi] - tables[i]) <= radius).all(axis=1)) + i + 1
-        near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
-        for j in near.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[b] = a
-                found.append((int(order[i]), int(order[j])))
+    while len(rest) > 1:
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            reached = [rest[:0]]
+            for at in range(0, len(front), BLOCK):
+                block = front[at : at + BLOCK]
+                # the distances to the first pivot are sorted: only a stretch of them can be near
+                lo = np.searchsorted(tables[rest, 0], tables[block, 0].min() - radius)
+                hi = np.searchsorted(tables[rest, 0], tables[block, 0].max() + radius, side="right")
+                got = [rest[:0]]
+                for start in range(lo, hi, 64 * BLOCK):
+                    some = rest[start : min(hi, start + 64 * BLOCK)]
+                    far = np.zeros((len(block), len(some)), dtype=bool)
+                    for p in range(tables.shape[1]):
+                        far |= np.abs(tables[block, p][:, None] - tables[some, p][None, :]) > radius
+                    i, j = np.nonzero(~far)
+                    near = _within(fps[block[i]], fps[some[j]], radius)
+                    j, once = np.unique(j[near], return_index=True)
+                    found += zip(block[i[near][once]].tolist(), some[j].tolist())
+                    got.append(some[j])
+                reached += got
+                rest = rest[~np.isin(rest, np.concatenate(got))]
+                if not len(rest):
+                    break
+            front = np.concatenate(reached)
     return found
 
 
-def _link_batches(radius: int):
-    """Rows sorted by bucket to links; a bucket may go on over several batches."""
-
-    def links_of(group: np.ndarray, fps: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _link_small(fps: np.ndarray, group: np.ndarray, radius: int, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of many small buckets at once: each fingerprint to the first of its linked ones."""
+    left, right = [], []
+    for offset in range(1, SMALL):
+        i = np.flatnonzero(group[:-offset] == group[offset:]) if offset < len(group) else group[:0]
+        if not len(i):
+            break
+        i = i[(np.abs(tables[i] - tables[i + offset]) <= radius).all(axis=1)]
+        i = i[_within(fps[i], fps[i + offset], radius)]
+        left.append(i)
+        right.append(i + offset)
+    if not left:
+        return group[:0], group[:0]
+    a, b = np.concatenate(left), np.concatenate(right)
+    label = np.arange(len(fps))
+    while True:
+        least = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    tied = np.flatnonzero(label != np.arange(len(fps)))
+    return label[tied], tied
+
+
+def _link_batches(radius: int, wide: int):
+    """Rows sorted by bucket to links between nodes; a bucket may go on over several batches."""
+
+    def links_of(group: np.ndarray, nodes: np.ndarray, fps: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
         """All whole buckets of one stretch; group numbers ascend."""
-        if len(fps) < 2:
-            return fps[:0], fps[:0]
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        sizes = np.diff(np.r_[starts, len(group)])
-        left, right = [], []
-        # buckets of two, the most frequent, all at once
-        two = starts[sizes == 2]
-        if len(two):
-            a, b = fps[two], fps[two + 1]
-            apart = np.zeros(len(two), dtype=np.uint8)
-            for p in pivots:
-                da, db = np.bitwise_count(a ^ p).astype(np.int8), np.bitwise_count(b ^ p).astype(np.int8)
-                apart = np.maximum(apart, np.abs(da - db).astype(np.uint8))
-            kept = np.flatnonzero(apart <= radius)
-            kept = kept[np.bitwise_count(a[kept] ^ b[kept]) <= radius]
-            left.append(a[kept])
-            right.append(b[kept])
-        for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            mine = fps[at : at + n]
-            pairs = _link_group(mine, radius, pivots)
+        sizes = np.bincount(group)[group] if len(group) else group
+        a, b = [nodes[:0]], [nodes[:0]]
+        many = sizes > 1
+        group, nodes, fps, sizes = group[many], nodes[many], fps[many], sizes[many]
+        tables = np.empty((len(fps), len(pivots)), dtype=np.int16)
+        for p, pivot in enumerate(pivots):
+            tables[:, p] = np.bitwise_count(fps ^ pivot).sum(axis=1, dtype=np.int16)
+        small = np.flatnonzero(sizes <= SMALL)
+        i, j = _link_small(fps[small], group[small], radius, tables[small])
+        a.append(nodes[small[i]])
+        b.append(nodes[small[j]])
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+        for at, n in zip(starts[sizes[starts] > SMALL].tolist(), sizes[starts][sizes[starts] > SMALL].tolist()):
+            pairs = _link_group(fps[at : at + n], radius, tables[at : at + n])
             if pairs:
-                ix = np.array(pairs)
-                left.append(mine[ix[:, 0]])
-                right.append(mine[ix[:, 1]])
-        none = fps[:0]
-        return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none)
+                ix = np.array(pairs) + at
+                a.append(nodes[ix[:, 0]])
+                b.append(nodes[ix[:, 1]])
+        return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = reference_fingerprints()
-        open_key, open_fps = None, []
+        pivots = reference_fingerprints(PIVOTS, wide)
+        column = lambda batch, c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = None
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "bits", "cell")], axis=1)
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            if open_key is not None:
-                keys = np.concatenate([np.repeat(open_key[None, :], len(open_fps), axis=0), keys])
-                fps = np.concatenate([open_fps, fps])
+            now = (
+                np.stack([column(batch, c) for c in ("choice", "bits", "cell")], axis=1), column(batch, "node"),
+                np.stack([column(batch, c) for c in fp_columns(wide)], axis=1).view(np.uint64),
+            )
+            keys, nodes, fps = now if held is None else (np.concatenate(x) for x in zip(held, now))
             changed = np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]
             last = int(np.flatnonzero(changed)[-1])
-            open_key, open_fps = keys[-1], fps[last:]
-            a, b = links_of(np.cumsum(changed)[:last], fps[:last], pivots)
-            if len(a):
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-        if open_key is not None:
-            a, b = links_of(np.zeros(len(open_fps), dtype=np.int64), open_fps, pivots)
-            if len(a):
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            held = keys[last:], nodes[last:], fps[last:]
+            yield links_of(np.cumsum(changed)[:last], nodes[:last], fps[:last], pivots)
+        if held is not None:
+            yield links_of(np.ones(len(held[1]), dtype=np.int64), *held[1:], pivots)
 
     return run
 
 
-def _cells(fp: Column, radius: int) -> Column:
-    """Cells of the distances to the first two pivots that a fingerprint can share with a linked one.
-
-    A cell covers ``2 * radius + 1`` distances; two distances at most ``radius``
-    apart share a cell of either the plain or the shifted grid.
-    """
-    width = 2 * radius + 1
-    first, second = (int(p) for p in reference_fingerprints(2).view(np.int64))
-    out = []
-    for i, shift in enumerate((0, radius)):
-        for j, other in enumerate((0, radius)):
-            d1 = F.bit_count(fp.bitwiseXOR(F.lit(first).cast("long"))) + shift
-            d2 = F.bit_count(fp.bitwiseXOR(F.lit(second).cast("long"))) + other
-            out.append(F.lit(1 + i * 2 + j) * 10_000 + F.floor(d1 / width) * 100 + F.floor(d2 / width))
-    return F.array(*(c.cast("long") for c in out))
-
-
-def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
-    """Distinct fingerprints (``fp`` long) to links (a, b) that join exactly what pairs within the radius join."""
-    dealt = fingerprints.select("fp", F.explode(bucket_keys(F.col("fp"), radius)).alias("k")).select("fp", "k.choice", "k.bits")
-    held = dealt.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = dealt.join(held, ["choice", "bits"])
-    split = F.when(F.col("n") > SPLIT, _cells(F.col("fp"), radius)).otherwise(F.array(F.lit(0).cast("long")))
-    placed = shared.select("fp", "choice", "bits", F.explode(split).alias("cell"))
-    ordered = placed.repartition("choice", "bits", "cell").sortWithinPartitions("choice", "bits", "cell", "fp")
-    return ordered.mapInArrow(_link_batches(radius), "a long, b long").distinct()
+def links(prints: DataFrame, keys: Column, radius: int, wide: int = 1, exact: bool = True) -> DataFrame:
+    """Distinct fingerprints (node, f0 ...) to links (a, b) that join what pairs within the radius join."""
+    cols = fp_columns(wide)
+    dealt = prints.select("node", *cols, F.explode(keys).alias("k")).select("node", *cols, "k.choice", "k.bits")
+    crowded = dealt.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT)
+    salt = F.array(F.pmod(F.xxhash64("node", "choice"), F.ceil(F.col("n") / SPLIT)) + 1)
+    cells = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(_cells(radius) if exact else salt)
+    placed = dealt.join(crowded, ["choice", "bits"], "left").select("node", *cols, "choice", "bits", F.explode(cells).alias("cell"))
+    ordered = placed.repartition("choice", "bits", "cell").sortWithinPartitions("choice", "bits", "cell", "node")
+    return ordered.mapInArrow(_link_batches(radius, wide), "a long, b long").distinct()
 
 
 def classes(documents: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fp, component_id for every row of documents."""
+    """doc_id, f0, component_id for every row of documents; links are exact."""
     printed = checkpoint(with_fingerprints(documents.select("doc_id", "text"), shingle))
-    firsts = printed.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(firsts.select("fp"), radius))
-    named = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    firsts = printed.groupBy("f0").agg(F.min("doc_id").alias("first"))
+    labels = components(links(firsts.select(F.col("f0").alias("node"), "f0"), piece_keys(radius), radius))
+    named = firsts.join(labels.withColumnRenamed("node", "f0"), "f0", "left").select("f0", "first", F.coalesce("label", "f0").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(smallest, "label").select("fp", "component_id")
-    return printed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(smallest, "label").select("f0", "component_id")
+    return printed.join(by_fp, "f0").select("doc_id", "f0", "component_id")
 
 
 def digest(documents: DataFrame) -> DataFrame:
     """The columns of the query."""
-    return classes(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes(documents).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(documents: DataFrame, shingle: int = 5, wide: int = WIDE, far_share: float = FAR_SHARE) -> DataFrame:
+    """d, t, node, label for every row: ``d`` and ``t`` tell rows by id and text, ``label`` tells groups of near copies."""
+    cols = fp_columns(wide)
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64("text").alias("t"), "text")
+    printed = checkpoint(with_fingerprints(keyed, shingle, wide).withColumn("node", F.xxhash64(*cols)))
+    prints = checkpoint(printed.select("node", *cols).distinct())
+    found = links(prints, sample_keys(prints.count(), wide), int(far_share * 64 * wide), wide, exact=False)
+    labels = components(found)
+    return printed.select("d", "t", "node").join(labels, "node", "left").select("d", "t", "node", F.coalesce("label", "node").alias("label"))
+
+
+def keep_one_of_each(documents: DataFrame, shingle: int = 5) -> DataFrame:
+    """The documents without near copies: of each group the row of smallest doc_id stays, once."""
+    grouped = checkpoint(near_copies(documents, shingle))
+    first = grouped.groupBy("label").agg(F.min(F.struct("d", "t")).alias("first")).select(F.col("first.d").alias("d"), F.col("first.t").alias("t"))
+    rows = grouped.groupBy("d", "t").agg(F.count(F.lit(1)).alias("n"))
+    staying = first.join(rows, ["d", "t"])
+    d, t, n = (free_name(documents, x) for x in ("row_d", "row_t", "row_n"))
+    keyed = documents.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), t: F.xxhash64("text")})
+    kept = keyed.join(staying.select(F.col("d").alias(d), F.col("t").alias(t), F.col("n").alias(n)), [d, t])
+    # rows that are repeated as they stand are rare; only they are dealt out to be told apart
+    once = kept.where(F.col(n) == 1).unionByName(kept.where(F.col(n) > 1).dropDuplicates([d, t]))
+    return once.select(*(F.col(f"`{c}`") for c in documents.columns))
