@@ -74,7 +74,7 @@ def parse(formatted: Column) -> Column:
 
 
 def _holds_control(c: Column) -> Column:
-    return F.contains(c, F.lit("###")) | F.contains(c, F.lit(CLOSE))
+    return F.contains(c, F.lit("###")) | F.contains(c, F.lit(CLOSE)) | F.contains(c, F.lit("\\"))
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
