@@ -33,6 +33,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._shared import checkpoint
+
+#: Template hashes (16 bytes each) up to which the whole table is sent to every task.
+BROADCAST_HASHES = 500_000
 MIN_PAGES = 3
 MIN_SHARE = 0.3
 
@@ -272,4 +276,7 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def extract_pages(pages: DataFrame) -> DataFrame:
     """The columns of the query: page_id, url, text, n_chars for every page."""
     hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    return hosted.join(templates(pages), "host", "left").mapInArrow(_extract_batches, SCHEMA)
+    listed = checkpoint(templates(pages))
+    # beyond the checked size the join is by host, where adaptive execution splits a host of very many pages
+    size = listed.agg(F.coalesce(F.sum(F.size("templates")), F.lit(0))).first()[0]
+    return hosted.join(F.broadcast(listed) if size <= BROADCAST_HASHES else listed, "host", "left").mapInArrow(_extract_batches, SCHEMA)
