@@ -7,10 +7,12 @@ the input and never cross documents.
 A suffix array over a whole corpus would need every text in one place, so the
 suffixes that could matter are found first, without loss:
 
-1.  Each window of ``width`` bytes has an anchor: the leftmost of its 16-byte
+1.  Each window of ``width`` bytes has an anchor: the leftmost of its 32-byte
     grams of least hash.  Equal windows have equal anchors at equal offsets, so
     a window can only repeat where its anchor's hash occurs twice.  Anchors are
-    about one byte in 43.
+    about one byte in 35.
+    Hashes are counted first; a bitmap of fixed size, made from those that
+    occur twice, spares the others the shuffle (an exact join follows it).
 2.  Anchors that occur twice are grouped by hash, and those with the same
     surroundings (all bytes that their windows can cover) fold into the
     earliest one: every window of a later one starts earlier there.
@@ -40,29 +42,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import checkpoint
+from ._shared import materialize
 
 WIDTH = 100
-GRAM = 16
+GRAM = 32
 #: Bytes handled at once; positions must fit the low bits of a packed minimum.
 CHUNK, POSITION_BITS = 1 << 20, 22
+#: Bits of the bitmap of repeated hashes: 16 MB, whatever the corpus.
+BITMAP = 1 << 27
 SHARD = 4096
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes at each position of uint8 data."""
+    """Hash of the GRAM bytes at each position of uint8 data."""
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
     at = lambda k: np.ndarray((n,), dtype="<u8", buffer=data, offset=k, strides=(1,))
     with np.errstate(over="ignore"):
         h = at(0) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h += at(8)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
+        for k in range(8, GRAM, 8):
+            h ^= h >> np.uint64(29)
+            h += at(k)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(29)
@@ -84,8 +90,23 @@ def window_anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     return (least & low).astype(np.int64)
 
 
-def anchors(texts: list[bytes], width: int = WIDTH, surroundings: bool = True) -> dict[str, np.ndarray]:
-    """doc (index), at (offset), before, after, h, c of every anchor of some texts.
+def in_bitmap(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    x = hashes.view(np.uint64) & np.uint64(BITMAP - 1)
+    return (bitmap[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def hash_bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bitmap of the low bits of a column ``h``; at most BITMAP / 8 bytes reach the driver."""
+    low = F.pmod("h", F.lit(BITMAP))
+    parts = hashes.select(F.floor(low / 32768).cast("int").alias("part"), (low % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(BITMAP // 8, dtype=np.uint8)
+    for row in parts.collect():
+        out[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
+def anchors(texts: list[bytes], width: int = WIDTH, surroundings: bool = True, bitmap: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """doc (index), at (offset), before, after, h, c of every anchor of some texts (of those in the bitmap, if one is given).
 
     ``before`` and ``after`` say which windows have this anchor: they start
     from ``at - before`` to ``at - after``.  ``c`` hashes the surroundings,
@@ -114,6 +135,8 @@ def anchors(texts: list[bytes], width: int = WIDTH, surroundings: bool = True) -
         p, a = part[first], anchor[first]
         offset = np.array([x[1] for x in parts])[p] + a - begins[p]
         mine = (offset >= np.array([x[2] for x in parts])[p]) & (offset < np.array([x[4] for x in parts])[p])
+        if bitmap is not None:
+            mine &= in_bitmap(hashes[a], bitmap)
         first, last, p, a, offset = first[mine], last[mine], p[mine], a[mine], offset[mine]
         out["doc"].append(np.array([x[0] for x in parts])[p])
         out["at"].append(offset)
@@ -145,15 +168,18 @@ def anchors(texts: list[bytes], width: int = WIDTH, surroundings: bool = True) -
     return {k: np.concatenate(v) if v else np.empty(0, dtype=np.int64) for k, v in out.items()}
 
 
-def _anchor_batches(surroundings: bool):
+def _anchor_batches(surroundings: bool, bitmap=None):
+    """``bitmap`` is a broadcast of :func:`hash_bitmap`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = bitmap.value if bitmap is not None else None
         for batch in batches:
             d, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "t"))
             raw = batch.column("text").cast(pa.binary())
             held, size, first = [], 0, 0
             for i in range(len(raw) + 1):
                 if i == len(raw) or size > 4 * CHUNK:
-                    a = anchors(held, surroundings=surroundings)
+                    a = anchors(held, surroundings=surroundings, bitmap=wanted)
                     if surroundings:
                         doc = a["doc"] + first
                         yield pa.record_batch(
@@ -187,12 +213,12 @@ def suffix_ranks(lanes: np.ndarray, depth: int) -> np.ndarray:
     n, length = lanes.shape
     first = 7  # nine bits a symbol
     key = np.zeros((n, length), dtype=np.int64)
-    padded = np.zeros((n, length + first), dtype=np.int64)
+    padded = np.zeros((n, length + first), dtype=lanes.dtype)
     padded[:, :length] = lanes
     for k in range(first):
         key = (key << 9) | padded[:, k : k + length]
     flat = key.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     ranks = np.empty(n * length, dtype=np.int64)
     changed = np.r_[True, flat[order][1:] != flat[order][:-1]]
     ranks[order] = np.maximum.accumulate(np.where(changed, np.arange(len(order)), 0))
@@ -204,7 +230,7 @@ def suffix_ranks(lanes: np.ndarray, depth: int) -> np.ndarray:
         further = np.where(column + h < length, ranks[np.minimum(tied + h, n * length - 1)], 0)
         here = ranks[tied]
         # tied holds whole groups, in order of their rank
-        again = np.lexsort((further, here))
+        again = np.argsort(here * (n * length + 1) + further)
         tied, here, further = tied[again], here[again], further[again]
         group = np.r_[True, here[1:] != here[:-1]]
         split = group | np.r_[True, further[1:] != further[:-1]]
@@ -224,10 +250,7 @@ def common_prefixes(lanes: np.ndarray, order: np.ndarray, most: int) -> np.ndarr
     carries over from its last suffix, less one.
     """
     n, length = lanes.shape
-    text = np.zeros((n, length + 1), dtype=lanes.dtype)
-    text[:, :length] = lanes
-    text = text.ravel()
-    wide = lambda i: i // length * (length + 1) + i % length
+    text = lanes.ravel()  # each lane ends in 0, where every comparison stops
     before = np.full(n * length, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n * length, dtype=np.int64)
@@ -236,12 +259,12 @@ def common_prefixes(lanes: np.ndarray, order: np.ndarray, most: int) -> np.ndarr
     for column in range(length):
         i = lane + column
         j = before[i]
-        a, b = wide(i), wide(np.maximum(j, 0))
         live = np.flatnonzero((j >= 0) & (carried < most))
         carried[j < 0] = 0
         while len(live):
-            x, y = text[a[live] + carried[live]], text[b[live] + carried[live]]
-            live = live[(x == y) & (x != 0)]
+            more = carried[live]
+            x = text[i[live] + more]
+            live = live[(x == text[j[live] + more]) & (x != 0)]
             carried[live] += 1
             live = live[carried[live] < most]
         out[i] = carried
@@ -249,27 +272,31 @@ def common_prefixes(lanes: np.ndarray, order: np.ndarray, most: int) -> np.ndarr
     return out[order]
 
 
-def earliest_windows(texts: list[bytes], starts: np.ndarray, counts: np.ndarray, d: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def earliest_windows(texts: list[bytes], starts: np.ndarray, counts: np.ndarray, d: np.ndarray, at: np.ndarray, groups: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a shard's surroundings: lane, column, and for each its run and whether it is the earliest of the run.
 
     Lane i has windows at columns ``starts[i]`` to ``starts[i] + counts[i] - 1``;
-    column 0 of lane i is offset ``at[i]`` of document ``d[i]``.
+    column 0 of lane i is offset ``at[i]`` of document ``d[i]``.  Windows are
+    compared within a group, ``groups[i]``, whose lanes come in order of
+    document and anchor.
     """
     length = max(map(len, texts)) + 1
-    lanes = np.zeros((len(texts), length), dtype=np.int64)
+    lanes = np.zeros((len(texts), length), dtype=np.int16)
     for i, x in enumerate(texts):
         lanes[i, : len(x)] = np.frombuffer(x, dtype=np.uint8)
     for i, x in enumerate(texts):
         lanes[i, : len(x)] += 1
     ranks = suffix_ranks(lanes, length)
-    order = np.argsort(ranks, kind="stable")
+    order = np.argsort(ranks * len(ranks) + np.arange(len(ranks)))  # full ties by lane
     runs = np.empty(len(order), dtype=np.int64)
     runs[order] = np.cumsum(common_prefixes(lanes, order, width) < width)
     lane = np.repeat(np.arange(len(texts)), counts)
     column = np.repeat(starts, counts) + np.arange(len(lane)) - np.repeat(np.cumsum(counts) - counts, counts)
     run, doc, offset = runs[lane * length + column], d[lane], at[lane] + column
-    by_run = np.lexsort((offset, doc, run))
-    head = np.r_[True, run[by_run][1:] != run[by_run][:-1]]
+    # equal windows lie equally far from equal anchors, so a group's first lane has the earliest
+    of = run * (groups.max() + 1) + groups[lane]
+    by_run = np.argsort(of * len(of) + np.arange(len(of)))
+    head = np.r_[True, of[by_run][1:] != of[by_run][:-1]]
     lead = by_run[np.maximum.accumulate(np.where(head, np.arange(len(by_run)), 0))]
     earliest = np.empty(len(lane), dtype=bool)
     earliest[by_run] = (doc[by_run] == doc[lead]) & (offset[by_run] == offset[lead])
@@ -288,7 +315,7 @@ def _shard_windows(rows: dict[str, list]) -> pa.RecordBatch:
     """Removed runs of windows of one shard and, where its hashes are split over shards, its earliest windows with their keys."""
     d, t, base, split = (np.array(rows[k], dtype=np.int64) for k in ("d", "t", "base", "split"))
     starts, counts = np.array(rows["start"]), np.array(rows["count"])
-    lane, column, _, earliest = earliest_windows(rows["text"], starts, counts, d, base)
+    lane, column, _, earliest = earliest_windows(rows["text"], starts, counts, d, base, np.array(rows["group"]))
     gone = np.flatnonzero(~earliest)
     new = np.r_[True, (lane[gone][1:] != lane[gone][:-1]) | (column[gone][1:] != column[gone][:-1] + 1)] if len(gone) else gone.astype(bool)
     heads, tails = gone[np.flatnonzero(new)], gone[np.r_[np.flatnonzero(new)[1:], len(gone)] - 1] if len(gone) else gone
@@ -306,16 +333,18 @@ def _shard_windows(rows: dict[str, list]) -> pa.RecordBatch:
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Surroundings, sorted by (h, salt), to windows; a group may go on over several batches."""
     names = ("d", "t", "base", "split", "start", "count", "text")
-    rows: dict[str, list] = {k: [] for k in names}
-    size, key = 0, None
+    rows: dict[str, list] = {k: [] for k in (*names, "group")}
+    size, key, number = 0, None, -1
     for batch in batches:
         columns = {k: batch.column(k).to_pylist() for k in names}
         groups = list(zip(batch.column("h").to_pylist(), batch.column("salt").to_pylist()))
         for i, group in enumerate(groups):
-            if group != key and size > SHARD_BYTES:
-                yield _shard_windows(rows)
-                rows, size = {k: [] for k in names}, 0
-            key = group
+            if group != key:
+                if size > SHARD_BYTES:
+                    yield _shard_windows(rows)
+                    rows, size, number = {k: [] for k in rows}, 0, -1
+                key, number = group, number + 1
+            rows["group"].append(number)
             for k in names:
                 rows[k].append(columns[k][i])
             size += len(columns["text"][i])
@@ -344,24 +373,29 @@ def _cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """Texts with their anchors to look at, to one row per anchor with its surroundings."""
     margin = WIDTH - GRAM
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("h", "salt", "split", "d", "t", "base", "start", "count", "text")}
-        ds, ts, lists = (batch.column(c).to_pylist() for c in ("d", "t", "places"))
+        out: dict[str, list] = {k: [] for k in ("h", "salt", "split", "d", "t", "at", "base", "start", "count", "text")}
+        ds, ts = (batch.column(c).to_pylist() for c in ("d", "t"))
+        lists = batch.column("places")
+        ends = lists.offsets.to_numpy().tolist()
+        place = {f: lists.values.field(f).to_numpy(zero_copy_only=False) for f in ("h", "salt", "split", "at", "reach")}
         size = 0
-        for d, t, places, text in zip(ds, ts, lists, batch.column("text").cast(pa.binary())):
-            raw = text.as_py() or b""
-            for p in places:
-                lo, hi = max(0, p["at"] - margin), min(len(raw), p["at"] + WIDTH)
-                before, after = p["reach"] >> 8, p["reach"] & 255
-                for k, v in (("h", p["h"]), ("salt", p["salt"]), ("split", p["split"]), ("d", d), ("t", t), ("base", lo), ("start", p["at"] - before - lo), ("count", before - after + 1), ("text", raw[lo:hi])):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for row, (d, t, packed) in enumerate(zip(ds, ts, batch.column("packed"))):
+            raw = unpack(packed.as_py())
+            of = slice(ends[row], ends[row + 1])
+            for h, salt, split, at, reach in zip(*(place[f][of].tolist() for f in place)):
+                lo, hi = max(0, at - margin), min(len(raw), at + WIDTH)
+                before, after = reach >> 8, reach & 255
+                for k, v in (("h", h), ("salt", salt), ("split", split), ("d", d), ("t", t), ("at", at), ("base", lo), ("start", at - before - lo), ("count", before - after + 1), ("text", raw[lo:hi])):
                     out[k].append(v)
                 size += hi - lo
-            if size > 8 * CHUNK:
+            if size > 4 * CHUNK:
                 yield _cut_batch(out)
                 out, size = {k: [] for k in out}, 0
         yield _cut_batch(out)
 
 
-CUT = "h long, salt long, split long, d long, t int, base long, start int, count int, text binary"
+CUT = "h long, salt long, split long, d long, t int, at long, base long, start int, count int, text binary"
 
 
 def _cut_batch(out: dict[str, list]) -> pa.RecordBatch:
@@ -369,13 +403,28 @@ def _cut_batch(out: dict[str, list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        packed = [squeeze(x.as_py() or b"") for x in batch.column("text").cast(pa.binary())]
+        at = batch.schema.names.index("text")
+        yield pa.record_batch([pa.array(packed, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], [n if i != at else "packed" for i, n in enumerate(batch.schema.names)])
+
+
+def packed(keyed: DataFrame) -> DataFrame:
+    """The rows with their text compressed: texts cross the network for every join by document."""
+    names = ", ".join("packed binary" if f.name == "text" else f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields)
+    return keyed.mapInArrow(_pack, names)
+
+
 def removed_windows(keyed: DataFrame) -> DataFrame:
     """d, t, lo, hi: runs of starts of removed windows, from documents with d, t, text."""
     plain = keyed.mapInArrow(_anchor_batches(False), "h long")
-    twice = plain.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    full = keyed.mapInArrow(_anchor_batches(True), "h long, c long, d long, t int, at long, reach int")
-    members = checkpoint(full.join(twice, "h", "left_semi"))
-    firsts = checkpoint(members.groupBy("h", "c").agg(F.min(F.struct("d", "at", "t", "reach")).alias("first")))
+    twice = materialize(plain.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    bitmap = keyed.sparkSession.sparkContext.broadcast(hash_bitmap(twice))
+    full = keyed.mapInArrow(_anchor_batches(True, bitmap), "h long, c long, d long, t int, at long, reach int")
+    members = materialize(full.join(twice, "h", "left_semi"))
+    firsts = materialize(members.groupBy("h", "c").agg(F.min(F.struct("d", "at", "t", "reach")).alias("first")))
     # a later anchor with the same surroundings: all its windows start earlier there
     later = members.join(firsts, ["h", "c"]).where((F.col("d") != F.col("first.d")) | (F.col("at") != F.col("first.at")))
     copies = later.select("d", "t", (F.col("at") - F.shiftright("reach", 8)).alias("lo"), (F.col("at") - F.col("reach").bitwiseAND(255)).alias("hi"))
@@ -387,8 +436,8 @@ def removed_windows(keyed: DataFrame) -> DataFrame:
         F.struct("h", F.pmod(F.xxhash64("c"), split).alias("salt"), split.alias("split"), F.col("first.at").alias("at"), F.col("first.reach").alias("reach")).alias("place"),
     )
     by_doc = places.groupBy("d", "t").agg(F.collect_list("place").alias("places"))
-    surroundings = keyed.join(by_doc, ["d", "t"]).select("d", "t", "text", "places").mapInArrow(_cut_surroundings, CUT)
-    found = checkpoint(surroundings.repartition("h", "salt").sortWithinPartitions("h", "salt", "d", "base").mapInArrow(_shards, FOUND))
+    surroundings = packed(keyed).join(by_doc, ["d", "t"]).select("d", "t", "packed", "places").mapInArrow(_cut_surroundings, CUT)
+    found = materialize(surroundings.repartition("h", "salt").sortWithinPartitions("h", "salt", "d", "at").mapInArrow(_shards, FOUND))
     inside = found.where(F.col("k1").isNull()).select("d", "t", "lo", "hi")
     open_ = found.where(F.col("k1").isNotNull())
     across = open_.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "d", "lo").mapInArrow(_merge, FOUND).select("d", "t", "lo", "hi")
@@ -419,9 +468,9 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text, windows in zip(batch.column("text").cast(pa.binary()), batch.column("windows")):
-            raw = text.as_py() or b""
+        rows, unpack = [], zstandard.ZstdDecompressor().decompress
+        for text, windows in zip(batch.column("packed"), batch.column("windows")):
+            raw = unpack(text.as_py())
             spans = merged_spans([(w["lo"], w["hi"]) for w in windows.as_py() or ()])
             rows.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(raw, spans)).hexdigest()))
         cols = list(zip(*rows)) or [()] * 4
@@ -429,13 +478,13 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_windows(documents: DataFrame) -> DataFrame:
-    """doc_id, text, windows (runs of starts of removed windows, or null) of every row."""
+    """doc_id, packed text, windows (runs of starts of removed windows, or null) of every row."""
     keyed = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"),
         F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int").alias("t"), "text",
     )
     by_doc = removed_windows(keyed.select("d", "t", "text")).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
-    return keyed.join(by_doc, ["d", "t"], "left").select("doc_id", "text", "windows")
+    return packed(keyed).join(by_doc, ["d", "t"], "left").select("doc_id", "packed", "windows")
 
 
 def digest(documents: DataFrame) -> DataFrame:
