@@ -49,6 +49,8 @@ from .components import components
 SEED = 42
 PIVOTS = 16
 SPLIT = 2048
+#: Crowded buckets (20 bytes each) up to which their list is sent to every task.
+FEW_CROWDED = 100_000
 BLOCK = 64
 SMALL = 24
 #: near_copies: words of 64 bits, largest share of differing bits (five-word
@@ -297,10 +299,14 @@ def links(prints: DataFrame, keys: Column, radius: int, wide: int = 1, exact: bo
     """Distinct fingerprints (node, f0 ...) to links (a, b) that join what pairs within the radius join."""
     cols = fp_columns(wide)
     dealt = prints.select("node", *cols, F.explode(keys).alias("k")).select("node", *cols, "k.choice", "k.bits")
-    crowded = dealt.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT)
+    crowded = checkpoint(dealt.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT))
+    if (n := crowded.count()) <= FEW_CROWDED:  # beyond the checked size the join shuffles both sides
+        crowded = F.broadcast(crowded)
+    whole = F.array(F.lit(0).cast("long"))
     salt = F.array(F.pmod(F.xxhash64("node", "choice"), F.ceil(F.col("n") / SPLIT)) + 1)
-    cells = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(_cells(radius) if exact else salt)
-    placed = dealt.join(crowded, ["choice", "bits"], "left").select("node", *cols, "choice", "bits", F.explode(cells).alias("cell"))
+    cells = F.when(F.col("n").isNull(), whole).otherwise(_cells(radius) if exact else salt)
+    numbered = dealt.join(crowded, ["choice", "bits"], "left") if n else dealt.withColumn("n", F.lit(None).cast("long"))
+    placed = numbered.select("node", *cols, "choice", "bits", F.explode(cells).alias("cell"))
     ordered = placed.repartition("choice", "bits", "cell").sortWithinPartitions("choice", "bits", "cell", "node")
     return ordered.mapInArrow(_link_batches(radius, wide), "a long, b long").distinct()
 
