@@ -1 +1 @@
-"""."""
+"""Queries: operators bound to tables, with SQL equivalents."""

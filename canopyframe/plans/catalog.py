@@ -1,4 +1,8 @@
-"""Queries of the reference's operators and their SQL equivalents."""
+"""All queries of the library and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import kernel_queries, raster_queries, series_queries
+
+QUERIES = raster_queries.QUERIES | series_queries.QUERIES | kernel_queries.QUERIES
+ORACLES = raster_queries.ORACLES | series_queries.ORACLES | kernel_queries.ORACLES
