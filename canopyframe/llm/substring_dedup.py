@@ -18,7 +18,8 @@ suffixes that could matter are found first, without loss:
     earliest one: every window of a later one starts earlier there.
 3.  Surroundings that differ under one hash go, by hash, to shards.  A shard
     sorts its suffixes by Larsson-Sadakane refinement (only groups that are
-    still tied are sorted again, by the rank ``h`` further on, ``h`` doubling),
+    still tied are sorted again, by the ranks ``h`` and ``2 h`` further on, ``h``
+    tripling),
     takes common prefixes of neighbours by Kasai's method, run in lock step
     over the surroundings, and keeps in each run of common prefixes of
     ``width`` or more the earliest window; the others are removed.
@@ -199,6 +200,21 @@ def _anchor_batches(surroundings: bool, bitmap=None):
 # --- suffix arrays of a shard ------------------------------------------------
 
 
+#: Symbols (nine bits each) that one 64-bit word holds.
+WORD_SYMBOLS = 7
+
+
+def symbol_words(lanes: np.ndarray) -> np.ndarray:
+    """The next WORD_SYMBOLS symbols at each place as one number, zeros past a lane's end."""
+    n, length = lanes.shape
+    out = np.zeros((n, length), dtype=np.int64)
+    padded = np.zeros((n, length + WORD_SYMBOLS), dtype=lanes.dtype)
+    padded[:, :length] = lanes
+    for k in range(WORD_SYMBOLS):
+        out = (out << 9) | padded[:, k : k + length]
+    return out.ravel()
+
+
 def suffix_ranks(lanes: np.ndarray, depth: int) -> np.ndarray:
     """Rank of each suffix of each lane, sorted to at least ``depth`` symbols; ties share a rank.
 
@@ -207,30 +223,26 @@ def suffix_ranks(lanes: np.ndarray, depth: int) -> np.ndarray:
 
     ``lanes`` is (n, length) with symbols from 1 and at least one 0 after each
     lane's end, so what is past an end has rank 0.
-    Larsson-Sadakane refinement: tied groups are sorted by the rank ``h``
-    further on; a group that is no longer tied is left alone.
+    Larsson-Sadakane refinement: tied groups are sorted by the ranks ``h`` and
+    ``2 h`` further on, so ``h`` triples; a group that is no longer tied is left
+    alone.
     """
     n, length = lanes.shape
-    first = 7  # nine bits a symbol
-    key = np.zeros((n, length), dtype=np.int64)
-    padded = np.zeros((n, length + first), dtype=lanes.dtype)
-    padded[:, :length] = lanes
-    for k in range(first):
-        key = (key << 9) | padded[:, k : k + length]
-    flat = key.ravel()
+    flat = symbol_words(lanes)
     order = np.argsort(flat)
     ranks = np.empty(n * length, dtype=np.int64)
     changed = np.r_[True, flat[order][1:] != flat[order][:-1]]
     ranks[order] = np.maximum.accumulate(np.where(changed, np.arange(len(order)), 0))
     sizes = np.diff(np.r_[np.flatnonzero(changed), len(order)])
     tied = order[np.repeat(sizes > 1, sizes)]
-    h = first
+    h = WORD_SYMBOLS
     while h < depth and len(tied):
-        column = tied % length
-        further = np.where(column + h < length, ranks[np.minimum(tied + h, n * length - 1)], 0)
+        column, size = tied % length, n * length
+        beyond = lambda k: np.where(column + k < length, ranks[np.minimum(tied + k, size - 1)], 0)  # noqa: E731,B023
+        further = beyond(h) * size + beyond(2 * h)
         here = ranks[tied]
-        # tied holds whole groups, in order of their rank
-        again = np.argsort(here * (n * length + 1) + further)
+        # tied holds whole groups, in order of their rank; three ranks fit one key below 2 ** 21 symbols
+        again = np.argsort(here * (size * size) + further) if size < 1 << 21 else np.lexsort((further, here))
         tied, here, further = tied[again], here[again], further[again]
         group = np.r_[True, here[1:] != here[:-1]]
         split = group | np.r_[True, further[1:] != further[:-1]]
@@ -239,34 +251,45 @@ def suffix_ranks(lanes: np.ndarray, depth: int) -> np.ndarray:
         ranks[tied] = here + (inner - begin)
         sizes = np.diff(np.r_[np.flatnonzero(split), len(tied)])
         tied = tied[np.repeat(sizes > 1, sizes)]
-        h *= 2
+        h *= 3
     return ranks
 
 
-def common_prefixes(lanes: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(lanes: np.ndarray, order: np.ndarray, most: int, columns: int | None = None) -> np.ndarray:
     """Kasai: common prefix (up to ``most``) of each suffix in order with the one before it.
 
+    Only suffixes of the first ``columns`` are looked at; the others count as 0.
+
     All lanes walk from left to right in lock step, each keeping what it
     carries over from its last suffix, less one.
     """
     n, length = lanes.shape
-    text = lanes.ravel()  # each lane ends in 0, where every comparison stops
+    text, words = lanes.ravel(), symbol_words(lanes)  # each lane ends in 0, where every comparison stops
     before = np.full(n * length, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n * length, dtype=np.int64)
     lane = np.arange(n) * length
     carried = np.zeros(n, dtype=np.int64)
-    for column in range(length):
+    for column in range(length if columns is None else columns):
         i = lane + column
         j = before[i]
         live = np.flatnonzero((j >= 0) & (carried < most))
         carried[j < 0] = 0
+        whole = live
+        while len(whole):  # word by word, while no lane ends within
+            more = carried[whole]
+            x = words[i[whole] + more]
+            whole = whole[(x == words[j[whole] + more]) & (x & 511 != 0)]
+            carried[whole] += WORD_SYMBOLS
+            whole = whole[carried[whole] < most]
+        live = live[carried[live] < most]
         while len(live):
             more = carried[live]
             x = text[i[live] + more]
             live = live[(x == text[j[live] + more]) & (x != 0)]
             carried[live] += 1
             live = live[carried[live] < most]
+        np.minimum(carried, most, out=carried)
         out[i] = carried
         carried = np.maximum(carried - 1, 0)
     return out[order]
@@ -289,7 +312,8 @@ def earliest_windows(texts: list[bytes], starts: np.ndarray, counts: np.ndarray,
     ranks = suffix_ranks(lanes, length)
     order = np.argsort(ranks * len(ranks) + np.arange(len(ranks)))  # full ties by lane
     runs = np.empty(len(order), dtype=np.int64)
-    runs[order] = np.cumsum(common_prefixes(lanes, order, width) < width)
+    # a suffix too short for a window shares none
+    runs[order] = np.cumsum(common_prefixes(lanes, order, width, length - width) < width)
     lane = np.repeat(np.arange(len(texts)), counts)
     column = np.repeat(starts, counts) + np.arange(len(lane)) - np.repeat(np.cumsum(counts) - counts, counts)
     run, doc, offset = runs[lane * length + column], d[lane], at[lane] + column
@@ -371,7 +395,6 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their anchors to look at, to one row per anchor with its surroundings."""
-    margin = WIDTH - GRAM
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("h", "salt", "split", "d", "t", "at", "base", "start", "count", "text")}
         ds, ts = (batch.column(c).to_pylist() for c in ("d", "t"))
@@ -384,9 +407,9 @@ def _cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             raw = unpack(packed.as_py())
             of = slice(ends[row], ends[row + 1])
             for h, salt, split, at, reach in zip(*(place[f][of].tolist() for f in place)):
-                lo, hi = max(0, at - margin), min(len(raw), at + WIDTH)
                 before, after = reach >> 8, reach & 255
-                for k, v in (("h", h), ("salt", salt), ("split", split), ("d", d), ("t", t), ("at", at), ("base", lo), ("start", at - before - lo), ("count", before - after + 1), ("text", raw[lo:hi])):
+                lo, hi = at - before, at - after + WIDTH  # what the anchor's windows cover
+                for k, v in (("h", h), ("salt", salt), ("split", split), ("d", d), ("t", t), ("at", at), ("base", lo), ("start", 0), ("count", before - after + 1), ("text", raw[lo:hi])):
                     out[k].append(v)
                 size += hi - lo
             if size > 4 * CHUNK:
