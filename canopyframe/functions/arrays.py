@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 EPS = 1e-6
 
@@ -26,7 +26,9 @@ def fin(c: Column) -> Column:
 
 def safe_div(num: Column, den: Column, eps: float = EPS) -> Column:
     """num / den where both are finite and the denominator exceeds eps in size; the sign is kept."""
-    return F.when(fin(num).isNotNull() & fin(den).isNotNull() & (F.abs(den) > eps), num / den)
+    size = F.abs(den)  # not a number is larger than any, so both limits exclude it
+    ratio = F.when((size > eps) & (size < float("inf")), num / den)
+    return F.when(F.abs(ratio) < float("inf"), ratio)
 
 
 def finite(values: Column) -> Column:
@@ -64,7 +66,28 @@ def summary(values: Column) -> Column:
             n.cast("long").alias("n"),
         ))
 
-    return let(F.array_sort(finite(values)), of_sorted)
+    return let(F.sort_array(finite(values)), of_sorted)
+
+
+def with_summaries(df: DataFrame, arrays: dict[str, Column]) -> DataFrame:
+    """``df`` with the statistics of each named array as one more struct column.
+
+    For many arrays: three flat projections are planned much faster than as
+    many nested expressions.
+    """
+    v, m = (lambda k: F.col(f"_v_{k}")), (lambda k: F.col(f"_m_{k}"))
+    ordered = df.select("*", *(F.sort_array(finite(a)).alias(f"_v_{k}") for k, a in arrays.items()))
+    means = ordered.select("*", *(F.when(F.size(v(k)) > 0, total(v(k)) / F.size(v(k))).alias(f"_m_{k}") for k in arrays))
+
+    def stats(k: str) -> Column:
+        s, mean, n = v(k), m(k), F.size(v(k))
+        spread = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+        return F.struct(
+            quantile_of_sorted(s, 0.5).alias("median"), mean.alias("mean"), quantile_of_sorted(s, 0.1).alias("p10"), quantile_of_sorted(s, 0.9).alias("p90"),
+            F.when(n > 0, F.sqrt(spread / n)).alias("std"), n.cast("long").alias("n"),
+        ).alias(k)
+
+    return means.select(*(F.col(f"`{c}`") for c in df.columns), *(stats(k) for k in arrays))
 
 
 def where_mask(values: Column, mask: Column) -> Column:

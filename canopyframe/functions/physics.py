@@ -24,7 +24,7 @@ def robust_normalize(values: Column) -> Column:
         span = F.greatest(p99 - p1, F.lit(1e-9))
         return F.transform(values, lambda v: F.when(F.size(s) == 0, 0.0).otherwise(F.least(F.greatest((v - p1) / span, F.lit(0.0)), F.lit(1.0))))
 
-    return let(F.array_sort(finite(values)), scale)
+    return let(F.sort_array(finite(values)), scale)
 
 
 def gray_level(t: Column, vmin: float, vmax: float) -> Column:

@@ -7,6 +7,7 @@ be columns or numbers.  Masks are boolean arrays.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -298,32 +299,33 @@ def layer_temperatures(temp: Column, mask: Column, width: int) -> Column:
 LAYER_COLUMNS = (*(f"{name}_{stat}" for name in LAYERS for stat in A.STATS), "layer_range", "upper_minus_lower", "layer_error")
 
 
-def _summaries(pixels: Column, formulas) -> Column:
-    """struct of summaries, one per index, over an array of pixel structs."""
-    names = list(formulas(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).keys())
-    values = lambda n: F.transform(pixels, lambda p: formulas(*(p[f"c{k}"] for k in range(4)))[n])
-    return F.struct(*(A.summary(values(n)).alias(n) for n in names))
-
-
 def _pixels(mask: Column, *channels: Column) -> Column:
-    fields = [*channels, *([channels[0]] * (4 - len(channels)))]
-    zipped = F.arrays_zip(mask.alias("m"), *(c.alias(f"c{k}") for k, c in enumerate(fields)))
+    """Array of structs c0, c1 ... of the masked pixels."""
+    zipped = F.arrays_zip(mask.alias("m"), *(c.alias(f"c{k}") for k, c in enumerate(channels)))
     return F.filter(zipped, lambda p: F.coalesce(p["m"], F.lit(False)))
 
 
-def rgb_summaries(r: Column, g: Column, b: Column, mask: Column) -> tuple[Column, Column]:
-    """(struct of the 16 indices' summaries over the mask, number of masked pixels)."""
+def _index_summaries(df: DataFrame, pixels: str, n: int, formulas: Callable[..., dict[str, Column]]) -> DataFrame:
+    names = list(formulas(*[F.lit(0.0)] * n))
+    each = F.transform(pixels, lambda p: F.struct(*(c.alias(k) for k, c in formulas(*(p[f"c{k}"] for k in range(n))).items())))
+    return A.with_summaries(df.withColumn("_ix", each), {k: F.col("_ix")[k] for k in names}).drop("_ix")
+
+
+def rgb_summaries(df: DataFrame, r: str, g: str, b: str, mask: str) -> DataFrame:
+    """The frames with a struct of statistics per colour index (16) over the mask, and ``rgb_masked``, the masked pixels."""
 
-    def formulas(x, y, z, _):
-        return rgb_indices(*normalized(x, y, z))
+    def shares(p: Column) -> Column:
+        return F.struct(*(c.alias(f"c{k}") for k, c in enumerate(normalized(p["c0"], p["c1"], p["c2"]))))
 
-    pixels = _pixels(mask, r, g, b)
-    return let(pixels, lambda p: _summaries(p, formulas)), A.count_true(mask)
+    # channels are normalized once, not once per index
+    ready = df.withColumn("_px", F.transform(_pixels(F.col(mask), F.col(r), F.col(g), F.col(b)), shares)).withColumn("rgb_masked", A.count_true(F.col(mask)))
+    return _index_summaries(ready, "_px", 3, rgb_indices).drop("_px")
 
 
-def spectral_summaries(green: Column, red: Column, edge_: Column, nir: Column, mask: Column) -> tuple[Column, Column]:
-    """(struct of the 12 indices' summaries over the mask, number of masked pixels)."""
-    return let(_pixels(mask, green, red, edge_, nir), lambda p: _summaries(p, spectral_indices)), A.count_true(mask)
+def spectral_summaries(df: DataFrame, bands: Sequence[str], mask: str) -> DataFrame:
+    """The frames with a struct of statistics per spectral index (12) over the mask, and ``ms_masked``."""
+    ready = df.withColumn("_px", _pixels(F.col(mask), *map(F.col, bands))).withColumn("ms_masked", A.count_true(F.col(mask)))
+    return _index_summaries(ready, "_px", 4, spectral_indices).drop("_px")
 
 
 def valid_fraction(n: Column, masked: Column) -> Column:
@@ -342,7 +344,7 @@ def crop_report(temp: Column, mask: Column, width: int, height: int, pad: int =
             A.quantile_of_sorted(ordered, 0.01).alias("vmin"), A.quantile_of_sorted(ordered, 0.99).alias("vmax"), A.summary(ordered).alias("stats"),
         )
 
-    return let(F.array_sort(A.finite(A.where_mask(temp, mask))), of)
+    return let(F.sort_array(A.finite(A.where_mask(temp, mask))), of)
 
 
 def layer_audit(layers: Column, mask: Column) -> dict[str, Column]:

@@ -83,15 +83,14 @@ def _index_sql(source: str, table_: str, named: dict[str, str]) -> str:
     return f"WITH {source} SELECT frame_id, {cols} FROM {table_} GROUP BY frame_id"
 
 
-def _index_columns(names, s, masked):
-    return [c for n in names for c in (*stat_columns(F.col(f"{s}.{n}"), f"{n}_"), r9(R.valid_fraction(F.col(f"{s}.{n}.n"), F.col(masked))).alias(f"{n}_valid_frac"))]
+def _index_columns(names, masked):
+    return [c for n in names for c in (*stat_columns(F.col(n), f"{n}_"), r9(R.valid_fraction(F.col(f"{n}.n"), F.col(masked))).alias(f"{n}_valid_frac"))]
 
 
 @query(_index_sql(_RGB, "nrm", RGB_SQL))
 def q_rgb_indices(spark, d):
-    df = channels(frames(spark, d))
-    s, n = R.rgb_summaries(F.col("r"), F.col("g"), F.col("b"), F.col("mask"))
-    return df.select("frame_id", s.alias("s"), n.alias("masked")).select("frame_id", *_index_columns(RGB_SQL, "s", "masked"))
+    found = R.rgb_summaries(channels(frames(spark, d)), "r", "g", "b", "mask")
+    return found.select("frame_id", *_index_columns(RGB_SQL, "rgb_masked"))
 
 
 FEATURE_SQL = {
@@ -104,8 +103,9 @@ FEATURE_SQL = {
 def q_channel_features(spark, d):
     px = R._pixels(F.col("mask"), F.col("r"), F.col("g"), F.col("b"))
     df = channels(frames(spark, d)).select("frame_id", px.alias("px"))
-    mean = lambda k: A.summary(F.transform("px", lambda p: I.channel_features(*I.normalized(p["c0"], p["c1"], p["c2"]))[k]))["mean"]
-    return df.select("frame_id", *(r9(mean(k)).alias(f"{k}_mean") for k in FEATURE_SQL))
+    each = F.transform("px", lambda p: F.struct(*(c.alias(k) for k, c in I.channel_features(*I.normalized(p["c0"], p["c1"], p["c2"])).items())))
+    found = A.with_summaries(df.withColumn("ix", each), {f"x_{k}": F.col("ix")[k] for k in FEATURE_SQL})
+    return found.select("frame_id", *(r9(F.col(f"x_{k}.mean")).alias(f"{k}_mean") for k in FEATURE_SQL))
 
 
 MS_SQL = {
@@ -118,15 +118,14 @@ _MS = f"{PX}, ms AS (SELECT frame_id, 0.05 + abs(e) AS g, 0.05 + abs(e16) AS r,
 
 @query(_index_sql(_MS, "ms", MS_SQL))
 def q_ms_indices(spark, d):
-    s, n = R.spectral_summaries(F.col("b555"), F.col("b660"), F.col("b720"), F.col("b840"), F.col("mask"))
-    return bands(frames(spark, d)).select("frame_id", s.alias("s"), n.alias("masked")).select("frame_id", *_index_columns(MS_SQL, "s", "masked"))
+    found = R.spectral_summaries(bands(frames(spark, d)), [f"b{nm}" for nm in I.BANDS], "mask")
+    return found.select("frame_id", *_index_columns(MS_SQL, "ms_masked"))
 
 
 @query(f"WITH {_MS} SELECT frame_id, " + ", ".join(f"{sql_stats(v, f'R{nm}_')}, round(count({v}) / count(*), 9) AS R{nm}_valid_fraction" for nm, v in ((555, "g"), (660, "r"), (720, "re"), (840, "n"))) + " FROM ms GROUP BY frame_id")
 def q_reflectance(spark, d):
     df = bands(frames(spark, d)).withColumn("masked", A.count_true(F.col("mask")))
-    for nm in I.BANDS:
-        df = df.withColumn(f"s{nm}", A.summary(A.where_mask(F.col(f"b{nm}"), F.col("mask"))))
+    df = A.with_summaries(df, {f"s{nm}": A.where_mask(F.col(f"b{nm}"), F.col("mask")) for nm in I.BANDS})
     return df.select("frame_id", *(c for nm in I.BANDS for c in (*stat_columns(F.col(f"s{nm}"), f"R{nm}_"), r9(R.valid_fraction(F.col(f"s{nm}.n"), F.col("masked"))).alias(f"R{nm}_valid_fraction"))))
 
 
@@ -274,7 +273,7 @@ def q_deproject_height(spark, d):
     at = F.transform("depth", lambda z, i: F.struct(*(c.alias(n) for n, c in zip("xyz", P.deproject(i % SIDE, F.floor(i / SIDE), z, 600.0, 600.0, 4.0, 4.0)))))
     df = _depth(spark, d).withColumn("p", A.where_mask(at, F.col("mask")))
     h = F.transform("p", lambda p: P.height_over_plane(p["x"], p["y"], p["z"], F.lit(0.0), F.lit(0.0), F.lit(1000.0)))
-    s = df.select("frame_id", "p", F.array_sort(h).alias("h")).where(F.size("h") > 0)
+    s = df.select("frame_id", "p", F.sort_array(h).alias("h")).where(F.size("h") > 0)
     mean = lambda c: r9(A.summary(F.transform("p", lambda p: p[c]))["mean"])
     return s.select("frame_id", r9(A.summary(F.col("h"))["mean"]).alias("mean_height"), r9(A.quantile_of_sorted(F.col("h"), 0.95)).alias("p95_height"), mean("x").alias("mean_x"), mean("y").alias("mean_y"))
 

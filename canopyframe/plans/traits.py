@@ -21,7 +21,7 @@ class Trait:
     name: str
     requires: frozenset[str]
     tier: int
-    parts: Callable[[int], dict[str, Column]]
+    prepare: Callable[[DataFrame, int], DataFrame]
     columns: Callable[[], dict[str, Column]]
     description: str = ""
 
@@ -56,28 +56,25 @@ def _flat(prefix: str, part: str) -> dict[str, Column]:
     return {f"{prefix}{k}": F.col(f"{part}.{k}") for k in A.STATS}
 
 
-def _index_columns(part: str, masked: str, names: Sequence[str]) -> dict[str, Column]:
-    return {k: v for n in names for k, v in (_flat(f"{n}_", f"{part}.{n}") | {f"{n}_valid_frac": R.valid_fraction(F.col(f"{part}.{n}.n"), F.col(masked))}).items()}
+def _index_columns(masked: str, names: Sequence[str]) -> dict[str, Column]:
+    return {k: v for n in names for k, v in (_flat(f"{n}_", n) | {f"{n}_valid_frac": R.valid_fraction(F.col(f"{n}.n"), F.col(masked))}).items()}
 
 
 RGB_NAMES = ("NDI", "CIVE", "MNDVI", "GRVI", "IKAW", "ExG", "ExR", "ExGR", "VARI", "GLA", "GLI", "RGBVI", "MGRVI", "WI", "PSRI", "ARI")
 MS_NAMES = ("NDVI", "NDRE", "GNDVI", "SAVI", "OSAVI", "RVI", "DVI", "CIgreen", "CIrededge", "MTCI", "MCARI", "TCARI")
+MS_BANDS = ("b555", "b660", "b720", "b840")
 
 
 def standard() -> Registry:
-    """All built-in traits: structs per frame (parts), and the columns read from them."""
+    """All built-in traits: ``prepare`` adds structs to the frames, ``columns`` reads the traits from them."""
     c, out = F.col, Registry()
-    pair = lambda a, b, found: dict(zip((a, b), found))
-    canopy = lambda w: {"_canopy": R.canopy_temperature(c("temp"), c("mask"))}
-    out.register(Trait("shape2d", frozenset(["mask"]), 1, lambda w: {"_shape": R.shape_moments(c("mask"), w)}, lambda: {k: c(f"_shape.{k}") for k in R.SHAPE}, "area, box, centroid"))
+    canopy = lambda df, w: df.withColumn("_canopy", R.canopy_temperature(c("temp"), c("mask")))
+    out.register(Trait("shape2d", frozenset(["mask"]), 1, lambda df, w: df.withColumn("_shape", R.shape_moments(c("mask"), w)), lambda: {k: c(f"_shape.{k}") for k in R.SHAPE}, "area, box, centroid"))
     out.register(Trait("canopy_temperature", frozenset(["mask", "temp"]), 1, canopy, lambda: _flat("canopy_", "_canopy"), "masked temperature"))
-    out.register(Trait("layer_temperature", frozenset(["mask", "temp"]), 2, lambda w: {"_layers": R.layer_temperatures(c("temp"), c("mask"), w)}, lambda: {k: c(f"_layers.{k}") for k in R.LAYER_COLUMNS}, "temperature by thirds of height"))
-    out.register(Trait("canopy_delta_t", frozenset(["mask", "temp", "ambient"]), 2, lambda w: canopy(w) | {"_ambient": A.fin(c("ambient"))}, _delta, "canopy less ambient temperature"))
-    out.register(Trait("rgb_indices", frozenset(["mask", "r", "g", "b"]), 1, lambda w: pair("_rgb", "_rgb_n", R.rgb_summaries(c("r"), c("g"), c("b"), c("mask"))), lambda: _index_columns("_rgb", "_rgb_n", RGB_NAMES), "16 colour indices"))
-    out.register(Trait(
-        "multispectral_indices", frozenset(["mask", "b555", "b660", "b720", "b840"]), 2,
-        lambda w: pair("_ms", "_ms_n", R.spectral_summaries(c("b555"), c("b660"), c("b720"), c("b840"), c("mask"))), lambda: _index_columns("_ms", "_ms_n", MS_NAMES), "12 spectral indices",
-    ))
+    out.register(Trait("layer_temperature", frozenset(["mask", "temp"]), 2, lambda df, w: df.withColumn("_layers", R.layer_temperatures(c("temp"), c("mask"), w)), lambda: {k: c(f"_layers.{k}") for k in R.LAYER_COLUMNS}, "temperature by thirds of height"))
+    out.register(Trait("canopy_delta_t", frozenset(["mask", "temp", "ambient"]), 2, lambda df, w: canopy(df, w).withColumn("_ambient", A.fin(c("ambient"))), _delta, "canopy less ambient temperature"))
+    out.register(Trait("rgb_indices", frozenset(["mask", "r", "g", "b"]), 1, lambda df, w: R.rgb_summaries(df, "r", "g", "b", "mask"), lambda: _index_columns("rgb_masked", RGB_NAMES), "16 colour indices"))
+    out.register(Trait("multispectral_indices", frozenset(["mask", *MS_BANDS]), 2, lambda df, w: R.spectral_summaries(df, MS_BANDS, "mask"), lambda: _index_columns("ms_masked", MS_NAMES), "12 spectral indices"))
     return out
 
 
@@ -96,9 +93,10 @@ def compute_traits(frames: DataFrame, width: int, keys: Sequence[str], registry:
     """One row per frame with every trait its columns allow, and which inputs and traits those were."""
     given = [c for c in (inputs or INPUTS) if c in frames.columns]
     chosen = (registry or standard()).available_for(given)
-    parts = {k: v for t in chosen for k, v in t.parts(width).items()}
     cols = {k: v for t in chosen for k, v in t.columns().items()}
-    prepared = frames.select(*keys, *(v.alias(k) for k, v in parts.items()))  # each struct is computed once
+    prepared = frames
+    for t in chosen:  # each struct is computed once
+        prepared = t.prepare(prepared, width)
     listed = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
     return prepared.select(*keys, *(v.alias(k) for k, v in cols.items()), listed(given).alias("_inputs"), listed([t.name for t in chosen]).alias("_traits_run"))
 

@@ -49,10 +49,9 @@ def test_safe_division(spark):
 
 
 def test_green_plant(spark):
-    n = [30.0] * 4, [200.0] * 4, [40.0] * 4, [True] * 4
-    s, masked = R.rgb_summaries(F.col("r"), F.col("g"), F.col("b"), F.col("m"))
-    got = one(spark, n, "r array<double>, g array<double>, b array<double>, m array<boolean>", s=s, n=masked)
-    assert got.s.ExG.mean > 1 and got.s.GRVI.mean > 0.5 and got.s.VARI.mean is not None and got.n == 4 and got.s.ExG.n == 4
+    df = spark.createDataFrame([([30.0] * 4, [200.0] * 4, [40.0] * 4, [True] * 4)], "r array<double>, g array<double>, b array<double>, m array<boolean>")
+    got = R.rgb_summaries(df, "r", "g", "b", "m").first()
+    assert got.ExG.mean > 1 and got.GRVI.mean > 0.5 and got.VARI.mean is not None and got.rgb_masked == 4 and got.ExG.n == 4
 
 
 def test_uniform_bands(spark):
