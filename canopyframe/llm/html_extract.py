@@ -49,8 +49,8 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DROP_TAGS = frozenset("head script style noscript template nav footer aside form button select option textarea iframe svg canvas object embed dialog menu title xmp noembed noframes audio video map".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 DROP_NAMES = frozenset(
-    """ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner sidebar rail nav navbar navigation menu
-    breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription
+    """ad ads adv advert adverts advertisement advertising adbox adslot adunit adsense adbanner sponsor sponsored promo promotion banner sidebar rail nav navbar navigation menu
+    breadcrumb breadcrumbs footer sidenav subnav cookie cookies cookiebar cookiebanner consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription
     signup login social share sharing related recommended recommendations comment comments reply replies disqus discussion respond widget toolbar
     pagination pager copyright disclaimer legal search masthead topbar skip hidden""".split()
 )

@@ -9,8 +9,8 @@ and stops when the next bound is below its k-th best score, so the result is
 exact.  A task keeps k candidates per query over all its rows; these meet in a
 last ranking per query.
 
-Queries are taken in groups of at most ``GROUP`` (what a task holds is bounded
-for any table); each group is one pass over the table.
+Queries are taken in groups of about ``GROUP_VALUES`` components (what a task
+holds is bounded for any table); each group is one pass over the table.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part; vectors of different lengths are not compared;
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 TOP = 5
 EVERY = 50
-GROUP = 16_384
+GROUP_VALUES = 1 << 20
 PIVOTS = 24
 STEP = 256
 SLACK = 1e-6
@@ -122,8 +122,9 @@ class Search:
 
 
 def _groups(queries: DataFrame) -> Iterator[list[tuple[int, list[float]]]]:
-    """The distinct queries, at most about GROUP at a time."""
-    n = -(-queries.count() // GROUP)
+    """The distinct queries, about GROUP_VALUES components at a time."""
+    values = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    n = -(-values // GROUP_VALUES)
     for g in range(n):
         yield queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == g).collect()
 
