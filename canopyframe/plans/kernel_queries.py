@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import kernels as K, raster as R
 from . import traits
@@ -125,3 +125,52 @@ def q_resize_mask(spark, d):
 def q_all_traits_rows(spark, d):
     """Every trait of the registry over frames with all inputs."""
     return traits.compute_traits(bands(channels(frames(spark, d))), SIDE, ["frame_id"])
+
+
+@query()
+def q_canopy_geometry_rows(spark, d):
+    import numpy as np
+
+    def kernel(e):
+        g = K.canopy_geometry(900 + 100 * _grid(e), _grid(e) > 0, CAMERA, np.array([0.0, 0.0, 1000.0]))
+        return {k: g[k] for k in ("projected_area", "envelope_volume", "mean_height", "p95_height", "visible_surface_area", "qc_pass", "qc_reasons")}
+
+    schema = "projected_area double, envelope_volume double, mean_height double, p95_height double, visible_surface_area double, qc_pass boolean, qc_reasons string"
+    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, schema)
+
+
+@query()
+def q_plant_height_rows(spark, d):
+    def kernel(e):
+        return K.plant_height(900 + 100 * _grid(e), _grid(e) > 0, CAMERA)
+
+    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "mean_height double, p95_height double, max_height double, missing_reason string")
+
+
+@query()
+def q_segment_cleanup_rows(spark, d):
+    """Frames of a label as a thermal segment: sequential cleanup, layers, checks, statistics."""
+    from ..operators import segments
+
+    idx = F.row_number().over(Window.partitionBy("label").orderBy("frame_id")) - 1
+    f = frames(spark, d).withColumn("frame_idx", idx)
+    cleaned = segments.clean_segments(f, ["label"], SIDE, 0, [(3, 3)], [1], reach=1)
+    return segments.segment_metrics(cleaned, f, ["label"], SIDE, 30_000, 5)
+
+
+@query(f"""WITH {PX}, c AS (SELECT frame_id, count(*) FILTER (WHERE e > 0) AS n, min(x) FILTER (WHERE e > 0) AS x0, max(x) FILTER (WHERE e > 0) AS x1, min(y) FILTER (WHERE e > 0) AS y0, max(y) FILTER (WHERE e > 0) AS y1 FROM px GROUP BY frame_id)
+SELECT frame_id, n > 0 AS ok, (x1 - x0 + 1) * (y1 - y0 + 1) AS n_cropped, n AS n_plant FROM c""")
+def q_crop_frames(spark, d):
+    from . import runs
+
+    out = runs.crop_frames(frames(spark, d), ["frame_id"], SIDE, SIDE)
+    plant = F.size(F.filter("cropped", lambda t: t.isNotNull())).cast("long")
+    return out.select("frame_id", "ok", F.size("cropped").cast("long").alias("n_cropped"), plant.alias("n_plant"))
+
+
+@query(f"""WITH {PX} SELECT frame_id, trait, value FROM (UNPIVOT (SELECT frame_id, count(*) FILTER (WHERE e > 0)::DOUBLE AS area_px, min(x) FILTER (WHERE e > 0)::DOUBLE AS bbox_x FROM px GROUP BY frame_id) ON area_px, bbox_x INTO NAME trait VALUE value)""")
+def q_long_traits(spark, d):
+    from . import runs
+
+    t = traits.compute_traits(frames(spark, d).select("frame_id", "mask"), SIDE, ["frame_id"])
+    return runs.long_traits(t.select("frame_id", "area_px", "bbox_x"), ["frame_id"])
