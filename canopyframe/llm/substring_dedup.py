@@ -50,12 +50,13 @@ from ._shared import materialize
 
 WIDTH = 100
 GRAM = 32
-#: Bytes handled at once; positions must fit the low bits of a packed minimum.
-CHUNK, POSITION_BITS = 1 << 20, 22
+#: Bytes handled at once (arrays that stay in the cache); positions must fit the low bits of a packed minimum.
+CHUNK, POSITION_BITS = 1 << 16, 22
+BATCH_BYTES = 1 << 22
 #: Bits of the bitmap of repeated hashes: 16 MB, whatever the corpus.
 BITMAP = 1 << 27
 SHARD = 4096
-SHARD_BYTES = 1 << 18
+SHARD_BYTES = 1 << 16
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -179,7 +180,7 @@ def _anchor_batches(surroundings: bool, bitmap=None):
             raw = batch.column("text").cast(pa.binary())
             held, size, first = [], 0, 0
             for i in range(len(raw) + 1):
-                if i == len(raw) or size > 4 * CHUNK:
+                if i == len(raw) or size > BATCH_BYTES:
                     a = anchors(held, surroundings=surroundings, bitmap=wanted)
                     if surroundings:
                         doc = a["doc"] + first
@@ -215,7 +216,7 @@ def symbol_words(lanes: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def suffix_ranks(lanes: np.ndarray, depth: int) -> np.ndarray:
+def suffix_ranks(lanes: np.ndarray, depth: int, flat: np.ndarray | None = None) -> np.ndarray:
     """Rank of each suffix of each lane, sorted to at least ``depth`` symbols; ties share a rank.
 
     Sorted to the lanes' length, only suffixes that are equal to their ends
@@ -228,7 +229,7 @@ def suffix_ranks(lanes: np.ndarray, depth: int) -> np.ndarray:
     alone.
     """
     n, length = lanes.shape
-    flat = symbol_words(lanes)
+    flat = symbol_words(lanes) if flat is None else flat
     order = np.argsort(flat)
     ranks = np.empty(n * length, dtype=np.int64)
     changed = np.r_[True, flat[order][1:] != flat[order][:-1]]
@@ -255,7 +256,7 @@ def suffix_ranks(lanes: np.ndarray, depth: int) -> np.ndarray:
     return ranks
 
 
-def common_prefixes(lanes: np.ndarray, order: np.ndarray, most: int, columns: int | None = None) -> np.ndarray:
+def common_prefixes(lanes: np.ndarray, order: np.ndarray, most: int, columns: int | None = None, words: np.ndarray | None = None) -> np.ndarray:
     """Kasai: common prefix (up to ``most``) of each suffix in order with the one before it.
 
     Only suffixes of the first ``columns`` are looked at; the others count as 0.
@@ -264,7 +265,7 @@ def common_prefixes(lanes: np.ndarray, order: np.ndarray, most: int, columns: in
     carries over from its last suffix, less one.
     """
     n, length = lanes.shape
-    text, words = lanes.ravel(), symbol_words(lanes)  # each lane ends in 0, where every comparison stops
+    text, words = lanes.ravel(), symbol_words(lanes) if words is None else words  # each lane ends in 0, where every comparison stops
     before = np.full(n * length, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n * length, dtype=np.int64)
@@ -309,11 +310,12 @@ def earliest_windows(texts: list[bytes], starts: np.ndarray, counts: np.ndarray,
         lanes[i, : len(x)] = np.frombuffer(x, dtype=np.uint8)
     for i, x in enumerate(texts):
         lanes[i, : len(x)] += 1
-    ranks = suffix_ranks(lanes, length)
+    words = symbol_words(lanes)
+    ranks = suffix_ranks(lanes, length, words)
     order = np.argsort(ranks * len(ranks) + np.arange(len(ranks)))  # full ties by lane
     runs = np.empty(len(order), dtype=np.int64)
     # a suffix too short for a window shares none
-    runs[order] = np.cumsum(common_prefixes(lanes, order, width, length - width) < width)
+    runs[order] = np.cumsum(common_prefixes(lanes, order, width, length - width, words) < width)
     lane = np.repeat(np.arange(len(texts)), counts)
     column = np.repeat(starts, counts) + np.arange(len(lane)) - np.repeat(np.cumsum(counts) - counts, counts)
     run, doc, offset = runs[lane * length + column], d[lane], at[lane] + column
@@ -412,7 +414,7 @@ def _cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 for k, v in (("h", h), ("salt", salt), ("split", split), ("d", d), ("t", t), ("at", at), ("base", lo), ("start", 0), ("count", before - after + 1), ("text", raw[lo:hi])):
                     out[k].append(v)
                 size += hi - lo
-            if size > 4 * CHUNK:
+            if size > BATCH_BYTES:
                 yield _cut_batch(out)
                 out, size = {k: [] for k in out}, 0
         yield _cut_batch(out)
