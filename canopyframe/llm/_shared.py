@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -32,10 +34,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: columns can be pruned, unlike those of a checkpoint."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{_checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # what led here is garbage once the frame is let go; collecting it now lets the driver drop its
+    # shuffle files before the next phase writes its own
+    del df
+    for _ in range(2):  # the second finds what the first has cut loose
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    return spark.read.schema(schema).parquet(path)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

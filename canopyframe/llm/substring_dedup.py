@@ -508,7 +508,8 @@ def with_windows(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"),
         F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int").alias("t"), "text",
     )
-    by_doc = removed_windows(keyed.select("d", "t", "text")).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
+    # written before the texts are dealt, so that only one of the two large shuffles is on disk at a time
+    by_doc = materialize(removed_windows(keyed.select("d", "t", "text")).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("windows")))
     return packed(keyed).join(by_doc, ["d", "t"], "left").select("doc_id", "packed", "windows")
 
 
