@@ -14,6 +14,11 @@ joins the text of the blocks that remain.  Where the page marks its article
 (paragraphs, headings, quotations) is kept even if it recurs on the host:
 copied articles are articles.
 
+A name tells what its element is as a whole or by its last part (``ad-box``,
+``site-footer``), not as any word in it.  Names do not count for html and body,
+for ``main`` and what is around it, nor, where every ``article`` would be lost,
+for one, or what is around one, that holds most of the page's text.
+
 Text: character references decoded, white space inside a block is one space,
 blocks are trimmed and joined in page order by one space.
 
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from html import unescape
 
 import pyarrow as pa
@@ -39,6 +45,8 @@ from ._shared import checkpoint
 BROADCAST_HASHES = 500_000
 MIN_PAGES = 3
 MIN_SHARE = 0.3
+#: Share of a page's text above which a subtree is taken for the page's own text.
+MOST = 0.75
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -54,6 +62,8 @@ DROP_NAMES = frozenset(
     signup login social share sharing related recommended recommendations comment comments reply replies disqus discussion respond widget toolbar
     pagination pager copyright disclaimer legal search masthead topbar skip hidden""".split()
 )
+#: First parts of names that speak of something else: a wrapper that has a sidebar is none.
+STATES = frozenset("has have with no not without".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul dd dt".split()
 )
@@ -69,7 +79,7 @@ ENDS = {
 }
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
-_NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
 
 
 class Tree:
@@ -150,8 +160,36 @@ class Tree:
             return True
         if re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
             return True
-        names = f"{a.get('class', '')} {a.get('id', '')}"
-        return bool(names.strip()) and not DROP_NAMES.isdisjoint(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()))
+        return i not in self.spared and any(map(_names_boilerplate, f"{a.get('class', '')} {a.get('id', '')}".split()))
+
+    @cached_property
+    def weights(self) -> list[int]:
+        """Characters of text in each subtree that no tag says to be boilerplate."""
+        out = [0] * len(self.tags)
+        for i in range(len(self.tags) - 1, -1, -1):
+            if self.tags[i] not in DROP_TAGS:
+                out[i] = sum(out[k] if isinstance(k, int) else len("".join(k.split())) for k in self.kids[i])
+        return out
+
+    def holds_most(self, i: int) -> bool:
+        return self.weights[i] > MOST * self.weights[0]
+
+    @cached_property
+    def spared(self) -> set[int]:
+        """Elements whose names do not count."""
+        self.spared = out = {i for i, tag in enumerate(self.tags) if tag in ("html", "body")}
+        for i, tag in enumerate(self.tags):
+            if tag == "main" or self.attrs[i].get("role", "").lower() == "main":
+                while i > 0 and i not in out:
+                    out.add(i)
+                    i = self.parent[i]
+        if "article" in self.tags and not self.roots():
+            for i, tag in enumerate(self.tags):
+                while tag == "article" and i > 0 and i not in out:
+                    if self.holds_most(i):
+                        out.add(i)
+                    i = self.parent[i]
+        return out
 
     def roots(self) -> list[int]:
         """The elements that hold the article: a main, else the outermost articles; none if the page marks none."""
@@ -228,6 +266,11 @@ class Tree:
         return {hashes[i] for i in range(1, len(self.tags)) if self.tags[i] not in INLINE and self.tags[i] not in VOID and self.tags[i] not in RAW and self.kids[i]}
 
 
+def _names_boilerplate(name: str) -> bool:
+    parts = _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+    return bool(parts) and parts[0] not in STATES and (parts[-1] in DROP_NAMES or "".join(parts) in DROP_NAMES)
+
+
 def extract(html: str | None, templates: set[bytes] | frozenset[bytes] = frozenset()) -> str:
     return Tree(html or "").text(templates)
 

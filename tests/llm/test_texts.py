@@ -59,6 +59,20 @@ def test_copied_articles_stay(spark):
     assert {r.text for r in html_extract.extract_pages(pages).collect()} == {"the same words"}
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<body class='has-sidebar'><article><p>said</p></article></body>", "said"),
+    ("<body class='sidebar'><p>said</p></body>", "said"),
+    ("<div id=page class='with-sidebar'><article><p>said</p></article></div>", "said"),
+    ("<div class='legal-news'><article><p>said</p></article></div>", "said"),
+    ("<div class='legal'><article><p>said</p></article><footer>a much longer footer</footer></div>", "said"),
+    ("<div class='notice'><main><p>said</p></main></div><p>much longer text elsewhere</p>", "said"),
+    ("<div class='search-results'><p>said</p></div><div class='site-search'>find</div>", "said"),
+    ("<div><p>the text of the page</p></div><div class='sidebar'><article>teaser</article></div>", "the text of the page"),
+])
+def test_names_of_wrappers_do_not_count(html, text):
+    assert html_extract.extract(html) == text
+
+
 def test_deep_and_long_pages():
     assert html_extract.extract("<div>" * 5000 + "deep") == "deep"
     assert len(html_extract.extract("<article>" + "<p>word</p>" * 20000 + "</article>")) == 5 * 20000 - 1
