@@ -1,18 +1,19 @@
 """Main text of web pages by site template removal.
 
 Pass 1 parses every page, hashes each element subtree (tag, class, id, text)
-and counts, per host, the pages that hold it.  A subtree that recurs on at
-least ``MIN_PAGES`` pages and ``MIN_SHARE`` of its host's pages belongs to the
-site's template.  At that share a host has at most ``1 / MIN_SHARE`` times as
-many template subtrees as a page has subtrees, so the list joined to each page
-of a host is bounded, however many pages the host has.
+and counts, per host, the distinct pages that hold it: pages whose text is the
+same once what says to be boilerplate is gone are copies and count as one.  A
+subtree on at least ``MIN_PAGES`` distinct pages of its host belongs to the
+site's template, if they are ``MIN_SHARE`` of its pages.
 
 Pass 2 parses again, deletes template subtrees and elements that say what they
 are (nav, footer, aside, form, script ..., or such a class, id or role), and
 joins the text of the blocks that remain.  Where the page marks its article
-(``main`` or ``article``), only that is taken, and running text within it
-(paragraphs, headings, quotations) is kept even if it recurs on the host:
-copied articles are articles.
+(``main`` or ``article``), only that is taken, and nothing within it is deleted
+as a template: shared articles are articles.  The one exception is a container
+(div, section) of nothing but links, which goes if it is on ``MIN_PAGES`` pages,
+copies or not.  On a page that marks no article, a subtree that holds most
+(``MOST``) of the text stays too.
 
 A name tells what its element is as a whole or by its last part (``ad-box``,
 ``site-footer``), not as any word in it.  Names do not count for html and body,
@@ -24,7 +25,7 @@ blocks are trimmed and joined in page order by one space.
 
 Defined cases: null html is an empty page and gives empty text; unclosed and
 stray tags are tolerated; null or odd urls share the empty host; repeated rows
-count as pages of their own and are extracted alike; an empty table gives no
+count as copies and are extracted alike; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -228,9 +229,17 @@ class Tree:
                 blocks.append(" ".join(words))
             pieces.clear()
 
+        # of a main that holds articles only those are the article
+        articles = {i for i, tag in enumerate(self.tags) if tag == "article"} if templates else set()
+        around = set()
+        for i in articles:
+            while i > 0 and i not in around:
+                around.add(i)
+                i = self.parent[i]
+
         for root in roots or [0]:
             flush()
-            work: list = [(root, bool(roots))]
+            work: list = [(root, bool(roots), root not in around or root in articles)]
             while work:
                 item = work.pop()
                 if item is None:
@@ -239,7 +248,8 @@ class Tree:
                 if isinstance(item, str):
                     pieces.append(item)
                     continue
-                i, within = item
+                i, within, own = item
+                own = own or i in articles
                 tag = self.tags[i]
                 if tag == "br":
                     pieces.append(" ")
@@ -249,21 +259,44 @@ class Tree:
                         if tag not in INLINE:
                             flush()
                         continue
-                    if templates and hashes[i] in templates and not (within and (tag in PROSE or tag in INLINE)) and tag not in ("html", "body"):
+                    if templates and hashes[i] in templates and tag not in ("html", "body") and not self._stays(i, within, own, i in around):
                         flush()
                         continue
                 block = tag not in INLINE
                 if block:
                     flush()
                     work.append(None)
-                work.extend((k, within) if isinstance(k, int) else k for k in reversed(self.kids[i]))
+                work.extend((k, within, within and own) if isinstance(k, int) else k for k in reversed(self.kids[i]))
             flush()
         return " ".join(blocks)
 
-    def countable(self) -> set[bytes]:
-        """Hashes of the block subtrees that hold anything."""
+    def _stays(self, i: int, within: bool, own: bool, around: bool) -> bool:
+        """Whether a recurring subtree is text of the page all the same."""
+        if not within:
+            return self.holds_most(i)
+        return around or (own and not self.only_links(i)) or self.tags[i] in PROSE or self.tags[i] in INLINE
+
+    @cached_property
+    def _plain(self) -> list[tuple[bool, bool]]:
+        """Of each subtree: whether it has text outside links, and whether it has links."""
+        out = [(False, False)] * len(self.tags)
+        for i in range(len(self.tags) - 1, -1, -1):
+            kids = [out[k] if isinstance(k, int) else (bool(k.strip()), False) for k in self.kids[i]]
+            out[i] = (False, True) if self.tags[i] == "a" else (any(k[0] for k in kids), any(k[1] for k in kids))
+        return out
+
+    def only_links(self, i: int) -> bool:
+        """A container all of whose text is in links."""
+        return self.tags[i] in ("div", "section") and self._plain[i] == (False, True)
+
+    def countable(self) -> dict[bytes, bool]:
+        """Hashes of the block subtrees that hold anything, and whether it is only links."""
         hashes = self.hashes()
-        return {hashes[i] for i in range(1, len(self.tags)) if self.tags[i] not in INLINE and self.tags[i] not in VOID and self.tags[i] not in RAW and self.kids[i]}
+        return {
+            hashes[i]: self.only_links(i)
+            for i in range(1, len(self.tags))
+            if self.tags[i] not in INLINE and self.tags[i] not in VOID and self.tags[i] not in RAW and self.kids[i]
+        }
 
 
 def _names_boilerplate(name: str) -> bool:
@@ -281,20 +314,25 @@ def host_of(url: Column) -> Column:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, found = [], []
+        hosts, found, links, same = [], [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html")):
-            mine = Tree(html.as_py() or "").countable()
+            tree = Tree(html.as_py() or "")
+            mine = tree.countable()
             hosts += [host] * len(mine)
             found += mine
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.binary())], ["host", "subtree"])
+            links += mine.values()
+            same += [xxhash.xxh3_64_intdigest(tree.text(frozenset()).encode("utf-8", "replace")) - (1 << 63)] * len(mine)
+        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.binary()), pa.array(links, pa.bool_()), pa.array(same, pa.int64())], ["host", "subtree", "links", "same"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, templates (array of subtree hashes) for every host that has any."""
     hosted = pages.select(host_of(F.col("url")).alias("host"), "html")
-    counted = hosted.mapInArrow(_subtrees, "host string, subtree binary").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
+    distinct = hosted.mapInArrow(_subtrees, "host string, subtree binary, links boolean, same long").groupBy("host", "subtree", "links", "same").agg(F.count(F.lit(1)).alias("n"))
+    counted = distinct.groupBy("host", "subtree", "links").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"))
     sizes = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    recurring = counted.join(sizes, "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
+    of = F.when(F.col("links"), F.col("n")).otherwise(F.col("contexts"))
+    recurring = counted.where(of >= MIN_PAGES).join(sizes, "host").where(of >= MIN_SHARE * F.col("pages"))
     return recurring.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 

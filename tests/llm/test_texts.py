@@ -59,6 +59,25 @@ def test_copied_articles_stay(spark):
     assert {r.text for r in html_extract.extract_pages(pages).collect()} == {"the same words"}
 
 
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize("broadcast", [html_extract.BROADCAST_HASHES, 0])
+def test_shared_article_text_stays(spark, broadcast, monkeypatch):
+    """Copies are no recurrence, and what several distinct pages share within an article is the article's."""
+    monkeypatch.setattr(html_extract, "BROADCAST_HASHES", broadcast)
+    body = "<div><p>shared body</p><ul><li>one</ul><table><tr><td>two</table></div>"
+    rows = [(i, "http://a.example/x", f"<article>{body}</article>") for i in range(3)]
+    rows += [(10 + i, "http://b.example/x", f"<article>{body}<p>own {i}</p></article>") for i in range(3)]
+    rows += [(20 + i, "http://c.example/x", "<div><div>Menu line</div><p>copied page</p><ul><li>list</ul></div>") for i in range(3)] + [(30 + i, None, "<p>copied too") for i in range(3)]
+    rows += [(40 + i, "http://d.example/x", f"<div><div>{'long text ' * 9}</div><p>own {i}</p></div>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {
+        **{i: "shared body one two" for i in range(3)}, **{10 + i: f"shared body one two own {i}" for i in range(3)}, **{20 + i: "Menu line copied page list" for i in range(3)},
+        **{30 + i: "copied too" for i in range(3)}, **{40 + i: "long text " * 9 + f"own {i}" for i in range(3)},
+    }
+
+
 @pytest.mark.parametrize("html, text", [
     ("<body class='has-sidebar'><article><p>said</p></article></body>", "said"),
     ("<body class='sidebar'><p>said</p></body>", "said"),
