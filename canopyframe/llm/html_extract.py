@@ -4,7 +4,7 @@ Pass 1 parses every page, hashes each element subtree (tag, class, id, text)
 and counts, per host, the distinct pages that hold it: pages whose text is the
 same once what says to be boilerplate is gone are copies and count as one.  A
 subtree on at least ``MIN_PAGES`` distinct pages of its host belongs to the
-site's template, if they are ``MIN_SHARE`` of its pages.
+site's template, however many pages the host has.
 
 Pass 2 parses again, deletes template subtrees and elements that say what they
 are (nav, footer, aside, form, script ..., or such a class, id or role), and
@@ -40,12 +40,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import checkpoint
+from ._shared import checkpoint, hash128
 
-#: Template hashes (16 bytes each) up to which the whole table is sent to every task.
+#: Template hashes (16 bytes each) up to which the whole table is sent to every task; beyond, each page is joined to its own.
 BROADCAST_HASHES = 500_000
 MIN_PAGES = 3
-MIN_SHARE = 0.3
 #: Share of a page's text above which a subtree is taken for the page's own text.
 MOST = 0.75
 
@@ -326,38 +325,66 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, templates (array of subtree hashes) for every host that has any."""
+    """host, subtree for every template subtree."""
     hosted = pages.select(host_of(F.col("url")).alias("host"), "html")
     distinct = hosted.mapInArrow(_subtrees, "host string, subtree binary, links boolean, same long").groupBy("host", "subtree", "links", "same").agg(F.count(F.lit(1)).alias("n"))
     counted = distinct.groupBy("host", "subtree", "links").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"))
-    sizes = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    of = F.when(F.col("links"), F.col("n")).otherwise(F.col("contexts"))
-    recurring = counted.where(of >= MIN_PAGES).join(sizes, "host").where(of >= MIN_SHARE * F.col("pages"))
-    return recurring.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    return counted.where((F.col("contexts") >= MIN_PAGES) | (F.col("links") & (F.col("n") >= MIN_PAGES))).select("host", "subtree")
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
-def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, frozenset[bytes]] = {}
+def _extracted(batch: pa.RecordBatch, lists: Iterator[frozenset[bytes]]) -> pa.RecordBatch:
+    out = [extract(html.as_py(), listed) for html, listed in zip(batch.column("html"), lists)]
+    return pa.record_batch(
+        [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"]
+    )
+
+
+def _extract_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _extracted(batch, (frozenset(listed.as_py() or ()) for listed in batch.column("templates")))
+
+
+def _page_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for host, html, listed in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("templates")):
-            if host not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[host] = frozenset(listed.as_py() or ())
-            out.append(extract(html.as_py(), known[host]))
-        yield pa.record_batch(
-            [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"]
-        )
+        at, found = [], []
+        for i, html in enumerate(batch.column("html")):
+            mine = Tree(html.as_py() or "").countable()
+            at += [i] * len(mine)
+            found += mine
+        rows = batch.select(["k1", "k2", "host"]).take(pa.array(at, pa.int64()))
+        yield pa.record_batch([*rows.columns, pa.array(found, pa.binary())], ["k1", "k2", "host", "subtree"])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """The columns of the query: page_id, url, text, n_chars for every page."""
     hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     listed = checkpoint(templates(pages))
-    # beyond the checked size the join is by host, where adaptive execution splits a host of very many pages
-    size = listed.agg(F.coalesce(F.sum(F.size("templates")), F.lit(0))).first()[0]
-    return hosted.join(F.broadcast(listed) if size <= BROADCAST_HASHES else listed, "host", "left").mapInArrow(_extract_batches, SCHEMA)
+    if listed.count() <= BROADCAST_HASHES:
+        by_host: dict[str, list[bytes]] = {}
+        for host, subtree in listed.toLocalIterator():
+            by_host.setdefault(host, []).append(bytes(subtree))
+        shared = pages.sparkSession.sparkContext.broadcast({host: b"".join(sorted(subtrees)) for host, subtrees in by_host.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, frozenset[bytes]] = {}
+
+            def of(host: str) -> frozenset[bytes]:
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    packed = shared.value.get(host, b"")
+                    known[host] = frozenset(packed[i : i + 16] for i in range(0, len(packed), 16))
+                return known[host]
+
+            for batch in batches:
+                yield _extracted(batch, map(of, batch.column("host").to_pylist()))
+
+        return hosted.mapInArrow(run, SCHEMA)
+    # beyond the checked size each page gets the templates it holds, so no row grows with its host; equal pages share a key
+    keyed = hosted.withColumns(dict(zip(("k1", "k2"), hash128(F.col("host"), F.col("html")))))
+    on_page = keyed.select("k1", "k2", "host", "html").mapInArrow(_page_subtrees, "k1 long, k2 long, host string, subtree binary")
+    mine = on_page.join(listed, ["host", "subtree"]).groupBy("k1", "k2").agg(F.collect_set("subtree").alias("templates"))
+    return keyed.join(mine, ["k1", "k2"], "left").mapInArrow(_extract_joined, SCHEMA)

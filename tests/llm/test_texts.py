@@ -92,6 +92,15 @@ def test_names_of_wrappers_do_not_count(html, text):
     assert html_extract.extract(html) == text
 
 
+@pytest.mark.parametrize("broadcast", [html_extract.BROADCAST_HASHES, 0])
+def test_templates_do_not_depend_on_host_size(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(html_extract, "BROADCAST_HASHES", broadcast)
+    page = lambda i: ("<div>Give to our campaign</div>" if i < 4 else "") + f"<div><p>unique text number {i}</p></div>"
+    for n in (8, 60):
+        pages = spark.createDataFrame([(i, "http://a.example/x", page(i)) for i in range(n)], PAGES)
+        assert {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()} == {i: f"unique text number {i}" for i in range(n)}
+
+
 def test_deep_and_long_pages():
     assert html_extract.extract("<div>" * 5000 + "deep") == "deep"
     assert len(html_extract.extract("<article>" + "<p>word</p>" * 20000 + "</article>")) == 5 * 20000 - 1
