@@ -11,9 +11,9 @@ as those are settled.
 
 The field is trained here, on generated sentences with a fixed seed, by
 gradient ascent on the conditional log-likelihood with the forward-backward
-sums of a semi-Markov chain.  Text without a trigger (three digits in a row, a
-bracketed or spelled-out separator, a credential prefix) has no candidate, so
-it is passed over without changing the result.
+sums of a semi-Markov chain.  Every candidate holds a trigger (``_TRIGGER`` has
+one for each shape), so words out of reach of any trigger are passed over
+without changing the result.
 
 Defined cases: null text is empty; empty text has no spans; offsets are code
 points, ends exclusive; repeated rows are judged alike; an empty table gives
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,7 +37,6 @@ from pyspark.sql import DataFrame, functions as F
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 MAX_TOKENS = 24
-MARGIN = 120
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only start where a run of digits starts, which keeps long runs linear
@@ -98,8 +98,15 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the field ---------------------------------------------------------------
 
+_WORD = re.compile(r"\S+")
 _TOKEN = re.compile(r"[^\W_]+|[^\s]")
-_TRIGGER = re.compile(r"[0-9]{3}|[0-9a-fA-F]:[0-9a-fA-F:]|[\[(]\s?(?:at|AT)\s?[\])]|\b(?:dot|DOT)\b|\b(?:AKIA|ghp_|sk-|xox[bp]-)")
+#: What any span with a shape and three digits, or with a spelled-out at-sign, holds: digits in a row, two groups of
+#: digits, the start of an IPv6 address, an at-sign before a domain, a long word, a credential prefix.
+_TRIGGER = re.compile(
+    r"[0-9]{3}|[0-9]{2}\)?[ -][0-9]{2}|[0-9]\)?\.[0-9]|[0-9a-fA-F]:[0-9a-fA-F:]|[\[(]\s?(?:at|AT|@)\s?[\])]"
+    r"|\s(?:at|AT|@)\s[A-Za-z0-9-]+(?:\s?[\[(]\s?(?:dot|DOT|\.)|\s(?:dot|DOT)\s|\.[A-Za-z0-9-])"
+    r"|[A-Za-z0-9_/+-]{20}|(?<![^\W_])(?:AKIA|ghp_|sk-|xox[bp]-)"
+)
 _OBFUSCATED = re.compile(
     r"[A-Za-z0-9._%+-]+(?:\s?[\[(]\s?(?:at|AT|@)\s?[\])]\s?|\s(?:at|AT|@)\s)[A-Za-z0-9-]+(?:(?:\s?[\[(]\s?(?:dot|DOT|\.)\s?[\])]\s?|\s(?:dot|DOT)\s|\.)[A-Za-z0-9-]+)+"
 )
@@ -324,14 +331,14 @@ def trained_weights(epochs: int = 60, rate: float = 0.5, decay: float = 2e-3) ->
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around triggers, merged where they meet, cut at white space."""
-    lo = hi = -1
+    """Stretches of ``MAX_TOKENS`` words around triggers, merged where they meet: a candidate that meets a trigger lies in one."""
+    words, lo, hi = None, -1, -1
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        while a and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
+        if words is None:
+            words = [(w.start(), w.end()) for w in _WORD.finditer(text)]
+            starts = [w[0] for w in words]
+        first = max(0, bisect_right(starts, m.start()) - 1 - MAX_TOKENS)
+        a, b = words[first][0], words[min(len(words), bisect_left(starts, m.end()) + MAX_TOKENS) - 1][1]
         if a <= hi:
             hi = max(hi, b)
         else:

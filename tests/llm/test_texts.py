@@ -308,6 +308,21 @@ def test_field_generalizes():
     assert right / (right + missed) > 0.9 and right / (right + false) > 0.9
 
 
+def test_passing_over_text_changes_nothing():
+    """Spans found around triggers are those of one decoding over the whole text."""
+    weights, r = pii.trained_weights(), random.Random(13)
+    parts = [
+        "01 23 45 67 89", "01-23-45-67-89", "(02) 34 56 78", "12.34.56.78", "12.5", "a1b2c3d4e5f6a7b8c9d0a1b2c3d4e5f6", "x1-y2_z3/abcdefghijklm", "bob at corp.com", "bob (@) corp.com", "bob @ corp [.] com",
+        "bob [at] corp dot com", "2001:db8::12", "_AKIA1B2C3QWERTY", "2020-01-01 12:00", "555-123-4567", "4111 1111 1111 1111", "a.b@c.de", "tel", "call", "key:", "at", "dot", "3", "47", "\n",
+    ]
+    texts = [f"call {x} now" for x in parts] + [" ".join(r.choice([*parts, "word", "longerword,", "and"] + ["fill"] * 30) for _ in range(150)) for _ in range(25)]
+    for text in texts:
+        base = pii.base_spans(text)
+        n, found = pii.candidates(text, 0, len(text), base)
+        assert pii.find_spans(text, weights)[1] == sorted({*base, *((k, c.start, c.end) for c, k in pii.decode(n, found, weights))}), text
+    assert (3, 5, 19) in pii.find_spans("call 01-23-45-67-89 now", weights)[1]
+
+
 def test_field_marginals_sum_to_one():
     weights = pii.trained_weights()
     n, found = pii.candidates("call (555) 123-4567 now", 0, 23, [])
