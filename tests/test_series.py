@@ -360,3 +360,39 @@ def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame([(1, [True, False])], "frame_id int, mask array<boolean>").write.parquet(str(tmp_path / "f"))
     assert main(["phenotype", "--frames", str(tmp_path / "f"), "--out", str(tmp_path / "t"), "--width", "2"]) == 0
     assert spark.read.parquet(str(tmp_path / "t")).first().area_px == 1
+
+
+def _plain_moving(x, draws=4000, block=12):
+    rng, n = np.random.default_rng(42), len(x)
+    if n < block:
+        return None, None
+    found = [x[((rng.integers(0, n, size=-(-n // block))[:, None] + np.arange(block)) % n).ravel()[:n]].mean() for _ in range(draws)]
+    return tuple(np.quantile(found, [0.025, 0.975]))
+
+
+def _plain_difference(a, b, draws=4000, block=12):
+    rng = np.random.default_rng(42)
+    one = lambda x: np.concatenate([x[s : s + block] for s in rng.integers(0, max(1, len(x) - block + 1), size=-(-len(x) // block))])[: len(x)].mean()
+    found = np.array([one(b) - one(a) for _ in range(draws)])
+    return (*np.percentile(found, [2.5, 97.5]), (found >= 0).mean())
+
+
+def test_bootstrap_queries_take_all_plants_and_draws(spark, tmp_path):
+    from canopyframe.plans import series_queries as Q
+
+    rng, start = np.random.default_rng(3), Q.EVENT[:10]
+    rows = [(i * 1000 + k, i, float(rng.normal(i, 2))) for i, n in ((1, 5), (2, 40), (7, 61), (20, 25), (41, 12)) for k in range(n)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, value double").selectExpr("*", f"timestamp_ntz '{start} 00:00:00' + make_dt_interval(0, event_id % 1000 * 5 - 100) AS ts")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    series = {i: np.array([v for e, u, v in rows if u == i]) for i in (1, 2, 7, 20, 41)}
+    got = {r.plant_id: (r.ci_low, r.ci_high) for r in Q.q_bootstrap_rows(spark, str(tmp_path)).collect()}
+    assert got == {i: _plain_moving(x) for i, x in series.items()}
+    after = {(r.user_id, r.event_id) for r in df.where(Q._post()).collect()}
+    boot = {(r.plant_id, r.scope): r for r in Q.q_stress_contrast_rows(spark, str(tmp_path)).collect()}
+    assert {p for p, _ in boot} == set(series)
+    for i, x in series.items():
+        side = np.array([(i, e) in after for e, u, _ in rows if u == i])
+        if min(side.sum(), (~side).sum()) >= 2:
+            r = boot[i, "all"]
+            assert (r.boot_ci_low, r.boot_ci_high, r.p_positive) == _plain_difference(x[~side], x[side])
+    assert sum(r.p_positive is not None for r in boot.values()) > 3
