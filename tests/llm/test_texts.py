@@ -379,6 +379,12 @@ def test_pipeline_stages(spark, corpus):
     assert set(seen["mixing"]) == set(range(120))
 
 
+def test_line_stage_judges_short_lines(spark):
+    rows = [(i, f"own line {i}\nAll rights reserved.\n\nfew {i % 4}", None, f"site{i % 8}") for i in range(16)]
+    got = {x.doc_id: x.text for x in corpus_pipeline.line_stage(spark, frame(spark, rows), "").collect()}
+    assert "All rights reserved." in got[0] and all(got[i].startswith(f"own line {i}\n\n") for i in range(1, 16))
+
+
 def test_pipeline_run_agrees_with_stages(spark, corpus):
     path = corpus[0]
     docs = spark.read.parquet(f"{path}/documents.parquet")
