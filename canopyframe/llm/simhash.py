@@ -56,8 +56,8 @@ SMALL = 24
 #: near_copies: words of 64 bits, largest share of differing bits (five-word
 #: shingles of similarity 0.8 differ in 15 % of the bits, of similarity 0.7 in
 #: 19 %, give or take 1.6 % at 512 bits), and the share of pairs that differ in
-#: ``USUAL`` of the bits which must meet in a bucket.
-WIDE, FAR_SHARE, USUAL, RECALL = 8, 0.165, 0.13, 0.95
+#: as many bits which must meet in a bucket.
+WIDE, FAR_SHARE, RECALL = 8, 0.165, 0.95
 #: Hash bits of each byte value, most significant first.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -145,15 +145,15 @@ def piece_keys(radius: int) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("choice"), F.col("f0").bitwiseAND(_signed(mask)).alias("bits")) for i, mask in enumerate(chosen)))
 
 
-def sample_keys(n: int, wide: int, usual: float = USUAL, recall: float = RECALL) -> Column:
+def sample_keys(n: int, wide: int, far: float = FAR_SHARE, recall: float = RECALL) -> Column:
     """Array of bucket keys by sampled bits, for ``n`` fingerprints.
 
-    As many bits as give each unrelated fingerprint about one bucket of its
-    own, and as many samples as let the share ``recall`` of the pairs that
-    differ in ``usual`` of the bits meet.
+    As many bits as leave about eight unrelated fingerprints to a bucket, and
+    as many samples as let the share ``recall`` of the pairs that differ in
+    ``far`` of the bits, the most a link may, meet.
     """
-    bits = min(40, max(16, ceil(log2(max(n, 2)))))
-    samples = ceil(log(1 - recall) / log(1 - (1 - usual) ** bits))
+    bits = min(40, max(16, ceil(log2(max(n, 2))) - 3))
+    samples = ceil(log(1 - recall) / log(1 - (1 - far) ** bits))
     draw = np.random.default_rng(SEED)
     keys = []
     for i in range(samples):
@@ -333,7 +333,7 @@ def near_copies(documents: DataFrame, shingle: int = 5, wide: int = WIDE, far_sh
     keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64("text").alias("t"), "text")
     printed = checkpoint(with_fingerprints(keyed, shingle, wide).withColumn("node", F.xxhash64(*cols)))
     prints = checkpoint(printed.select("node", *cols).distinct())
-    found = links(prints, sample_keys(prints.count(), wide), int(far_share * 64 * wide), wide, exact=False)
+    found = links(prints, sample_keys(prints.count(), wide, far_share), int(far_share * 64 * wide), wide, exact=False)
     labels = components(found)
     return printed.select("d", "t", "node").join(labels, "node", "left").select("d", "t", "node", F.coalesce("label", "node").alias("label"))
 

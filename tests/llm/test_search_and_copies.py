@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from canopyframe.llm import components, simhash, substring_dedup, topk
 
@@ -144,6 +145,22 @@ def test_links_are_lossless(spark, radius, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("n", [8_000, 30_000_000])
+def test_pairs_at_the_far_limit_meet(spark, n):
+    """Of pairs that differ in as many bits as a link may, the stated share has a bucket in common, at any size."""
+    rng, wide, pairs = np.random.default_rng(9), simhash.WIDE, 600
+    bits = rng.integers(0, 2, (pairs, 64 * wide), dtype=np.uint8)
+    other = bits.copy()
+    for row in other:
+        row[rng.choice(64 * wide, int(simhash.FAR_SHARE * 64 * wide), replace=False)] ^= 1
+    words = [np.packbits(x, axis=1, bitorder="little").view(np.int64).tolist() for x in (bits, other)]
+    rows = [(i, side, *words[side][i]) for i in range(pairs) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "pair long, side int, " + ", ".join(f"{c} long" for c in simhash.fp_columns(wide)))
+    keys = df.select("pair", "side", F.explode(simhash.sample_keys(n, wide)).alias("k"))
+    met = keys.groupBy("pair", "k").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("pair").distinct().count()
+    assert met >= (simhash.RECALL - 0.03) * pairs
+
+
 def test_simhash_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.digest(empty).count() == 0 and simhash.keep_one_of_each(empty).count() == 0
