@@ -9,7 +9,8 @@ site's template, however many pages the host has.
 Pass 2 parses again, deletes template subtrees and elements that say what they
 are (nav, footer, aside, form, script ..., or such a class, id or role), and
 joins the text of the blocks that remain.  Where the page marks its article
-(``main`` or ``article``), only that is taken, and nothing within it is deleted
+(every outermost ``main``, else every outermost ``article`` where they are more
+than headings or teasers), only that is taken, and nothing within it is deleted
 as a template: shared articles are articles.  The one exception is a container
 (div, section) of nothing but links, which goes if it is on ``MIN_PAGES`` pages,
 copies or not.  On a page that marks no article, a subtree that holds most
@@ -20,11 +21,12 @@ A name tells what its element is as a whole or by its last part (``ad-box``,
 for ``main`` and what is around it, nor, where every ``article`` would be lost,
 for one, or what is around one, that holds most of the page's text.
 
-Text: character references decoded, white space inside a block is one space,
+Text: character references decoded in each text node by itself, white space inside a block is one space,
 blocks are trimmed and joined in page order by one space.
 
 Defined cases: null html is an empty page and gives empty text; unclosed and
-stray tags are tolerated; null or odd urls share the empty host; repeated rows
+stray tags are tolerated, in time linear in the page; a quote or tag that is open
+to the end of the page ends at the next bracket; null or odd urls share the empty host; repeated rows
 count as copies and are extracted alike; an empty table gives no
 rows; other columns are ignored.
 """
@@ -32,6 +34,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 from html import unescape
@@ -47,6 +50,8 @@ BROADCAST_HASHES = 500_000
 MIN_PAGES = 3
 #: Share of a page's text above which a subtree is taken for the page's own text.
 MOST = 0.75
+#: Share of the text that nothing says to be boilerplate below which a marked article is taken for a heading or teaser.
+LEAST = 0.25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -77,67 +82,138 @@ ENDS = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+#: Tags that an opening tag may end, and the tags beyond which it does not look, by the opening tag; "p" stands for all of CLOSES_P.
+_RULES = {"p": (frozenset(["p"]), frozenset(["button", "table", "td", "div", "section", "article"])), **ENDS}
+_RULES_OF: dict[str, list[str]] = {}
+for _rule, (_these, _unless) in _RULES.items():
+    for _tag in _these | _unless:
+        _RULES_OF.setdefault(_tag, []).append(_rule)
+
+#: A whole tag: a quote counts only after an equals sign.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+#: What stands for a tag where no whole one is left: up to the next bracket.
+_BROKEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>?")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)))?")
+_KEPT_ATTRIBUTES = frozenset("class id role hidden style aria-hidden".split())
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|$)", re.I) for tag in RAW}
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
 class Tree:
-    """Elements in page order; kids are texts and element numbers, parents come before their kids."""
+    """Elements in page order; kids are texts (decoded, each by itself) and element numbers, parents come before their kids.
+
+    One pass forward: every character is looked at a bounded number of times,
+    whatever is unclosed or stray.
+    """
 
     def __init__(self, html: str) -> None:
         self.tags, self.attrs, self.parent, self.kids = ["#root"], [{}], [-1], [[]]
-        stack, at, end = [0], 0, len(html)
+        self._stack = stack = [0]
+        self._marks: dict[str, list[int]] = {rule: [] for rule in _RULES}  # by rule: places in the stack of the tags it looks for
+        self._open: Counter[str] = Counter()  # open elements by tag
+        self._lines: list[Counter[str]] = [Counter()]  # open inline elements by tag, within each open block
         tags, kids = self.tags, self.kids
+        at, end, pattern = 0, len(html), _TAG
         while at < end:
-            m = _MARKUP.search(html, at)
-            if not m:
-                kids[stack[-1]].append(html[at:])
+            lt = html.find("<", at)
+            if lt < 0:
+                lt = end
+            if lt > at:
+                kids[stack[-1]].append(unescape(html[at:lt]))
+            if lt == end:
                 break
-            if m.start() > at:
-                kids[stack[-1]].append(html[at : m.start()])
-            at = m.end()
-            name = m[2]
-            if not name:
+            after = html[lt + 1 : lt + 2]
+            if after in "!?" and after:
+                at = self._skip(html, lt)
                 continue
-            tag = name.lower()
+            m = pattern.match(html, lt)
+            if not m and pattern is _TAG and _BROKEN_TAG.match(html, lt):
+                pattern = _BROKEN_TAG  # a quote or tag that is open to the end of the page: no later one is whole past it
+                m = pattern.match(html, lt)
+            if not m:  # no markup at all
+                kids[stack[-1]].append("<")
+                at = lt + 1
+                continue
+            at = m.end()
+            tag = m[2].lower()
             if m[1]:
-                self._close(stack, tag)
+                self._close(tag)
                 continue
             if tag in CLOSES_P:
-                self._end(stack, frozenset(["p"]), frozenset(["button", "table", "td", "div", "section", "article"]))
+                self._end("p")
             if tag in ENDS:
-                self._end(stack, *ENDS[tag])
+                self._end(tag)
             node = len(tags)
             tags.append(tag)
-            self.attrs.append({a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {})
+            self.attrs.append(self._attributes(m[3]) if m[3] else {})
             self.parent.append(stack[-1])
             kids.append([])
             kids[stack[-1]].append(node)
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                close = _RAW_ENDS[tag].search(html, at)
                 kids[node].append(html[at : close.start()] if close else html[at:])
                 at = close.end() if close else end
             elif tag not in VOID and not m[3].endswith("/"):
-                stack.append(node)
-
-    def _end(self, stack: list[int], these: frozenset, unless: frozenset) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[depth]]
-            if tag in these:
-                del stack[depth:]
-                return
-            if tag in unless:
-                return
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            here = self.tags[stack[depth]]
-            if here == tag:
-                del stack[depth:]
-                return
-            if tag in INLINE and here not in INLINE:
-                return  # an inline end tag does not close blocks
+                self._push(node, tag)
+        del self._stack, self._marks, self._open, self._lines
+
+    @staticmethod
+    def _skip(html: str, lt: int) -> int:
+        """The end of a comment, declaration or instruction; one that is not closed goes to the end of the page."""
+        if html.startswith("<!--", lt):
+            if html.startswith(("<!-->", "<!--->"), lt):
+                return html.index(">", lt) + 1
+            close = html.find("-->", lt + 4)
+            return close + 3 if close >= 0 else len(html)
+        close = html.find(">", lt)
+        return close + 1 if close >= 0 else len(html)
+
+    @staticmethod
+    def _attributes(text: str) -> dict[str, str]:
+        out: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(text):
+            name = m[1].lower()
+            if name in _KEPT_ATTRIBUTES and name not in out:
+                out[name] = m[2] or m[3] or m[4] or ""
+        return out
+
+    def _push(self, node: int, tag: str) -> None:
+        for rule in _RULES_OF.get(tag, ()):
+            self._marks[rule].append(len(self._stack))
+        self._stack.append(node)
+        self._open[tag] += 1
+        if tag in INLINE:
+            self._lines[-1][tag] += 1
+        else:
+            self._lines.append(Counter())
+
+    def _cut(self, depth: int) -> None:
+        """Close what is open from this place of the stack on."""
+        for node in reversed(self._stack[depth:]):
+            tag = self.tags[node]
+            self._open[tag] -= 1
+            if tag in INLINE:
+                self._lines[-1][tag] -= 1
+            else:
+                self._lines.pop()
+            for rule in _RULES_OF.get(tag, ()):
+                self._marks[rule].pop()
+        del self._stack[depth:]
+
+    def _end(self, rule: str) -> None:
+        marks = self._marks[rule]
+        if marks and self.tags[self._stack[marks[-1]]] in _RULES[rule][0]:
+            self._cut(marks[-1])
+
+    def _close(self, tag: str) -> None:
+        # an inline end tag does not close blocks
+        if not (self._lines[-1][tag] if tag in INLINE else self._open[tag]):
+            return
+        depth = len(self._stack) - 1
+        while self.tags[self._stack[depth]] != tag:
+            depth -= 1
+        self._cut(depth)
 
     def hashes(self) -> list[bytes]:
         """Hash of each subtree, kids first."""
@@ -156,9 +232,7 @@ class Tree:
             return True
         if not a:
             return False
-        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in DROP_ROLES:
-            return True
-        if re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
+        if self.hidden(i) or a.get("role", "").lower() in DROP_ROLES:
             return True
         return i not in self.spared and any(map(_names_boilerplate, f"{a.get('class', '')} {a.get('id', '')}".split()))
 
@@ -191,24 +265,32 @@ class Tree:
                     i = self.parent[i]
         return out
 
+    def hidden(self, i: int) -> bool:
+        a = self.attrs[i]
+        return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(a.get("style", "")))
+
     def roots(self) -> list[int]:
-        """The elements that hold the article: a main, else the outermost articles; none if the page marks none."""
+        """The elements that hold the article: the outermost mains, else the outermost articles; none if the page marks none, or articles that hold only a little of its text."""
         inside = [False] * len(self.tags)  # within an element that says it is boilerplate
         mains, articles = [], []
-        held = [False] * len(self.tags)  # within an article found already
+        held, held_main = [False] * len(self.tags), [False] * len(self.tags)  # within one found already
+        plain = [0] * len(self.tags)
         for i in range(1, len(self.tags)):
             p, tag = self.parent[i], self.tags[i]
-            marked = tag in ("main", "article") or self.attrs[i].get("role", "").lower() == "main"
-            inside[i] = inside[p] or (self.says_boilerplate(i) and not (tag == "main"))
-            held[i] = held[p]
-            if marked and not inside[i]:
-                if tag == "article":
-                    if not held[i]:
-                        articles.append(i)
-                        held[i] = True
-                else:
+            main = tag == "main" or self.attrs[i].get("role", "").lower() == "main"
+            inside[i] = inside[p] or (self.hidden(i) if main else self.says_boilerplate(i))
+            held[i], held_main[i] = held[p], held_main[p]
+            if not inside[i]:
+                plain[i] = sum(len("".join(k.split())) for k in self.kids[i] if isinstance(k, str))
+                if main and not held_main[i]:
                     mains.append(i)
-        return mains[:1] or articles
+                    held_main[i] = True
+                elif tag == "article" and not held[i]:
+                    articles.append(i)
+                    held[i] = True
+        if not mains and sum(n for n, own in zip(plain, held) if own) < LEAST * sum(plain):
+            return []
+        return mains or articles
 
     def text(self, templates: frozenset[bytes] | set[bytes]) -> str:
         hashes = self.hashes() if templates else []
@@ -223,7 +305,7 @@ class Tree:
         blocks: list[str] = []
 
         def flush() -> None:
-            words = unescape("".join(pieces)).split()
+            words = "".join(pieces).split()
             if words:
                 blocks.append(" ".join(words))
             pieces.clear()

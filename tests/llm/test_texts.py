@@ -108,6 +108,57 @@ def test_deep_and_long_pages():
     assert len(html_extract.extract("<article>" + "<p>word</p>" * 20000 + "</article>")) == 5 * 20000 - 1
 
 
+def test_malformed_pages_are_linear():
+    began = time.perf_counter()
+    bad = ["<a b='x " * 125_000, "<div>" * 20_000 + "</x>" * 20_000, "<b>" + "<i>" * 20_000 + "<div>" + "</b>" * 20_000, "<i>" * 20_000 + "<h1>" * 20_000, "<p><button>" + "<i>" * 20_000 + "<h1>" * 20_000]
+    bad += ["<" * 300_000, "<a " * 200_000, "<!-- " * 200_000, "<script>" * 100_000, "<a ='" * 200_000, "<p " + 'class="a" ' * 100_000, "<ul><li>" * 20_000, "</p" * 200_000]
+    for html in bad:
+        html_extract.extract(html)
+    assert time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article><h1>Title</h1></article><div><p>the whole story is out here, of some length</p></div>", "Title the whole story is out here, of some length"),
+    ("<main><p>one</p></main><nav>menu</nav><main><p>two</p></main>", "one two"),
+    ("<main hidden><p>one</p></main><main><p>two</p></main>", "two"),
+    ("<article>&am<b>p;</b> &amp;lt; x</article>", "&amp; &lt; x"),
+    ("<article title='it's'>said</article>", "said"),
+    ("<article><p title=\"a class=ad b\">said</p></article>", "said"),
+    ("<article><a href=x'y>said</a> <b>5 < 6 <3</b></article>", "said 5 < 6 <3"),
+    ("<article><p>said</p><p class='open>lost</p></article>", "said lost"),
+    ("<article><p>a<!-->b<!-- c --!> d --> e</p></article>", "ab e"),
+    ("<article><p id='share-price-report'>kept</p><div class='hidden-gems'>kept too</div><div class='search-results-analysis'>and this</div></article>", "kept kept too and this"),
+])
+def test_marked_and_odd_pages(html, text):
+    assert html_extract.extract(html) == text
+
+
+@pytest.mark.parametrize("broadcast", [html_extract.BROADCAST_HASHES, 0])
+def test_synthetic_sites_give_back_their_articles(spark, broadcast, monkeypatch):
+    """Sites with templates of their own, some of whose pages are copied; every page's article is known."""
+    monkeypatch.setattr(html_extract, "BROADCAST_HASHES", broadcast)
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(n))
+    rows, want = [], {}
+    for site in range(6):
+        menu = "".join(f"<li><a href='/{i}'>{words(2)}</a></li>" for i in range(4))
+        top, side, bottom = words(5), words(12), words(9)
+        tag = ("article", "main", "div", "section", "div", "article")[site]
+        for page in range(9):
+            blocks = [words(r.randint(8, 40)) for _ in range(r.randint(2, 5))]
+            if page == 8:
+                blocks = previous
+            previous = blocks
+            body = "".join(r.choice([f"<p>{b}</p>", f"<p>{b}", f"<blockquote>{b}</blockquote>", f"<ul><li>{b}</ul>", f"<div><span>{b}</span></div>"]) for b in blocks) if page < 8 else "".join(f"<p>{b}</p>" for b in blocks)
+            html = f"<html><head><title>{top}</title><style>p{{}}</style></head><body><div class=x{site}><div>{top}</div><ul>{menu}</ul></div><{tag}>{body}</{tag}><div class=y>{side}</div><div><div class=z>{bottom}</div><script>var a='<p>no</p>'</script></div></body></html>"
+            for copy in range(3 if page == 4 else 1):
+                key = len(rows)
+                rows.append((key, f"https://site{site}.example/{page}/{copy}", html))
+                want[key] = " ".join(blocks)
+    got = {x.page_id: x.text for x in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == want
+
+
 # --- language ID -------------------------------------------------------------
 
 SYLLABLES = {"aa": "ka lo mi tu re", "bb": "ko ßu mé ty ra", "cc": "ñi la mo te ru"}
