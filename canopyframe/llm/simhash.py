@@ -4,26 +4,32 @@ Fingerprints: A-Z lower-cased, words cut at ASCII white space, word shingles
 with repeats, XXH64 (seed 42) of each, a bit set where over half the hashes
 have it set.  Wider fingerprints mix each hash into further 64-bit words.
 
-Links: fingerprints at most ``radius`` bits apart.  Equal fingerprints fold to
-one first.  Fingerprints are dealt to buckets, and meet only there:
-
-* a small radius, exactly: the 64 bits are cut into ``blocks`` pieces; two
-  fingerprints within the radius agree on at least ``blocks - radius`` of them,
-  so there is a bucket for each choice of that many pieces;
-* a large radius (:func:`near_copies`): buckets by sampled bits, as many
-  samples as the wanted recall needs at the number of fingerprints there are.
-
-Within a bucket each fingerprint has a table of its Hamming distances to
-reference fingerprints; a pair whose tables differ by more than the radius in
-any coordinate is discarded, survivors are verified.  A bucket gives one link
-per fingerprint that it ties to another, never all pairs; connected components
-then run over these links.
-
-A bucket of more than ``SPLIT`` fingerprints is dealt again.  Under a small
-radius: by the distances to two pivots, which differ by the radius at most for
-a link, so each fingerprint goes to the cells (``2 * radius + 1`` wide) that it
-can share with a link; no link is lost.  Under sampled bits: by a salt that
-differs from sample to sample.
+Equal fingerprints fold to one first.  Fingerprints are dealt to buckets and
+meet only there.  Within a bucket each fingerprint has a table of its Hamming
+distances to reference fingerprints; a pair whose tables differ by more than
+the radius in any coordinate is discarded, survivors are verified.  A bucket
+gives one link at most per fingerprint, never all pairs; connected components
+then run over the links.
+
+* A small radius (:func:`classes`), exactly: the 64 bits are cut into ``blocks``
+  pieces; two fingerprints within the radius agree on at least ``blocks -
+  radius`` of them, so there is a bucket for each choice of that many pieces.
+  A bucket of more than ``SPLIT`` fingerprints is dealt again by the distances
+  to two pivots, which differ by the radius at most for a link, so each goes to
+  the cells (``2 * radius + 1`` wide) that it can share with a link; no link is
+  lost.
+* A similarity (:func:`near_copies`): two texts are near copies if their sets of
+  five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
+  ``BANDS`` buckets a text, each by ``ROWS`` least hashes over its shingles:
+  their number does not depend on how many texts there are, and a pair at the
+  limit shares a bucket with probability 0.995.  There pairs within ``FAR`` of
+  the bits of a fingerprint of the shingle set survive, and the shortest links
+  that span them are kept.  A link within ``SURE`` of the bits stands; the
+  others stand if the two shingle sets, compared exactly, are similar enough.
+  A crowded bucket is dealt again by sampled bits, so often that 95 % of the
+  pairs at the limit meet; a bucket that is crowded even so (copies of one text)
+  is cut by a salt, and ``LEADERS`` of its fingerprints go to every part, which
+  ties the parts together.
 
 Defined cases: null text has no words; fewer words than a shingle are one
 shingle; no words give fingerprint 0, linked like any other; repeated rows are
@@ -36,14 +42,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb, log, log2
+from math import acos, ceil, comb, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import checkpoint, free_name
+from ._shared import checkpoint, free_name, join_hot
 from .components import components
 
 SEED = 42
@@ -53,13 +59,14 @@ SPLIT = 2048
 FEW_CROWDED = 100_000
 BLOCK = 64
 SMALL = 24
-#: near_copies: words of 64 bits, largest share of differing bits (five-word
-#: shingles of similarity 0.8 differ in 15 % of the bits, of similarity 0.7 in
-#: 19 %, give or take 1.6 % at 512 bits), and the share of pairs that differ in
-#: as many bits which must meet in a bucket.
-WIDE, FAR_SHARE, RECALL = 8, 0.165, 0.95
-#: Hash bits of each byte value, most significant first.
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+#: near_copies: words of 64 bits; least similarity; buckets a text, and least hashes that make one's key.
+WIDE, SIMILARITY, BANDS, ROWS = 8, 0.8, 10, 4
+#: Sets of similarity 0.8 differ in 15 % of the bits, give or take 1.6 % (19 % for sets of a handful): pairs beyond
+#: FAR are none, links within SURE need no comparison of the sets.
+FAR, SURE = 0.22, 0.08
+#: Share of the pairs at the limit that meet again where a crowded bucket is dealt by sampled bits; what ties parts of a bucket.
+RECALL, LEADERS = 0.95, 64
+_LANES = np.uint64(0x0101010101010101)
 
 
 def _mix(h: np.ndarray, word: int) -> np.ndarray:
@@ -79,28 +86,59 @@ def reference_fingerprints(n: int = PIVOTS, wide: int = 1) -> np.ndarray:
     return np.stack([_mix(first, w) for w in range(wide)], axis=1)
 
 
-def fingerprint(text: str | None, shingle: int = 3, wide: int = 1) -> list[int]:
-    """``wide`` unsigned 64-bit words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, in text order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * wide
+        return np.empty(0, dtype=np.uint64)
+    joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate(([0], ends[:-1]))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())]
-    base, out = np.array(hashes, dtype=np.uint64), []
-    for w in range(wide):
-        data = _mix(base, w).astype(">u8").view(np.uint8).reshape(-1, 8)
-        if len(data) < 400:
-            set_bits = np.unpackbits(data, axis=1).sum(axis=0)
-        else:
-            set_bits = np.concatenate([np.bincount(data[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
-        out.append(int.from_bytes(np.packbits(2 * set_bits > len(data)).tobytes(), "big"))
-    return out
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-1]))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())], dtype=np.uint64)
+
+
+def majority_bits(hashes: np.ndarray, wide: int = 1) -> np.ndarray:
+    """``wide`` unsigned words: a bit is set where over half of the hashes, mixed for that word, have it set."""
+    counts = np.zeros((wide, 8, 8), dtype=np.int64)  # word, byte, bit
+    for at in range(0, len(hashes), 255 * 16):
+        some = hashes[at : at + 255 * 16]
+        data = np.zeros((wide, -(-len(some) // 255) * 255), dtype=np.uint64)
+        for w in range(wide):
+            data[w, : len(some)] = _mix(some, w)
+        for bit in range(8):  # eight counters of a byte each, up to 255
+            lanes = (data >> np.uint64(bit)) & _LANES
+            counts[:, :, bit] += lanes.reshape(wide, -1, 255).sum(axis=2).view(np.uint8).reshape(wide, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits((2 * counts > len(hashes)).reshape(wide, 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprint(text: str | None, shingle: int = 3, wide: int = 1) -> list[int]:
+    """``wide`` unsigned 64-bit words."""
+    return majority_bits(shingle_hashes(text, shingle), wide).tolist()
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+#: Odd factors, one per least hash; the hashes that they scatter are random already.
+_FACTORS = np.array([xxhash.xxh64_intdigest(str(i).encode(), 9) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key per band, from ROWS least hashes over the set."""
+    if not len(hashes):
+        return [0] * BANDS
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 2048):
+            mixed = hashes[at : at + 2048][None, :] * _FACTORS[:, None]
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
+            np.minimum(least, mixed.min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
 
 
 def fp_columns(wide: int) -> list[str]:
@@ -145,15 +183,19 @@ def piece_keys(radius: int) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("choice"), F.col("f0").bitwiseAND(_signed(mask)).alias("bits")) for i, mask in enumerate(chosen)))
 
 
-def sample_keys(n: int, wide: int, far: float = FAR_SHARE, recall: float = RECALL) -> Column:
-    """Array of bucket keys by sampled bits, for ``n`` fingerprints.
+def far_share(similarity: float = SIMILARITY) -> float:
+    """Expected share of differing bits of two sets of equal size and this similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def sample_keys(n: int, wide: int, recall: float = RECALL) -> Column:
+    """Array of bucket keys by sampled bits, for buckets of ``n`` fingerprints at most.
 
     As many bits as leave about eight unrelated fingerprints to a bucket, and
-    as many samples as let the share ``recall`` of the pairs that differ in
-    ``far`` of the bits, the most a link may, meet.
+    as many samples as let the share ``recall`` of the pairs at the limit meet.
     """
     bits = min(40, max(16, ceil(log2(max(n, 2))) - 3))
-    samples = ceil(log(1 - recall) / log(1 - (1 - far) ** bits))
+    samples = ceil(log(1 - recall) / log(1 - (1 - far_share()) ** bits))
     draw = np.random.default_rng(SEED)
     keys = []
     for i in range(samples):
@@ -234,8 +276,14 @@ def _link_small(fps: np.ndarray, group: np.ndarray, radius: int, tables: np.ndar
         right.append(i + offset)
     if not left:
         return group[:0], group[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    label = np.arange(len(fps))
+    label = _merged_labels(len(fps), np.concatenate(left), np.concatenate(right))
+    tied = np.flatnonzero(label != np.arange(len(fps)))
+    return label[tied], tied
+
+
+def _merged_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index that each of n places reaches by the links."""
+    label = np.arange(n)
     while True:
         least = np.minimum(label[a], label[b])
         before = label.copy()
@@ -243,35 +291,115 @@ def _link_small(fps: np.ndarray, group: np.ndarray, radius: int, tables: np.ndar
         np.minimum.at(label, b, least)
         label = label[label]
         if (label == before).all():
-            break
-    tied = np.flatnonzero(label != np.arange(len(fps)))
-    return label[tied], tied
+            return label
 
 
-def _link_batches(radius: int, wide: int):
+def spanning(n: int, a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Indices of the shortest links that join all that the links join (every group takes its shortest link out, until none is left)."""
+    label, live, none = np.arange(n), np.arange(len(a)), np.iinfo(np.int64).max
+    chosen = [live[:0]]
+    while True:
+        x, y = label[a[live]], label[b[live]]
+        live, x, y = live[x != y], x[x != y], y[x != y]
+        if not len(live):
+            return np.concatenate(chosen)
+        key, best = gap[live].astype(np.int64) << 40 | live, np.full(n, none)
+        np.minimum.at(best, x, key)
+        np.minimum.at(best, y, key)
+        picked = np.unique(best[best < none] & ((1 << 40) - 1))
+        chosen.append(picked)
+        label = _merged_labels(n, label[a[picked]], label[b[picked]])[label]
+
+
+def _distances(fps: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps ^ pivot).sum(axis=-1, dtype=np.int16)
+
+
+def _near_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of a bucket within the radius, and their distances; its references are members far apart."""
+    tables = [_distances(fps, fps[0])]
+    gap = tables[0].copy()
+    while len(tables) < PIVOTS and gap.max() > radius:
+        tables.append(_distances(fps, fps[int(np.argmax(gap))]))
+        gap = np.minimum(gap, tables[-1])
+    table = np.stack(tables, axis=1)
+    out = []
+    for at in range(0, len(fps), BLOCK):
+        block = slice(at, at + BLOCK)
+        far = np.arange(len(fps))[None, :] <= np.arange(at, min(len(fps), at + BLOCK))[:, None]
+        for p in range(table.shape[1]):
+            far |= np.abs(table[block, p][:, None] - table[None, :, p]) > radius
+        i, j = np.nonzero(~far)
+        for part in range(0, len(i), 1 << 17):
+            x, y = i[part : part + (1 << 17)] + at, j[part : part + (1 << 17)]
+            d = _distances(fps[x], fps[y])
+            near = d <= radius
+            out.append((x[near], y[near], d[near]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _near_small(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of many small buckets at once; a bucket's references are its first and its last member."""
+    first = np.searchsorted(group, group)
+    last = np.searchsorted(group, group, side="right") - 1
+    tables = np.stack([_distances(fps, fps[first]), _distances(fps, fps[last])], axis=1)
+    out = [(group[:0], group[:0], np.empty(0, dtype=np.int16))]
+    for offset in range(1, SMALL):
+        i = np.flatnonzero(group[:-offset] == group[offset:]) if offset < len(group) else group[:0]
+        if not len(i):
+            break
+        i = i[(np.abs(tables[i] - tables[i + offset]) <= radius).all(axis=1)]
+        d = _distances(fps[i], fps[i + offset])
+        out.append((i[d <= radius], i[d <= radius] + offset, d[d <= radius]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _span_buckets(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each bucket the shortest links that join what its pairs within the radius join."""
+    sizes = np.bincount(group)[group] if len(group) else group
+    small = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
+    i, j, d = _near_small(fps[small], group[small], radius)
+    parts = [(small[i], small[j], d)]
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+    for at in starts[sizes[starts] > SMALL].tolist():
+        i, j, d = _near_pairs(fps[at : at + sizes[at]], radius)
+        kept = spanning(int(sizes[at]), i, j, d)
+        parts.append((i[kept] + at, j[kept] + at, d[kept]))
+    a, b, gap = (np.concatenate(c) for c in zip(*parts))
+    kept = spanning(len(group), a, b, gap)
+    return a[kept], b[kept], gap[kept]
+
+
+def _link_exactly(group: np.ndarray, fps: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join exactly what the pairs of each bucket within the radius join."""
+    sizes = np.bincount(group)[group] if len(group) else group
+    where = np.flatnonzero(sizes > 1)
+    group, fps, sizes = group[where], fps[where], sizes[where]
+    tables = np.stack([_distances(fps, pivot) for pivot in pivots], axis=1)
+    small = np.flatnonzero(sizes <= SMALL)
+    i, j = _link_small(fps[small], group[small], radius, tables[small])
+    a, b = [small[i]], [small[j]]
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+    for at in starts[sizes[starts] > SMALL].tolist():
+        pairs = _link_group(fps[at : at + sizes[at]], radius, tables[at : at + sizes[at]])
+        if pairs:
+            ix = np.array(pairs) + at
+            a.append(ix[:, 0])
+            b.append(ix[:, 1])
+    return where[np.concatenate(a)], where[np.concatenate(b)]
+
+
+def _link_batches(radius: int, wide: int, exact: bool):
     """Rows sorted by bucket to links between nodes; a bucket may go on over several batches."""
 
     def links_of(group: np.ndarray, nodes: np.ndarray, fps: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
         """All whole buckets of one stretch; group numbers ascend."""
-        sizes = np.bincount(group)[group] if len(group) else group
-        a, b = [nodes[:0]], [nodes[:0]]
-        many = sizes > 1
-        group, nodes, fps, sizes = group[many], nodes[many], fps[many], sizes[many]
-        tables = np.empty((len(fps), len(pivots)), dtype=np.int16)
-        for p, pivot in enumerate(pivots):
-            tables[:, p] = np.bitwise_count(fps ^ pivot).sum(axis=1, dtype=np.int16)
-        small = np.flatnonzero(sizes <= SMALL)
-        i, j = _link_small(fps[small], group[small], radius, tables[small])
-        a.append(nodes[small[i]])
-        b.append(nodes[small[j]])
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
-        for at, n in zip(starts[sizes[starts] > SMALL].tolist(), sizes[starts][sizes[starts] > SMALL].tolist()):
-            pairs = _link_group(fps[at : at + n], radius, tables[at : at + n])
-            if pairs:
-                ix = np.array(pairs) + at
-                a.append(nodes[ix[:, 0]])
-                b.append(nodes[ix[:, 1]])
-        return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        if exact:
+            a, b = _link_exactly(group, fps, radius, pivots)
+            gap = np.zeros(len(a), dtype=np.int32)
+        else:
+            a, b, gap = _span_buckets(group, fps, radius)
+        return pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b]), pa.array(gap.astype(np.int32))], ["a", "b", "gap"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = reference_fingerprints(PIVOTS, wide)
@@ -295,31 +423,59 @@ def _link_batches(radius: int, wide: int):
     return run
 
 
-def links(prints: DataFrame, keys: Column, radius: int, wide: int = 1, exact: bool = True) -> DataFrame:
-    """Distinct fingerprints (node, f0 ...) to links (a, b) that join what pairs within the radius join."""
-    cols = fp_columns(wide)
-    dealt = prints.select("node", *cols, F.explode(keys).alias("k")).select("node", *cols, "k.choice", "k.bits")
+def _with_sizes(dealt: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with ``n``, the size of their bucket where it is crowded (else null), and the size of the largest."""
     crowded = checkpoint(dealt.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT))
-    if (n := crowded.count()) <= FEW_CROWDED:  # beyond the checked size the join shuffles both sides
+    held = crowded.agg(F.count(F.lit(1)), F.max("n")).first()
+    if not held[0]:
+        return dealt.withColumn("n", F.lit(None).cast("long")), 0
+    if held[0] <= FEW_CROWDED:  # beyond the checked size the join shuffles both sides
         crowded = F.broadcast(crowded)
-    whole = F.array(F.lit(0).cast("long"))
-    salt = F.array(F.pmod(F.xxhash64("node", "choice"), F.ceil(F.col("n") / SPLIT)) + 1)
-    cells = F.when(F.col("n").isNull(), whole).otherwise(_cells(radius) if exact else salt)
-    numbered = dealt.join(crowded, ["choice", "bits"], "left") if n else dealt.withColumn("n", F.lit(None).cast("long"))
-    placed = numbered.select("node", *cols, "choice", "bits", F.explode(cells).alias("cell"))
+    return dealt.join(crowded, ["choice", "bits"], "left"), held[1]
+
+
+def _meet(placed: DataFrame, radius: int, wide: int, exact: bool) -> DataFrame:
     ordered = placed.repartition("choice", "bits", "cell").sortWithinPartitions("choice", "bits", "cell", "node")
-    return ordered.mapInArrow(_link_batches(radius, wide), "a long, b long").distinct()
+    return ordered.mapInArrow(_link_batches(radius, wide, exact), "a long, b long, gap int")
+
+
+def links(prints: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints (node, f0) to links (a, b) that join exactly what pairs within the radius join."""
+    dealt = prints.select("node", "f0", F.explode(piece_keys(radius)).alias("k")).select("node", "f0", "k.choice", "k.bits")
+    sized, _ = _with_sizes(dealt)
+    cells = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(_cells(radius))
+    placed = sized.select("node", "f0", "choice", "bits", F.explode(cells).alias("cell"))
+    return _meet(placed, radius, 1, True).select("a", "b").distinct()
+
+
+def similar_links(prints: DataFrame, wide: int = WIDE, far: float = FAR) -> DataFrame:
+    """Distinct texts (node, f0 ..., k0 ...) to links (a, b, gap): the shortest that span each bucket."""
+    cols, radius = fp_columns(wide), int(far * 64 * wide)
+    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col(f"k{i}").alias("bits")) for i in range(BANDS)))
+    dealt = prints.select("node", *cols, F.explode(keys).alias("k")).select("node", *cols, "k.choice", "k.bits")
+    sized, most = _with_sizes(dealt)
+    here = ["node", *cols, "choice", "bits"]
+    placed = sized.where(F.col("n").isNull()).select(*here, F.lit(0).cast("long").alias("cell"))
+    if most:
+        again = sized.where(F.col("n").isNotNull()).select(*here, F.explode(sample_keys(most, wide)).alias("s"))
+        again = again.select("node", *cols, (F.col("choice") * 1000 + F.col("s.choice") + BANDS).alias("choice"), F.xxhash64("bits", "s.bits").alias("bits"))
+        sized, _ = _with_sizes(again)
+        parts, luck = F.ceil(F.col("n") / SPLIT), F.xxhash64("node", "choice")
+        leads = F.pmod(F.xxhash64("node", "bits"), F.ceil(F.col("n") / LEADERS)) == 0
+        cells = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).when(leads, F.sequence(F.lit(1).cast("long"), parts)).otherwise(F.array(F.pmod(luck, parts) + 1))
+        placed = placed.unionByName(sized.select(*here, F.explode(cells).alias("cell")))
+    return _meet(placed, radius, wide, False).groupBy("a", "b").agg(F.min("gap").alias("gap"))
 
 
 def classes(documents: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, f0, component_id for every row of documents; links are exact."""
     printed = checkpoint(with_fingerprints(documents.select("doc_id", "text"), shingle))
-    firsts = printed.groupBy("f0").agg(F.min("doc_id").alias("first"))
-    labels = components(links(firsts.select(F.col("f0").alias("node"), "f0"), piece_keys(radius), radius))
-    named = firsts.join(labels.withColumnRenamed("node", "f0"), "f0", "left").select("f0", "first", F.coalesce("label", "f0").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(smallest, "label").select("f0", "component_id")
-    return printed.join(by_fp, "f0").select("doc_id", "f0", "component_id")
+    firsts = printed.groupBy("f0").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    labels = components(links(firsts.select(F.col("f0").alias("node"), "f0"), radius))
+    named = checkpoint(firsts.join(labels.withColumnRenamed("node", "f0"), "f0", "left").select("f0", "first", "n", F.coalesce("label", "f0").alias("label")))
+    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("held"))
+    by_fp = join_hot(named, smallest, ["label"], "held", named.count(), ["f0"]).select("f0", "n", "component_id")
+    return join_hot(printed, by_fp, ["f0"], "n", printed.count(), ["doc_id"]).select("doc_id", "f0", "component_id")
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -327,14 +483,80 @@ def digest(documents: DataFrame) -> DataFrame:
     return classes(documents).select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(documents: DataFrame, shingle: int = 5, wide: int = WIDE, far_share: float = FAR_SHARE) -> DataFrame:
+def _set_batches(shingle: int, wide: int):
+    """Texts to fingerprints and band keys of their shingle sets."""
+    names = [*fp_columns(wide), *(f"k{i}" for i in range(BANDS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.empty((batch.num_rows, len(names)), dtype=np.uint64)
+            for i, text in enumerate(batch.column("text")):
+                hashes = shingle_set(text.as_py(), shingle)
+                found[i, :wide], found[i, wide:] = majority_bits(hashes, wide), band_keys(hashes)
+            words = np.ascontiguousarray(found.T).view(np.int64)
+            yield pa.record_batch([batch.column("d"), batch.column("t"), *(pa.array(w) for w in words)], ["d", "t", *names])
+
+    return run, "d long, t long, " + ", ".join(f"{n} long" for n in names)
+
+
+def _pack_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
+            yield pa.record_batch([batch.column("node"), batch.column("n"), pa.array(sets, pa.binary())], ["node", "n", "shingles"])
+
+    return run
+
+
+def _compare_sets(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stands = []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                stands.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(stands, pa.bool_()))
+
+    return run
+
+
+def _row_key() -> tuple[Column, Column]:
+    """A row by its id and its text: ids may be null or repeated."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), F.xxhash64("text")
+
+
+def similar_enough(found: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the links (a, b) those whose shingle sets are similar enough, by comparing the sets.
+
+    ``texts`` has the node and text of a row of each end.
+    """
+    total = found.count()
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    one = texts.join(ends, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("n").alias("n"))
+    sets = checkpoint(one.mapInArrow(_pack_sets(shingle), "node long, n long, shingles binary"))
+    side = lambda end, name: sets.select(F.col("node").alias(end), "n", F.col("shingles").alias(name))
+    left = join_hot(found.select("a", "b"), side("a", "sa"), ["a"], "n", total, ["b"]).drop("n")
+    both = join_hot(left, side("b", "sb"), ["b"], "n", total, ["a"]).drop("n")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_compare_sets(similarity), "a long, b long")
+
+
+def near_copies(documents: DataFrame, shingle: int = 5, wide: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
     """d, t, node, label for every row: ``d`` and ``t`` tell rows by id and text, ``label`` tells groups of near copies."""
-    cols = fp_columns(wide)
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64("text").alias("t"), "text")
-    printed = checkpoint(with_fingerprints(keyed, shingle, wide).withColumn("node", F.xxhash64(*cols)))
-    prints = checkpoint(printed.select("node", *cols).distinct())
-    found = links(prints, sample_keys(prints.count(), wide, far_share), int(far_share * 64 * wide), wide, exact=False)
-    labels = components(found)
+    d, t = _row_key()
+    keyed = documents.select(d.alias("d"), t.alias("t"), "text")
+    run, schema = _set_batches(shingle, wide)
+    cols = [c.split()[0] for c in schema.split(", ")[2:]]
+    printed = checkpoint(keyed.mapInArrow(run, schema).withColumn("node", F.xxhash64(*cols)))
+    # equal fingerprints and band keys fold to one node, which one of its rows stands for
+    prints = checkpoint(printed.groupBy("node").agg(*(F.first(c).alias(c) for c in cols), F.min("d").alias("d"), F.min_by("t", "d").alias("t")))
+    found = checkpoint(similar_links(prints.select("node", *cols), wide))
+    sure = F.col("gap") <= int(SURE * 64 * wide)
+    doubtful = found.where(~sure)
+    ends = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = keyed.join(prints.select("node", "d", "t").join(ends, "node", "left_semi"), ["d", "t"]).select("node", "text")
+    stand = found.where(sure).select("a", "b").unionByName(similar_enough(doubtful, texts, shingle, similarity))
+    labels = components(stand)
     return printed.select("d", "t", "node").join(labels, "node", "left").select("d", "t", "node", F.coalesce("label", "node").alias("label"))
 
 
@@ -345,7 +567,7 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5) -> DataFrame:
     rows = grouped.groupBy("d", "t").agg(F.count(F.lit(1)).alias("n"))
     staying = first.join(rows, ["d", "t"])
     d, t, n = (free_name(documents, x) for x in ("row_d", "row_t", "row_n"))
-    keyed = documents.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), t: F.xxhash64("text")})
+    keyed = documents.withColumns(dict(zip((d, t), _row_key())))
     kept = keyed.join(staying.select(F.col("d").alias(d), F.col("t").alias(t), F.col("n").alias(n)), [d, t])
     # rows that are repeated as they stand are rare; only they are dealt out to be told apart
     once = kept.where(F.col(n) == 1).unionByName(kept.where(F.col(n) > 1).dropDuplicates([d, t]))

@@ -135,7 +135,7 @@ def test_links_are_lossless(spark, radius, monkeypatch):
     fps = sorted(fps)
     signed = [v - (1 << 64) if v >> 63 else v for v in fps]
     df = spark.createDataFrame([(v, v) for v in signed], "node long, f0 long")
-    found = simhash.links(df, simhash.piece_keys(radius), radius).collect()
+    found = simhash.links(df, radius).collect()
     labels = {x.node: x.label for x in components.components(spark.createDataFrame(found, "a long, b long")).collect()}
     want = brute_components(fps, radius)
     groups, expected = {}, {}
@@ -145,20 +145,74 @@ def test_links_are_lossless(spark, radius, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
-@pytest.mark.parametrize("n", [8_000, 30_000_000])
-def test_pairs_at_the_far_limit_meet(spark, n):
-    """Of pairs that differ in as many bits as a link may, the stated share has a bucket in common, at any size."""
+@pytest.mark.parametrize("shared, extra", [(4, 0.5), (8, 1), (40, 5), (160, 20), (800, 100), (8000, 1000)])
+def test_pairs_at_the_limit_are_found(shared, extra):
+    """Of pairs of similarity 0.8 nearly all share a band and lie within FAR, whatever else there is; none is taken for sure below it."""
+    rng, pairs, met, sure = np.random.default_rng(9), 300 if shared < 1000 else 60, 0, 0
+    for _ in range(pairs):
+        h = rng.integers(0, 1 << 63, shared + int(2 * extra), dtype=np.uint64) * np.uint64(2)
+        x, y = np.sort(h[: shared + int(extra)]), np.sort(np.r_[h[:shared], h[shared + int(extra) :]])
+        gap = int(np.bitwise_count(simhash.majority_bits(x, simhash.WIDE) ^ simhash.majority_bits(y, simhash.WIDE)).sum())
+        met += gap <= int(simhash.FAR * 64 * simhash.WIDE) and any(p == q for p, q in zip(simhash.band_keys(x), simhash.band_keys(y)))
+        sure += gap <= int(simhash.SURE * 64 * simhash.WIDE)
+    assert met >= 0.95 * pairs and sure <= 0.02 * pairs
+
+
+def test_crowded_buckets_meet_again(spark):
+    """Of pairs that differ in as many bits as sets at the limit do, the stated share has a sampled-bit bucket in common."""
     rng, wide, pairs = np.random.default_rng(9), simhash.WIDE, 600
     bits = rng.integers(0, 2, (pairs, 64 * wide), dtype=np.uint8)
     other = bits.copy()
     for row in other:
-        row[rng.choice(64 * wide, int(simhash.FAR_SHARE * 64 * wide), replace=False)] ^= 1
+        row[rng.choice(64 * wide, int(simhash.far_share() * 64 * wide), replace=False)] ^= 1
     words = [np.packbits(x, axis=1, bitorder="little").view(np.int64).tolist() for x in (bits, other)]
     rows = [(i, side, *words[side][i]) for i in range(pairs) for side in (0, 1)]
     df = spark.createDataFrame(rows, "pair long, side int, " + ", ".join(f"{c} long" for c in simhash.fp_columns(wide)))
-    keys = df.select("pair", "side", F.explode(simhash.sample_keys(n, wide)).alias("k"))
-    met = keys.groupBy("pair", "k").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("pair").distinct().count()
-    assert met >= (simhash.RECALL - 0.03) * pairs
+    for n in (8_000, 30_000_000):
+        keys = df.select("pair", "side", F.explode(simhash.sample_keys(n, wide)).alias("k"))
+        met = keys.groupBy("pair", "k").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("pair").distinct().count()
+        assert met >= (simhash.RECALL - 0.03) * pairs
+
+
+def shingles_of(text, n=5):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def groups_of(labels):
+    out = {}
+    for key, label in labels:
+        out.setdefault(label, set()).add(key)
+    return out
+
+
+@pytest.mark.parametrize("split", [simhash.SPLIT, 12])
+def test_near_copies_match_brute_force(spark, split, monkeypatch):
+    """Groups are those of exact five-word-shingle similarity 0.8, crowded buckets or not: texts of few and many words, and one page behind many."""
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [None, "", "one two", "one two", "One two", " ".join(["same"] * 300) + " a b c d e f g h i j", " ".join(["same"] * 300) + " k l m n o p q r s t"]
+    for g in range(40):
+        base = [r.choice(words) for _ in range(r.choice([6, 12, 40, 150, 500]))]
+        for _ in range(5):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 25))):
+                w[r.randrange(len(w))] = r.choice(words)
+            texts.append(" ".join(w))
+    page = [r.choice(words) for _ in range(200)]
+    texts += [" ".join(page + [r.choice(words) for _ in range(r.randint(2, 60))]) for _ in range(80)]
+    df = spark.createDataFrame([(i, t, "", 0, "h") for i, t in enumerate(texts)], DOCS)
+    got = groups_of((x.d, x.label) for x in simhash.near_copies(df).collect())
+    sets, label = [shingles_of(t) for t in texts], list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    for _ in range(60):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    want = groups_of(enumerate(label))
+    apart = {i: k for k, v in got.items() for i in v}
+    assert all(any(v <= w for w in want.values()) for v in got.values()), "no group reaches beyond a true one"
+    assert sum(apart[i] == apart[j] for i, j in pairs) >= 0.97 * len(pairs)
 
 
 def test_simhash_rows(spark):
