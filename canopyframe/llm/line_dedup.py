@@ -3,8 +3,7 @@
 A line found on at least ``min_sites`` distinct sites (``source``) is site
 boilerplate: its first occurrence (smallest doc_id, then line number) stays and
 every other one is removed.  Lines are compared without the white space around
-them; lines under ``min_chars`` characters are never judged, since short
-sentences recur by chance.
+them; empty lines are never judged, any other line is, however short.
 
 Counting is in three steps.  (1) One aggregate over all lines finds those with
 at least ``min_sites`` occurrences and more than one site; others cannot
@@ -13,6 +12,9 @@ and then per line hash, so a line on every page costs one sketch per task.
 (3) Lines whose estimate is within ``BAND`` (several standard errors) or one
 site of the threshold get exact distinct counts.
 
+The occurrences of a line that is on very many pages are dealt over several
+tasks in every join.
+
 Defined cases: null text stays null and has no lines; a null source is a site
 of its own; null doc_id sorts first; repeated rows are treated alike, each
 keeping what a first occurrence keeps; an empty table gives no rows; other
@@ -23,10 +25,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import checkpoint, free_name, hash128
+from ._shared import checkpoint, free_name, hash128, join_hot
 
 MIN_SITES = 6
-MIN_CHARS = 24
 LG_K = 12
 BAND = 0.1
 SPACE = " \t\r\x0b\x0c"
@@ -41,65 +42,65 @@ def _row_key() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64("text").alias("t")
 
 
-def lines_of(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """d, t, doc_id, site, pos, h1, h2: every line that is long enough to be judged."""
+def lines_of(documents: DataFrame) -> DataFrame:
+    """d, t, doc_id, site, pos, h1, h2: every line but the empty ones."""
     d, t = _row_key()
     lines = documents.select(d, t, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("source").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    long_enough = lines.withColumn("line", _trimmed(F.col("line"))).where(F.length("line") >= min_chars)
+    held = lines.withColumn("line", _trimmed(F.col("line"))).where(F.length("line") > 0)
     h1, h2 = hash128(F.col("line"))
-    return long_enough.select("d", "t", "doc_id", "site", "pos", h1.alias("h1"), h2.alias("h2"))
+    return held.select("d", "t", "doc_id", "site", "pos", h1.alias("h1"), h2.alias("h2"))
 
 
-def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(h1, h2, first) of the lines spread over enough sites, and where the candidates occur."""
-    lines = lines_of(documents, min_chars)
-    held = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"))
-    candidates = held.where((F.col("n") >= min_sites) & ((F.col("lo") != F.col("hi")) | F.lit(min_sites <= 1))).select("h1", "h2")
-    hits = checkpoint(lines.join(candidates, ["h1", "h2"], "left_semi"))
+def boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame, int]:
+    """(h1, h2, first, n) of the lines spread over enough sites, where the candidates occur, and how often in all."""
+    keys, lines = ["h1", "h2"], lines_of(documents)
+    held = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"))
+    candidates = checkpoint(held.where((F.col("n") >= min_sites) & ((F.col("lo") != F.col("hi")) | F.lit(min_sites <= 1))).select(*keys, "n"))
+    total = candidates.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hits = checkpoint(join_hot(lines, candidates, keys, "n", total, ["d", "pos"]).drop("n"))
     spread = checkpoint(
-        hits.groupBy("h1", "h2").agg(
-            F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(F.struct("doc_id", "pos")).alias("first")
+        hits.groupBy(*keys).agg(
+            F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")
         )
     )
     low, high = min_sites * (1 - BAND) - 1, min_sites * (1 + BAND) + 1
     sure = spread.where(F.col("sites") > high)
     near = spread.where(F.col("sites").between(low, high))
-    exact = hits.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    settled = near.join(exact.where(F.col("n") >= min_sites).select("h1", "h2"), ["h1", "h2"], "left_semi")
-    return sure.unionByName(settled).select("h1", "h2", "first"), hits
+    places = join_hot(hits, near.select(*keys, "n"), keys, "n", total, ["d", "pos"]).select(*keys, "site").distinct()
+    exact = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    settled = near.join(exact.where(F.col("n") >= min_sites).select(*keys), keys, "left_semi")
+    return sure.unionByName(settled).select(*keys, "first", "n"), hits, total
 
 
-def with_removals(documents: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, str, str]:
+def with_removals(documents: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, str, str]:
     """The documents with two more columns: the kept lines, and how many were removed."""
-    found, hits = boilerplate(documents, min_sites, min_chars)
-    mine = hits.join(found, ["h1", "h2"]).groupBy("d", "t").agg(F.collect_set(F.struct("h1", "h2", "first")).alias("found"))
+    found, hits, total = boilerplate(documents, min_sites)
+    gone = join_hot(hits, found, ["h1", "h2"], "n", total, ["d", "pos"]).where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
+    mine = gone.groupBy("d", "t").agg(F.collect_set("pos").alias("gone"))
     kept, removed = free_name(documents, "kept_text"), free_name(documents, "n_removed")
     d, t = _row_key()
-    keys = [free_name(documents, "key_d"), free_name(documents, "key_t"), free_name(documents, "found_lines")]
+    keys = [free_name(documents, "key_d"), free_name(documents, "key_t"), free_name(documents, "gone_lines")]
     left = documents.withColumns({keys[0]: d, keys[1]: t})
-    right = mine.select(F.col("d").alias(keys[0]), F.col("t").alias(keys[1]), F.col("found").alias(keys[2]))
+    right = mine.select(F.col("d").alias(keys[0]), F.col("t").alias(keys[1]), F.col("gone").alias(keys[2]))
     joined = left.join(right, keys[:2], "left")
-    lines = F.split("text", "\n")
-    doc_id = F.col("doc_id").cast("long")
+    touched = F.col(keys[2]).isNotNull() & F.col("text").isNotNull()
 
-    def stays(line: Column, pos: Column) -> Column:
-        trimmed = _trimmed(line)
-        h1, h2 = hash128(trimmed)
-        same = lambda f: (f["h1"] == h1) & (f["h2"] == h2) & ~(f["first"]["doc_id"].eqNullSafe(doc_id) & (f["first"]["pos"] == pos))
-        return (F.length(trimmed) < min_chars) | ~F.exists(F.col(keys[2]), same)
+    def staying(lines: Column) -> Column:
+        """Places left of all places (array_except hashes them), then their lines."""
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(keys[2]))
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
 
-    touched = F.col(keys[2]).isNotNull() & F.col("text").isNotNull()
-    filtered = joined.withColumn(kept, F.when(touched, F.filter(lines, stays)))
-    out = filtered.withColumns({
-        removed: F.when(touched, F.size(lines) - F.size(kept)).otherwise(0).cast("long"),
-        kept: F.when(touched, F.array_join(F.col(kept), "\n")).otherwise(F.col("text")),
+    text = F.transform(F.array(F.split("text", "\n")), staying)[0]  # split once
+    out = joined.withColumns({
+        removed: F.when(touched, F.size(keys[2])).otherwise(0).cast("long"),
+        kept: F.when(touched, text).otherwise(F.col("text")),
     })
     return out.select(*(F.col(f"`{c}`") for c in documents.columns), kept, removed), kept, removed
 
 
-def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """The documents without boilerplate lines; a document left without any text goes."""
-    out, kept, removed = with_removals(documents, min_sites, min_chars)
+    out, kept, removed = with_removals(documents, min_sites)
     emptied = (F.col(removed) > 0) & (F.length(F.btrim(F.col(kept), F.lit(SPACE + "\n"))) == 0)
     remaining = out.where(~F.coalesce(emptied, F.lit(False)))
     changes = {"text": F.col(kept)}

@@ -95,7 +95,7 @@ WITH lines AS (
   SELECT doc_id, source, pos, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS cut FROM (
     SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
 ), spread AS (
-  SELECT cut, min((doc_id, pos)) AS first FROM lines WHERE length(cut) >= {line_dedup.MIN_CHARS}
+  SELECT cut, min((doc_id, pos)) AS first FROM lines WHERE length(cut) > 0
   GROUP BY cut HAVING count(DISTINCT coalesce(source, chr(0))) >= {line_dedup.MIN_SITES}
 ), judged AS (
   SELECT l.*, s.cut IS NOT NULL AND s.first <> (l.doc_id, l.pos) AS goes FROM lines l LEFT JOIN spread s ON l.cut = s.cut
