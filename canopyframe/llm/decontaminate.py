@@ -2,7 +2,7 @@
 
 Texts and items are compared as lower-cased words (runs of letters and digits)
 joined by single spaces.  An item of ``n`` characters may be matched with
-``max(1, n // ERROR_SHARE)`` edits.  It is split into one piece more than that;
+``max(1, n // ERROR_SHARE)`` edits, an item of one character with none.  It is split into one piece more than that;
 a passage within the budget holds at least one piece unchanged.  One
 Aho-Corasick automaton finds every exact piece hit in one pass over a text;
 around each hit the whole item is verified by Myers' bit-parallel distance
@@ -30,7 +30,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import free_name
+from ._shared import free_name, materialize
 
 ERROR_SHARE = 16
 GROUP_CHARS = 4_000_000
@@ -42,7 +42,7 @@ def normalize(text: str | None) -> str:
 
 
 def budget(item: str) -> int:
-    return max(1, len(item) // ERROR_SHARE)
+    return min(len(item) - 1, max(1, len(item) // ERROR_SHARE))
 
 
 def split_pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -144,10 +144,6 @@ def item_groups(benchmark: DataFrame) -> Iterator[Items]:
             yield Items([k[0] for k in kept], [k[1] for k in kept])
 
 
-def _merged(found: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if found is None else found.unionByName(more)
-
-
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, distance for every document that holds an item within its budget."""
     spark = documents.sparkSession
@@ -167,7 +163,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "distance"])
 
         texts = documents.select(F.col("doc_id").cast("long"), "text")
-        out = _merged(out, texts.mapInArrow(run, "doc_id long, item_id long, distance long"))
+        part = texts.mapInArrow(run, "doc_id long, item_id long, distance long")
+        # of several groups, each is written before the next is read, so that one is held at a time
+        out = part if out is None else materialize(out.unionByName(part))
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, distance long")
     return out

@@ -6,10 +6,10 @@ length at which any n-gram is known scores it, by the mean over its known
 n-grams.  A text scores by the sum over all its words; the posterior of the
 best language, with equal priors, is its score.
 
-Training takes, per language, a sample of about ``docs_per_lang`` labelled
-documents chosen by a hash of the id (never the held-out remainder), and keeps
-``words_per_lang`` words and ``grams_per_lang`` n-grams of each length; these
-three parameters bound the model whatever the size of the corpus, so it may be
+Training takes, of each of the ``MAX_LANGS`` languages with the most labelled
+documents, a sample of about ``docs_per_lang`` of these, chosen by a hash of the
+id (never the held-out remainder), and keeps ``words_per_lang`` words and
+``grams_per_lang`` n-grams of each length; these four parameters bound the model whatever the size of the corpus, so it may be
 broadcast.  Prediction reads every whole text and nothing but the text.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0,
@@ -35,6 +35,9 @@ DOCS_PER_LANG = 1500
 WORDS_PER_LANG = 20_000
 GRAMS_PER_LANG = 4_000
 MAX_MODEL_ROWS = 1_000_000
+MAX_LANGS = 400
+#: Unseen words whose rows a task remembers.
+KNOWN_UNSEEN = 200_000
 GRAM_LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -87,24 +90,30 @@ class Model:
     grams: dict[int, dict[str, int]]
     scores: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.unseen: dict[str, list[int]] = {}
+
+    def known_grams(self, word: str) -> list[int]:
+        """Rows of the known n-grams of an unseen word, of the first length that has any."""
+        found = self.unseen.get(word)
+        if found is None:
+            found = next((rows for n, table in self.grams.items() if (rows := [table[g] for g in grams_of(word, n) if g in table])), [])
+            if len(self.unseen) >= KNOWN_UNSEEN:
+                self.unseen.clear()
+            self.unseen[word] = found
+        return found
+
     def rows(self, words: list[str]) -> tuple[list[int], list[float]]:
         """Rows to add and their weights."""
         index, weight, known = [], [], self.words
-        unseen = []
-        for w in words:
+        for w, times in Counter(words).items():
             row = known.get(w)
-            if row is None:
-                unseen.append(w)
-            else:
+            if row is not None:
                 index.append(row)
-        weight = [1.0] * len(index)
-        for w in unseen:
-            for n, table in self.grams.items():
-                found = [table[g] for g in grams_of(w, n) if g in table]
-                if found:
-                    index += found
-                    weight += [1.0 / len(found)] * len(found)
-                    break
+                weight.append(times)
+            elif found := self.known_grams(w):
+                index += found
+                weight += [times / len(found)] * len(found)
         return index, weight
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -146,10 +155,12 @@ def train(documents: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """Fit the bounded model on labelled documents that are not held out."""
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     # one row per language: how many labelled documents it has
-    held = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    held = {r["lang"]: r["n"] for r in counted.limit(MAX_LANGS).collect()}
     if not held:
         return build_model([])
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(held.items()) for x in (lang, min(1.0, docs_per_lang / n)))), F.col("lang"))
+    # a language that is not learned has no share, and is left out by the comparison
+    share = F.try_element_at(F.create_map(*(F.lit(x) for lang, n in sorted(held.items()) for x in (lang, min(1.0, docs_per_lang / n)))), F.col("lang"))
     luck = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.where(luck < share).select("lang", "text")
     counts = sample.mapInArrow(_count_tokens, "lang string, kind int, token string, times long").groupBy("lang", "kind", "token").agg(F.sum("times").alias("times"))

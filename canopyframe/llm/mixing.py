@@ -26,7 +26,8 @@ out of the digest.
 
 Sizes: draws are at most ``(cap) * 16 ** DIGITS`` per source, whatever the
 number of documents; documents are never sorted but for one sub-block of each
-source, ``16 ** -(DIGITS + SUB_DIGITS)`` of it.
+source, ``16 ** -(DIGITS + SUB_DIGITS)`` of it.  Only the sources themselves, one
+row of sums each, are sorted in one task.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 DIGITS, SUB_DIGITS = 2, 3
 LEVELS = 3
+#: Leading digits of a node's draw order that its draws are counted by: 16 ** LEAD_DIGITS counts a node at most are sent to every task.
+LEAD_DIGITS = 3
 SEED = "mix-1"
 
 
@@ -96,11 +99,15 @@ def quota_tree(ordered: DataFrame, levels: int = LEVELS) -> DataFrame:
     counted = ordered.withColumn("n", F.col("epochs") + last).where("n > 0")
     draws = counted.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("source", "block", "turn", "epoch").withColumn("shard", F.lit(0))
     for level in range(levels):
-        # a single draw order per node: half of the node's draws, rounded up, go left
-        luck = _key(F.lit(f"node{level}"), "source", "block", "epoch")
+        # a single draw order per node: half of the node's draws, rounded up, go left.  Ranks are counted by the
+        # leading digits of the order first, so no task sorts a node's draws.
+        draws = draws.withColumn("luck", _key(F.lit(f"node{level}"), "source", "block", "epoch")).withColumn("lead", F.substring("luck", 1, LEAD_DIGITS))
         of_node = W.partitionBy("shard")
-        placed = draws.withColumn("luck", luck).withColumn("rank", F.row_number().over(of_node.orderBy("luck", "source", "block", "epoch"))).withColumn("held", F.count(F.lit(1)).over(of_node))
-        draws = placed.withColumn("shard", F.col("shard") * 2 + F.when(F.col("rank") * 2 <= F.col("held") + 1, 0).otherwise(1)).drop("luck", "rank", "held")
+        counts = draws.groupBy("shard", "lead").agg(F.count(F.lit(1)).alias("n"))
+        ahead = counts.select("shard", "lead", _running(["shard"], ["lead"], "n").alias("ahead"), F.sum("n").over(of_node).alias("held"))
+        place = F.row_number().over(W.partitionBy("shard", "lead").orderBy("luck", "source", "block", "epoch"))
+        placed = draws.join(F.broadcast(ahead), ["shard", "lead"]).withColumn("rank", place + F.col("ahead"))
+        draws = placed.select("source", "block", "turn", "epoch", (F.col("shard") * 2 + F.when(F.col("rank") * 2 <= F.col("held") + 1, 0).otherwise(1)).alias("shard"))
     # the leaves' counts are quotas; a source's i-th draw takes the i-th place of its quotas in shard order
     dealt = draws.withColumn("seat", F.row_number().over(W.partitionBy("source").orderBy("shard", "turn", "epoch")))
     seats = dealt.select("source", "seat", "shard")

@@ -549,15 +549,16 @@ def near_copies(documents: DataFrame, shingle: int = 5, wide: int = WIDE, simila
     cols = [c.split()[0] for c in schema.split(", ")[2:]]
     printed = checkpoint(keyed.mapInArrow(run, schema).withColumn("node", F.xxhash64(*cols)))
     # equal fingerprints and band keys fold to one node, which one of its rows stands for
-    prints = checkpoint(printed.groupBy("node").agg(*(F.first(c).alias(c) for c in cols), F.min("d").alias("d"), F.min_by("t", "d").alias("t")))
+    prints = checkpoint(printed.groupBy("node").agg(*(F.first(c).alias(c) for c in cols), F.min("d").alias("d"), F.min_by("t", "d").alias("t"), F.count(F.lit(1)).alias("n")))
     found = checkpoint(similar_links(prints.select("node", *cols), wide))
     sure = F.col("gap") <= int(SURE * 64 * wide)
     doubtful = found.where(~sure)
     ends = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = keyed.join(prints.select("node", "d", "t").join(ends, "node", "left_semi"), ["d", "t"]).select("node", "text")
     stand = found.where(sure).select("a", "b").unionByName(similar_enough(doubtful, texts, shingle, similarity))
-    labels = components(stand)
-    return printed.select("d", "t", "node").join(labels, "node", "left").select("d", "t", "node", F.coalesce("label", "node").alias("label"))
+    labels = components(stand).join(prints.select("node", "n"), "node")
+    rows = printed.select("d", "t", "node")
+    return join_hot(rows, labels, ["node"], "n", printed.count(), ["d", "t"], "left").select("d", "t", "node", F.coalesce("label", "node").alias("label"))
 
 
 def keep_one_of_each(documents: DataFrame, shingle: int = 5) -> DataFrame:

@@ -10,10 +10,12 @@ exact.  A task keeps k candidates per query over all its rows; these meet in a
 last ranking per query.
 
 Queries are taken in groups of about ``GROUP_VALUES`` components (what a task
-holds is bounded for any table); each group is one pass over the table.
+holds is bounded for any table); each group is one pass over the table, and is
+written and let go before the next where there are several.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part; vectors of different lengths are not compared;
+components and scores beyond the range of a long are held at its ends;
 repeated query rows are one query; every repeated candidate row counts; fewer
 candidates than k are all returned; ties go to the smaller vec_id; a null
 vec_id is no query and no candidate; an empty table gives no rows; other
@@ -26,7 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ._shared import materialize
 
 TOP = 5
 EVERY = 50
@@ -36,8 +40,22 @@ STEP = 256
 SLACK = 1e-6
 
 
+#: Largest component kept (the largest double below 2 ** 63).
+_LARGEST = float(2**63 - 1024)
+
+
 def integers(rows: np.ndarray) -> np.ndarray:
-    return np.floor(256.0 * rows.astype(np.float64)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(256.0 * rows.astype(np.float64)), -_LARGEST, _LARGEST).astype(np.int64)
+
+
+def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products; those beyond the range of a long are held at its ends."""
+    size = np.abs(rows).max(initial=0).astype(float) * np.abs(query).max(initial=0).astype(float) * len(query)
+    if size < 2.0**62:
+        return rows @ query
+    q = query.tolist()
+    return np.array([max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(row, q)))) for row in rows.tolist()], dtype=np.int64)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -108,7 +126,7 @@ class Search:
                     if bound[some[0]] < least:
                         break
                 some = some[ids[some] != self.ids[q]]
-                scores = rows[some] @ self.rows[q]
+                scores = products(rows[some], self.rows[q])
                 self.evaluated += len(some)
                 if least is not None:
                     some, scores = some[scores >= least], scores[scores >= least]
@@ -121,12 +139,16 @@ class Search:
             self.best[q] = best
 
 
-def _groups(queries: DataFrame) -> Iterator[list[tuple[int, list[float]]]]:
-    """The distinct queries, about GROUP_VALUES components at a time."""
+def _groups(queries: DataFrame) -> Iterator[tuple[list[tuple[int, list[float]]], bool]]:
+    """The distinct queries, about GROUP_VALUES components at a time, and whether there are several groups."""
     values = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
     n = -(-values // GROUP_VALUES)
     for g in range(n):
-        yield queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == g).collect()
+        yield queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == g).collect(), n > 1
+
+
+def _rank() -> Column:
+    return F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = TOP) -> DataFrame:
@@ -135,7 +157,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = TOP) -> DataFrame:
     ready = usable(vectors)
     queries = ready.where(F.col("vec_id") % every == 0).distinct()
     found = None
-    for rows in _groups(queries):
+    for rows, several in _groups(queries):
         by_length: dict[int, list] = {}
         for vec_id, embedding in sorted(rows):
             by_length.setdefault(len(embedding), []).append((vec_id, embedding))
@@ -160,8 +182,10 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = TOP) -> DataFrame:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
         part = ready.mapInArrow(run, "query_id long, vec_id long, score long")
+        if several:
+            part = materialize(part.withColumn("rank", _rank()).where(F.col("rank") <= k).drop("rank"))
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", _rank()).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -110,6 +110,14 @@ def test_mixing_cap_and_single_source(spark):
     assert target == {1: 3.0, 200: 198.0}
 
 
+def test_mixing_many_sources(spark):
+    """Draws are ranked by counts of leading digits: as many go left at each node as one ranking of all would send, and SQL agrees."""
+    df = spark.createDataFrame([(i, "w " * (1 + i % 5), f"site{i % 130}", 0, "", 0) for i in range(1300)], DOCS)
+    assert rows(mixing.digest(df)) == sql(oracles.mixing_sql(), documents=df)
+    held = {r.shard: r.n for r in mixing.mixed_rows(df).groupBy("shard").count().withColumnRenamed("count", "n").collect()}
+    assert len(held) == 2**mixing.LEVELS
+
+
 def test_mixing_empty(spark):
     assert mixing.digest(spark.createDataFrame([], DOCS)).count() == 0
     none = mixing.digest(spark.createDataFrame([(1, None, None, 0, "", 0)], DOCS)).collect()

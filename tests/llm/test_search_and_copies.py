@@ -32,6 +32,23 @@ def search(spark, rows):
     return {tuple(r) for r in topk.search(df).collect()}
 
 
+def test_topk_of_huge_components(spark):
+    """Components and scores beyond the range of a long are held at its ends; the smaller vec_id goes first."""
+    rows = [(0, [1e30, 0.0]), (1, [2e30, 1.0]), (2, [-1e30, 0.0]), (3, [0.5, 0.5]), (4, [1e17, 3.0])]
+    kept = [np.clip(np.floor(256 * np.array(v, dtype=np.float32).astype(float)), -(2.0**63 - 1024), 2.0**63 - 1024).astype(int).tolist() for _, v in rows]
+    score = lambda a, b: max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(a, b))))
+    want = sorted(((-score(kept[0], kept[i]), i) for i in range(1, 5)))
+    assert search(spark, rows) == {(0, n + 1, i, -s) for n, (s, i) in enumerate(want)}
+
+
+def test_topk_in_groups_with_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_VALUES", 16)
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.normal(0, 0.3, 4).round(3).tolist()) for i in range(420)]
+    df = spark.createDataFrame([(i, v, "x", 7, 1, 2) for i, v in rows], VECS + ", query_id int, shared int")
+    assert {tuple(r) for r in topk.search(df).collect()} == brute_topk(rows)
+
+
 def test_topk_matches_brute_force(spark):
     draw = np.random.default_rng(1)
     rows = [(i, draw.normal(0, 0.3, 8).round(3).tolist()) for i in range(320)]

@@ -234,6 +234,24 @@ def test_keep_identified_keeps_columns(spark):
     assert {x.lang_pred for x in kept.collect()} == {"clash"}
 
 
+def test_languages_learned_are_bounded(spark, monkeypatch):
+    """Only the languages with the most labelled documents are learned; a dirty label is as good as none."""
+    monkeypatch.setattr(language_id, "MAX_LANGS", 2)
+    r = random.Random(3)
+    rows = [(i, sentence(lang, r, 30), lang) for i, lang in enumerate(["aa", "bb"] * 40)] + [(1000 + i, sentence("cc", r, 30), f"junk{i}") for i in range(30)]
+    assert language_id.train(frame(spark, rows)).langs == ["aa", "bb"]
+    got = {x.doc_id: x.lang_pred for x in language_id.identify(frame(spark, rows)).collect()}
+    assert all(got[i] == lang for i, _, lang in rows[:80]) and {got[i] for i, _, _ in rows[80:]} <= {"aa", "bb"}
+
+
+def test_unseen_words_are_remembered_within_bounds(monkeypatch):
+    model = language_id.build_model([("aa", 0, "known", 3), ("aa", 2, "ab", 1), ("bb", 2, "cd", 1), ("bb", 0, "other", 2)])
+    monkeypatch.setattr(language_id, "KNOWN_UNSEEN", 3)
+    texts = ["known abab cdcd xx", "cdcd cdcd abab", "a b c d e f g h ab"]
+    first = [model.predict(t) for t in texts]
+    assert first == [model.predict(t) for t in texts] and len(model.unseen) <= 3
+
+
 # --- decontamination ---------------------------------------------------------
 
 
@@ -298,6 +316,13 @@ def test_leaks_match_brute_force(spark):
     assert sorted((x.doc_id for x in kept.collect()), key=str) == sorted((d for d, _ in docs if d not in {x[0] for x in want}), key=str)
 
 
+def test_one_character_items_match_exactly(spark):
+    assert [decontaminate.budget(x) for x in ("a", "ab", "a" * 31, "a" * 32, "a" * 64)] == [0, 1, 1, 2, 4]
+    bench = spark.createDataFrame([(1, "a"), (2, "Q!")], "item_id long, text string")
+    got = {tuple(x) for x in decontaminate.leaks(frame(spark, [(1, "zzz"), (2, "b a c"), (3, "q"), (4, "b c")]), bench).collect()}
+    assert got == {(2, 1, 0), (3, 2, 0)}
+
+
 def test_leaks_in_groups_and_empty(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "GROUP_CHARS", 40)
     items = [(i, f"item number {i} asks for the capital of land {i}") for i in range(7)]
