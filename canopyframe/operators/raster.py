@@ -94,7 +94,7 @@ def _expanded(box: Column, pad: int, min_size: int, height: Column | int, width:
 
 @dataclass(frozen=True)
 class PropagationConfig:
-    """Parameters of region, threshold ladder and rescue."""
+    """Parameters of region, threshold ladder, rescue, annotation export, and which provider makes the logits."""
 
     roi_pad_ratio: float = 1.9
     roi_min_size: int = 384
@@ -104,6 +104,15 @@ class PropagationConfig:
     min_valid_area: int = 1
     rescue_min_box: float = 8.0
     rescue_box_ratio: float = 0.65
+    rescue_enabled: bool = True
+    bidirectional: bool = True
+    isat_category: str = "plant"
+    isat_simplify_eps: float = 2.0
+    isat_min_area: float = 10.0
+    jpeg_quality: int = 95
+    qa_grid_cols: int = 6
+    qa_grid_tile: int = 200
+    backend: str = "sam2"
     min_anchors: int = 2
 
 
@@ -152,9 +161,10 @@ def paste_from_roi(sub: Column, sub_w: Column | int, sub_h: Column | int, box: C
     return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), pixel)
 
 
-def resize_nearest(values: Column, width: int, height: int, to_width: int, to_height: int) -> Column:
+def resize_nearest(values: Column, width: Column | int, height: Column | int, to_width: int, to_height: int) -> Column:
     """Nearest-neighbour resampling of a frame."""
-    at = lambda i: F.floor(F.floor(i / to_width) * height / to_height) * width + F.floor((i % to_width) * width / to_width)
+    w, h = _c(width), _c(height)
+    at = lambda i: F.floor(F.floor(i / to_width) * h / to_height) * w + F.floor((i % to_width) * w / to_width)
     return F.transform(F.sequence(F.lit(0), F.lit(to_width * to_height - 1)), lambda i: F.get(values, at(i).cast("int")))
 
 
@@ -283,9 +293,10 @@ def layer_temperatures(temp: Column, mask: Column, width: int) -> Column:
     """struct of statistics per layer, range and upper minus lower; null with an error if a layer is empty."""
 
     def per_layer(layers: Column) -> Column:
-        of_layer = lambda k: A.where_mask(temp, F.transform(layers, lambda x: x.eqNullSafe(F.lit(k))))
+        of_layer = lambda k: A.where_mask(temp, F.transform(layers, lambda x: x.eqNullSafe(k)))
+        found = F.transform(F.array(*map(F.lit, range(len(LAYERS)))), lambda k: A.summary(of_layer(k)))
         present = F.size(F.array_distinct(F.filter(layers, lambda x: x.isNotNull())))
-        return F.struct(*(A.summary(of_layer(k)).alias(name) for k, name in enumerate(LAYERS)), (present == 3).alias("all"))
+        return let(found, lambda f: F.struct(*(f[k].alias(name) for k, name in enumerate(LAYERS)), (present == len(LAYERS)).alias("all")))
 
     def report(p: Column) -> Column:
         medians = [p[name]["median"] for name in LAYERS]

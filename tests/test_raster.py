@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopyframe.functions import arrays as A, indices as I, physics as P
-from canopyframe.operators import kernels as K, raster as R
+from canopyframe.operators import geometry as G, kernels as K, raster as R
 from canopyframe.plans import traits
 
 
@@ -200,12 +200,46 @@ def test_cleanup_rules():
     assert out.sum() == 36 and audit["hard_fail"], "over three times the anchor"
     out, audit = K.clean_mask(m, m & (np.arange(30) < 10))
     assert out.sum() == 36 and not audit["hard_fail"]
-    assert K.clean_mask(np.zeros_like(m), None, [(1, 1)], [1], True)[1]["hard_fail"]
+    assert K.clean_mask(np.zeros_like(m), None, [(1, 1)], [1], True)[1]["support_mode"] == "none"
     assert K.clean_mask(m, None, [], [], True, most=10)[1]["hard_fail"]
     done = K.clean_sequence([m, m, m], 1, [(4, 4)], [1])
     assert [int(x.sum()) for x, _ in done] == [36, 36, 36]
 
 
+def test_component_stats_match_pixels():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        labels = K.components(r.random((17, 23)) > 0.6)
+        for row in K.component_table(labels):
+            ys, xs = np.nonzero(labels == row["label"])
+            assert row == {"label": row["label"], "area": len(ys), "x0": xs.min(), "y0": ys.min(), "x1": xs.max(), "y1": ys.max()}
+
+
+def test_distances_to_seeds():
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        seeds = r.random((13, 19)) > r.choice([0.7, 0.95, 0.99])
+        at = np.argwhere(seeds)
+        ys, xs = np.indices(seeds.shape)
+        want = np.min([(ys - y) ** 2 + (xs - x) ** 2 for y, x in at], axis=0) if len(at) else np.full(seeds.shape, np.inf)
+        assert (K.squared_distances(seeds) == want).all()
+
+
+def test_pot_rim_evidence_within_its_arc():
+    y, x = np.indices((220, 220))
+    d = np.hypot(x - 110, y - 110)
+    mask, rgb = d < 100, np.zeros((220, 220), bool)
+    rgb[110, 200:205] = True
+    ndvi = np.where(rgb, 0.5, 0.0)
+    out, audit = K.remove_pot_rim(mask, rgb, ndvi, (110, 110, 100))
+    near = (abs(y - 110) <= 5) & (x >= 195) & (x <= 209)
+    assert (out == ((d < 68) | (mask & near))).all() and audit == {"inspected": 1, "suspicious": 1, "removed_px": int((mask & ~out).sum()), "preserved_px": int((mask & near).sum())}
+    ring = (d >= 75) & (d < 100)  # touches no core
+    out, audit = K.remove_pot_rim(ring, rgb, ndvi, (110, 110, 100))
+    assert not out.any() and audit["preserved_px"] == 0
+    assert K.remove_pot_rim(d < 50, rgb, ndvi, (110, 110, 100))[1]["inspected"] == 0
+
+
 def test_pot_rim_keeps_the_core():
     y, x = np.indices((120, 120))
     d = np.hypot(x - 60, y - 60)
@@ -230,32 +264,115 @@ def test_soil_plane():
     xy = r.uniform(-200, 200, (4000, 2))
     z = 0.05 * xy[:, 0] + 0.02 * xy[:, 1] + 500 + r.normal(0, 1, 4000)
     z[:400] += r.uniform(30, 90, 400)
-    plane, audit = K.fit_soil_plane(np.column_stack([xy, z]))
+    plane, median, audit = G.fit_soil_plane(np.column_stack([xy, z]))
     assert audit["status"] == "accepted" and abs(plane[0] - 0.05) < 0.02 and abs(plane[1] - 0.02) < 0.02 and abs(plane[2] - 500) < 5
-    assert K.fit_soil_plane(np.zeros((10, 3)))[1]["reason"] == "insufficient_soil_points"
+    assert median < 2 and audit["method"] == "iteratively_reweighted_least_squares"
+    assert G.fit_soil_plane(np.zeros((10, 3)))[2] == {"status": "rejected", "reason": "insufficient_soil_points", "point_count": 10}
     steep = np.column_stack([xy, 0.8 * xy[:, 0] + 500])
-    assert K.fit_soil_plane(steep)[1]["reason"] == "soil_plane_slope_exceeded"
+    assert G.fit_soil_plane(steep)[2]["reason"] == "soil_plane_slope_exceeded"
+
+
+def test_soil_plane_by_consensus():
+    """Half of the points on a slope of their own: the level plane is found among the trials, and is theirs alone."""
+    r = np.random.default_rng(3)
+    xy = r.uniform(-200, 200, (3000, 2))
+    z = np.where(np.arange(3000) < 1800, 600 + r.normal(0, 1, 3000), 700 + 1.5 * xy[:, 0] + r.uniform(0, 150, 3000))
+    plane, median, audit = G.fit_soil_plane(np.column_stack([xy, z]))
+    assert audit["method"] == "deterministic_ransac_refit" and abs(plane[2] - 600) < 3 and np.hypot(*plane[:2]) < 0.02 and median < 2
+    assert audit["robust_spatial_quadrants"] == 4 and 0.4 < audit["robust_holdout_inlier_ratio"] < 0.8
+
+
+CAMERA = (600.0, 600.0, 100.0, 100.0)
 
 
 def test_heights_of_a_flat_scene():
     depth, mask = np.full((200, 200), 1000.0), square(200, 80, 120)
     depth[mask] = 900.0
-    h = K.plant_height(depth, mask, (600.0, 600.0, 100.0, 100.0))
-    assert abs(h["mean_height"] - 100) < 0.5 and abs(h["p95_height"] - 100) < 0.5 and h["missing_reason"] is None
-    assert K.plant_height(np.zeros((200, 200)), mask, (600.0, 600.0, 100.0, 100.0))["missing_reason"] == "soil_plane_unavailable"
-    s = K.visible_surface(depth[78:90, 78:90], mask[78:90, 78:90], (600.0, 600.0, 6.0, 6.0), reach=2)
-    assert abs(s["visible_surface_area"] - 100 * 1.5 * 1.5) < 1e-6
+    h = G.plant_height(depth, mask, CAMERA)
+    assert abs(h["mean_canopy_height_mm"] - 100) < 0.5 and abs(h["canopy_height_p95_mm"] - 100) < 0.5 and h["geometry_qc_pass"] and h["missing_reason"] == ""
+    assert abs(h["canopy_projected_area_mm2"] - 39 * 39 * 1.5 * 1.5) < 1e-6 and abs(h["visible_canopy_surface_area_mm2"] - 1600 * 1.5 * 1.5) < 1e-6
+    assert h["native_depth_fraction"] == h["edge_depth_fraction"] == h["mesh_vertex_coverage_fraction"] == 1.0 and h["metric_authority"] == "native_d435_only"
+    assert G.plant_height(np.zeros((200, 200)), mask, CAMERA)["missing_reason"] == "soil_plane_unavailable"
+    steep = 1000 + 2.0 * np.indices((200, 200))[1].astype(float)
+    assert G.plant_height(steep, mask, CAMERA)["missing_reason"] == "soil_plane_fit_failed"
+    assert G.canopy_traits(np.full((200, 200), 5000.0), mask, CAMERA, np.array([0.0, 0.0, 1000.0]))["missing_reason"] == "l3_failed:no canopy triangles passed continuity/layer gates"
+    assert G.canopy_traits(depth, np.zeros_like(mask), CAMERA, np.array([0.0, 0.0, 1000.0]))["missing_reason"] == "l3_failed:canopy_mask empty"
+
+
+def slow_surface(depth, ok, camera, cfg):
+    """Visible surface pixel by pixel, by the definition."""
+    fx, fy, cx, cy = camera
+    p, area, supported, capped, least = G.deproject(depth, *camera), 0.0, 0, 0, np.cos(np.deg2rad(cfg.most_tilt_degrees))
+    for y, x in np.argwhere(ok):
+        ys, xs = np.mgrid[max(0, y - cfg.normal_reach) : min(ok.shape[0], y + cfg.normal_reach + 1), max(0, x - cfg.normal_reach) : min(ok.shape[1], x + cfg.normal_reach + 1)]
+        use = ok[ys, xs] & (abs(depth[ys, xs] - depth[y, x]) <= max(35.0, 0.03 * depth[y, x]))
+        q, cosine = p[ys, xs][use], 1.0
+        if len(q) >= cfg.normal_points:
+            design, z = np.column_stack([q[:, :2] - np.median(q[:, :2], axis=0), np.ones(len(q))]), q[:, 2] - np.median(q[:, 2])
+            fit = np.linalg.lstsq(design, z, rcond=None)[0]
+            gap = z - design @ fit
+            off = abs(gap - np.median(gap))
+            inside = off <= max(2.5 * 1.4826 * np.median(off), 1.0)
+            if inside.sum() >= cfg.normal_points:
+                fit = np.linalg.lstsq(design[inside], z[inside], rcond=None)[0]
+            cosine, supported = 1 / np.sqrt(1 + fit[0] ** 2 + fit[1] ** 2), supported + 1
+            capped += cosine < least
+        area += depth[y, x] ** 2 / (fx * fy) / max(cosine, least)
+    return area, supported / ok.sum(), capped / max(supported, 1)
+
+
+def test_visible_surface_matches_the_definition():
+    r = np.random.default_rng(2)
+    ys, xs = np.indices((26, 30))
+    depth = 800 + 3.0 * xs + 0.5 * ys + r.normal(0, 2, ys.shape) + 120.0 * (xs > 17)
+    depth[r.random(depth.shape) < 0.05] = 0.0
+    mask = np.hypot(ys - 13, xs - 15) < 11
+    cfg = G.CanopyConfig(normal_reach=4)
+    got = G.visible_surface(depth, mask, (300.0, 310.0, 15.0, 13.0), cfg=cfg, block=37)
+    want = slow_surface(depth, mask & (depth >= 250), (300.0, 310.0, 15.0, 13.0), cfg)
+    np.testing.assert_allclose([got["visible_surface_area"], got["normal_support"], got["capped_fraction"]], want, rtol=1e-9)
+
+
+def test_footprints_and_rotations():
+    xs, ys, z = np.array([3.0, 9.0]), np.array([4.0, 1.0]), np.array([500.0, 800.0])
+    np.testing.assert_allclose(G.footprint_areas(xs, ys, z, (600.0, 500.0, 5.0, 5.0)), z * z / 3e5)
+    turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    np.testing.assert_allclose(G.footprint_areas(xs, ys, z, (600.0, 500.0, 5.0, 5.0), turn), z * z / 3e5)
+    tilt = np.array([[1, 0, 0], [0, 0.6, -0.8], [0, 0.8, 0.6]])
+    np.testing.assert_allclose(G.footprint_areas(xs, ys, z, (600.0, 500.0, 5.0, 5.0), tilt), 0.6 * z * z / 3e5)
+    assert (G.checked_rotation(tilt.ravel()) == tilt).all()
+    for bad in (np.eye(3) * 2, np.diag([1.0, 1.0, -1.0])):
+        with pytest.raises(ValueError):
+            G.checked_rotation(bad)
+
+
+def test_geometry_checks_in_order():
+    good = dict(zip(G.CANOPY_FIELDS, (1.0, 1.0, 1.0, 5.0, 5.0, 1.0, 1.0, 1.0, 1.0)))
+    assert G.canopy_checks(good, 1.0, 0.0) == "" and G.canopy_checks(good, 1.0, 0.0, 4.0) == ""
+    bad = dict.fromkeys(G.CANOPY_FIELDS, 0.0) | {"surface_to_projected_area_ratio": 5.0}
+    assert G.canopy_checks(bad, 0.0, 1.0, 3.0) == (
+        "low_native_depth_coverage;low_edge_depth_coverage;low_mesh_vertex_coverage;mean_height_not_above_minimum;p95_height_not_above_minimum;p95_height_not_above_soil_uncertainty;"
+        "implausible_surface_to_projected_ratio;low_surface_normal_support;high_unresolved_surface_inclination"
+    )
+    assert G.canopy_checks(good, 0.79, 0.16, 5.0) == "p95_height_not_above_soil_uncertainty;low_surface_normal_support;high_unresolved_surface_inclination"
 
 
 def test_feature_image_and_envelope():
-    f = K.feature_image(np.random.default_rng(0).normal(25, 2, (40, 50)))
+    r = np.random.default_rng(0)
+    f = K.feature_image(r.normal(25, 2, (40, 50)))
     assert f.shape == (40, 50, 3) and f.min() >= 0 and f.max() <= 1 and not K.feature_image(np.full((4, 4), np.nan)).any()
-    pts = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 10.0], [10.0, 10.0]])
-    v = K.envelope_volume(pts, np.full(4, 5.0), np.array([[0, 1, 2], [1, 3, 2]]), 0.5)
-    assert abs(v - 500) < 30
+    image, n = r.random((33, 70)), 28
+    weights = np.exp(-0.5 * (np.arange(-n, n + 1) / 7.0) ** 2)
+    mirror = lambda i, size: min(i % (2 * size - 2), (2 * size - 2) - i % (2 * size - 2))
+    slow = sum(wy * wx * image[mirror(9 + dy, 33), mirror(61 + dx, 70)] for dy, wy in zip(range(-n, n + 1), weights) for dx, wx in zip(range(-n, n + 1), weights)) / weights.sum() ** 2
+    assert abs(K._smooth(image, 7.0)[9, 61] - slow) < 1e-12
+    corners = np.array([[[0.0, 0.0], [10.0, 0.0], [0.0, 10.0]], [[10.0, 0.0], [10.0, 10.0], [0.0, 10.0]]])
+    volume, mean = G.envelope(corners, np.full((2, 3), 5.0), 0.5)
+    assert abs(volume - 500) < 1e-6 and abs(mean - 5) < 1e-6
+    volume, _ = G.envelope(np.concatenate([corners, corners]), np.concatenate([np.full((2, 3), 5.0), np.full((2, 3), 7.0)]), 1.0)
+    assert abs(volume - 700) < 1e-6, "the highest surface counts"
     with pytest.raises(ValueError):
-        K.envelope_volume(pts * 1e5, np.ones(4), np.array([[0, 1, 2]]))
-    assert K.canopy_qc({"a": 0.5, "b": 9.0}, {"a": ("min", 0.6, "low_a"), "b": ("max", 10, "high_b"), "c": ("min", 1, "no_c")}) == "low_a;no_c"
+        G.envelope(corners * 1e5, np.ones((2, 3)))
 
 
 # --- traits ------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopyframe.operators import kernels as K, segments
+from canopyframe.operators import geometry as G, kernels as K, segments
 from canopyframe.plans import runs
 
 
@@ -75,12 +75,15 @@ def test_crop_and_long_form(spark):
 
 
 def test_canopy_geometry():
-    depth, mask = np.full((20, 20), 900.0), np.zeros((20, 20), bool)
+    depth, mask, camera, plane = np.full((20, 20), 900.0), np.zeros((20, 20), bool), (600.0, 600.0, 10.0, 10.0), np.array([0.0, 0.0, 1000.0])
     mask[5:15, 5:15] = True
-    g = K.canopy_geometry(depth, mask, (600.0, 600.0, 10.0, 10.0), np.array([0.0, 0.0, 1000.0]))
-    assert abs(g["projected_area"] - 81 * 1.5 * 1.5) < 1e-6 and abs(g["mean_height"] - 100) < 1e-9 and g["qc_pass"] and g["vertex_coverage"] == 1.0
-    assert abs(g["envelope_volume"] - g["projected_area"] * 100) / g["envelope_volume"] < 0.1
+    g = G.canopy_geometry(depth, mask, camera, plane)
+    assert abs(g["canopy_projected_area_mm2"] - 81 * 1.5 * 1.5) < 1e-6 and abs(g["mean_canopy_height_mm"] - 100) < 1e-9 and g["geometry_qc_pass"] and g["mesh_vertex_coverage_fraction"] == 1.0
+    assert abs(g["canopy_envelope_volume_mm3"] - g["canopy_projected_area_mm2"] * 100) / g["canopy_envelope_volume_mm3"] < 0.1
     depth[7, 7] = np.nan
-    assert K.canopy_geometry(depth, mask, (600.0, 600.0, 10.0, 10.0), np.array([0.0, 0.0, 1000.0]))["native_coverage"] == 0.99
-    with pytest.raises(ValueError):
-        K.canopy_geometry(depth, np.zeros_like(mask), (600.0, 600.0, 10.0, 10.0), np.array([0.0, 0.0, 1000.0]))
+    depth[5, 5] = 2600.0
+    g = G.canopy_geometry(depth, mask, camera, plane)
+    assert g["native_depth_fraction"] == 0.98 and g["edge_depth_fraction"] == 1 - 1 / 64 and g["geometry_qc_pass"]
+    for bad in (np.zeros_like(mask), np.zeros((4, 4), bool)):
+        with pytest.raises(ValueError):
+            G.canopy_geometry(depth, bad, camera, plane)
