@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.arrays import count_true
 from ..functions.physics import is_true_word, plant_key, plant_number
 from . import raster as R
 
@@ -148,6 +149,30 @@ def leave_one_out_quality(folds: DataFrame, truth: str, predicted: str, width: i
     return folds.withColumn("iou", F.bround(R.mask_iou(F.col(truth), F.col(predicted)), 4)).withColumn("boundary_f1", F.bround(R.boundary_f1(F.col(truth), F.col(predicted), width, height), 4))
 
 
+def leave_one_out(frames: DataFrame, logits: DataFrame, keys: Sequence[str], width: int, height: int, cfg: R.PropagationConfig | None = None, rois: DataFrame | None = None) -> DataFrame:
+    """One row per held-out anchor: how well the others' propagation finds its mask.
+
+    ``logits`` (keys, held_idx, logits) is what a provider makes of each fold's
+    prompts; a fold without them has the source ``missing`` and an empty mask.
+    Masks are compared inside the sequence's region, where ``rois`` (keys, roi)
+    gives one.
+    """
+    cfg, on = cfg or R.PropagationConfig(), [*keys, "held_idx"]
+    folds = leave_one_out_folds(frames, keys).withColumnRenamed("anchor_mask", "truth")
+    joined = folds.join(logits.select(*on, F.col("logits").alias("_l")), on, "left")
+    joined = joined.join(rois.select(*keys, "roi"), list(keys), "left") if rois is not None else joined
+    rung = joined.withColumn("_rung", R.threshold_ladder(F.coalesce("_l", F.array().cast("array<double>")), cfg))
+    inside = lambda c: F.transform(c, lambda m, i: m & R.in_box(i, width, F.col("roi"))) if rois is not None else c
+    none, found = F.transform("truth", lambda m: F.lit(False)), F.col("_rung.area") > 0
+    source = F.when(F.col("_l").isNull(), "missing").when(found & ~F.col("_rung.fallback"), "propagated").when(found, "propagated_lowthr").otherwise("failed_empty")
+    masks = rung.withColumns({"truth": inside(F.col("truth")), "predicted": inside(F.when(found, R.ladder_mask(F.col("_l"), F.col("_rung"))).otherwise(none)), "pred_source": source})
+    scored = leave_one_out_quality(masks, "truth", "predicted", width, height)
+    return scored.select(
+        *on, "iou", "boundary_f1", count_true(F.col("truth")).alias("gt_area"), count_true(F.col("predicted")).alias("pred_area"), "gap", "is_endpoint",
+        F.coalesce("_rung.threshold", F.lit(float(cfg.base_threshold))).alias("threshold"), "pred_source", F.size("prompts").alias("n_prompts"),
+    )
+
+
 def quality_summary(rows: DataFrame, keys: Sequence[str] = (), interior_only: bool = False) -> DataFrame:
     """Count, median, mean, least and tenth percentile of IoU, median F1, shares at .85 and .70."""
     kept = rows.where(~F.col("is_endpoint")) if interior_only else rows
@@ -183,8 +208,6 @@ def propagate(frames: DataFrame, logits: DataFrame, rescue: DataFrame, keys: Seq
 
 def frame_rows(propagated: DataFrame, rois: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Provenance rows: path, label, source, threshold, area, region and extras of each frame."""
-    from ..functions.arrays import count_true
-
     flat = rois.select(*keys, *(F.col(f"roi.{c}").alias(f"roi_{c}") for c in ("x0", "y0", "x1", "y1")))
     return propagated.withColumn("area_px", count_true(F.col("mask"))).join(flat, list(keys), "left").drop("mask", "anchor_mask")
 

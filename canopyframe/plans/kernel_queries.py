@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 
-from ..operators import kernels as K, raster as R
+from ..operators import geometry as G, kernels as K, raster as R
 from . import traits
 from .frames import PX, SIDE, bands, channels, frames, r9
 
@@ -37,13 +38,24 @@ def q_morphology(spark, d):
     return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "dilated long, eroded long").drop("error")
 
 
-@query()
-def q_components_rows(spark, d):
+def _reach(where: str) -> str:
+    """Common tables m (pixels of a mask) and comp (their components; the root is the first pixel in raster order)."""
+    return f"""{PX}, m AS (SELECT frame_id, label, i, x, y, e FROM px WHERE {where}),
+r AS (SELECT frame_id, i, x, y, i AS root FROM m UNION SELECT m.frame_id, m.i, m.x, m.y, r.root FROM r JOIN m ON r.frame_id = m.frame_id AND abs(r.x - m.x) <= 1 AND abs(r.y - m.y) <= 1),
+comp AS (SELECT frame_id, i, any_value(x) AS x, any_value(y) AS y, min(root) AS root FROM r GROUP BY frame_id, i)"""
+
+
+@query(f"""WITH RECURSIVE {_reach("e > 0.1")}, a AS (SELECT frame_id, root, count(*) AS area, min(x) AS x0, max(y) AS y1 FROM comp GROUP BY ALL)
+SELECT e.vec_id AS frame_id, count(root) AS n_components, coalesce(max(area), 0)::BIGINT AS largest, coalesce(sum(area), 0)::BIGINT AS total, coalesce(sum(x0), 0)::BIGINT AS lefts, coalesce(sum(y1), 0)::BIGINT AS bottoms
+FROM embeddings e LEFT JOIN a ON a.frame_id = e.vec_id GROUP BY ALL""")
+def q_components(spark, d):
     def kernel(e):
-        t = K.component_table(K.components(_grid(e) > 0.1))
-        return {"n_components": len(t), "largest": max((r["area"] for r in t), default=0), "total": sum(r["area"] for r in t)}
+        t = K.component_stats(K.components(_grid(e) > 0.1))
+        return {
+            "n_components": len(t["area"]), "largest": int(t["area"].max(initial=0)), "total": int(t["area"].sum()), "lefts": int(t["x0"].sum()), "bottoms": int(t["y1"].sum()),
+        }
 
-    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "n_components long, largest long, total long")
+    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "n_components long, largest long, total long, lefts long, bottoms long").drop("error")
 
 
 @query()
@@ -52,50 +64,100 @@ def q_contour_traits_rows(spark, d):
     return traits.contour_traits(f, ["frame_id"])
 
 
-@query()
-def q_isat_rows(spark, d):
+@query(f"""WITH RECURSIVE {_reach("e > 0.05")}, d(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)),
+o AS (SELECT DISTINCT frame_id, root, -1 AS x, -1 AS y FROM comp UNION SELECT o.frame_id, o.root, o.x + dx AS x, o.y + dy AS y FROM o CROSS JOIN d LEFT JOIN comp c ON c.frame_id = o.frame_id AND c.root = o.root AND c.x = o.x + dx AND c.y = o.y + dy
+  WHERE c.i IS NULL AND o.x + dx BETWEEN -1 AND 8 AND o.y + dy BETWEEN -1 AND 8),
+whole AS (SELECT c.frame_id, c.root, gx.x, gy.y FROM (SELECT DISTINCT frame_id, root FROM comp) c, range(8) gx(x), range(8) gy(y) ANTI JOIN o ON o.frame_id = c.frame_id AND o.root = c.root AND o.x = gx.x AND o.y = gy.y),
+cell AS (SELECT frame_id, root, x - dx AS cx, y - dy AS cy, count(*) AS n FROM whole, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(dx, dy) GROUP BY ALL),
+a AS (SELECT frame_id, root, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END) AS area FROM cell GROUP BY ALL)
+SELECT e.vec_id AS frame_id, count(root) AS n_objects, coalesce(sum(area), 0)::DOUBLE AS area, coalesce(max(area), 0)::DOUBLE AS largest FROM embeddings e LEFT JOIN a ON a.frame_id = e.vec_id AND area >= 2 GROUP BY ALL""")
+def q_isat(spark, d):
+    """Annotation objects, contours not simplified: a contour's area is that of the filled component through its pixel centres."""
+
     def kernel(e):
-        o = K.isat_objects(_grid(e) > 0.05, eps=1.0, min_area=2.0)
-        return {"n_objects": len(o), "area": float(sum(x["area"] for x in o)), "objects": [{"group": x["group"], "area": x["area"], "bbox": [float(v) for v in x["bbox"]]} for x in o]}
+        areas = [x["area"] for x in K.isat_objects(_grid(e) > 0.05, eps=0.0, min_area=2.0)]
+        return {"n_objects": len(areas), "area": float(sum(areas)), "largest": max(areas, default=0.0)}
+
+    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "n_objects long, area double, largest double").drop("error")
+
+
+@query(f"""WITH RECURSIVE {_reach("e > 0.1")}, c AS (
+  SELECT comp.frame_id, root, count(*) AS area, count(*) FILTER (WHERE comp.i = 27) AS pos, count(*) FILTER (WHERE comp.i = 0) AS neg,
+    count(*) FILTER (WHERE EXISTS (SELECT 1 FROM px q WHERE q.frame_id = comp.frame_id AND q.e1 > 0.2 AND abs(q.x - comp.x) + abs(q.y - comp.y) <= 1)) AS over
+  FROM comp GROUP BY ALL),
+f AS (SELECT frame_id, any_value(label) % 3 AS kind, count(*) FILTER (WHERE e1 > 0.2) AS anchor FROM px GROUP BY frame_id),
+j AS (SELECT f.*, c.* EXCLUDE (frame_id), row_number() OVER (PARTITION BY c.frame_id ORDER BY area DESC, root) = 1 AS biggest,
+  CASE kind WHEN 0 THEN pos > 0 WHEN 1 THEN anchor > 0 AND over > 0 ELSE row_number() OVER (PARTITION BY c.frame_id ORDER BY area DESC, root) = 1 END AS support FROM f JOIN c USING (frame_id)),
+g AS (SELECT frame_id, any_value(kind) AS kind, any_value(anchor) AS anchor, count(*) AS n, bool_or(support) AS held, bool_or(support AND neg > 0) AS wrong, coalesce(sum(area) FILTER (WHERE support), 0) AS kept, max(area) AS top FROM j GROUP BY frame_id),
+h AS (SELECT *, CASE kind WHEN 0 THEN 'reference_positive' WHEN 1 THEN CASE WHEN anchor > 0 THEN 'anchor_overlap' ELSE 'max_component_no_anchor' END ELSE 'box_only' END AS mode FROM g),
+w AS (SELECT *, CASE WHEN NOT held AND mode IN ('reference_positive', 'max_component_no_anchor') THEN top ELSE kept END AS area FROM h)
+SELECT f.frame_id, coalesce(mode, 'none') AS mode, coalesce(CASE mode WHEN 'reference_positive' THEN NOT held OR wrong WHEN 'anchor_overlap' THEN area > 3 * w.anchor ELSE FALSE END, FALSE) AS hard_fail,
+  coalesce(area, 0)::BIGINT AS cleaned_area, coalesce(n, 0) AS n_components FROM f LEFT JOIN w ON w.frame_id = f.frame_id""")
+def q_clean_mask(spark, d):
+    """Labels by turns: a reference frame with points, a frame with its neighbour's mask as anchor, a reference frame without points."""
+
+    def kernel(e, label):
+        g = _grid(e)
+        ways = (lambda m: K.clean_mask(m, None, [(3, 3), (0, 0)], [1, 0], True), lambda m: K.clean_mask(m, np.roll(g.ravel(), -1).reshape(g.shape) > 0.2, reach=1), lambda m: K.clean_mask(m, reference=True))
+        _, audit = ways[label % 3](g > 0.1)
+        return {"mode": audit["support_mode"], "hard_fail": bool(audit["hard_fail"]), "cleaned_area": audit["cleaned_area"], "n_components": audit["n_components"]}
 
-    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "n_objects long, area double, objects array<struct<group:int,area:double,bbox:array<double>>>")
+    return K.per_frame(frames(spark, d), ["frame_id"], ["e", "label"], kernel, "mode string, hard_fail boolean, cleaned_area long, n_components long").drop("error")
 
 
-@query()
-def q_clean_mask_rows(spark, d):
-    def kernel(e):
-        out, audit = K.clean_mask(_grid(e) > 0.1, None, [(3, 3), (0, 0)], [1, 0], True)
-        return {"mode": audit["support_mode"], "hard_fail": bool(audit["hard_fail"]), "cleaned_area": audit["cleaned_area"], "n_components": audit["n_components"]}
+#: Pixels of a large frame for each pixel of a frame, and its camera.
+SCALE, LARGE_CAMERA = 8, (600.0, 600.0, 32.0, 32.0)
 
-    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "mode string, hard_fail boolean, cleaned_area long, n_components long")
+
+def _large(values) -> np.ndarray:
+    """A frame of 64 by 64, each of whose blocks is a pixel."""
+    return np.kron(_grid(values), np.ones((SCALE, SCALE)))
 
 
 @query()
 def q_pot_rim_rows(spark, d):
+    """A pot nearly as wide as a large frame: arcs beyond its core are judged by colour and NDVI."""
+
     def kernel(e, b660, b840):
-        m = _grid(e) > -0.2
-        ndvi = (_grid(b840) - _grid(b660)) / (_grid(b840) + _grid(b660))
-        out, audit = K.remove_pot_rim(m, _grid(e) > 0.2, ndvi, (3.5, 3.5, 5.0))
-        return {"cleaned_area": int(out.sum()), **{k: int(v) for k, v in audit.items()}}
+        m = _large(e) > -0.1
+        ndvi = (_large(b840) - _large(b660)) / (_large(b840) + _large(b660))
+        out, audit = K.remove_pot_rim(m, _large(e) > 0.15, ndvi, (31.5, 31.5, 36.0))
+        return {"area": int(m.sum()), "cleaned_area": int(out.sum()), **{k: int(v) for k, v in audit.items()}}
 
-    return K.per_frame(bands(frames(spark, d)), ["frame_id"], ["e", "b660", "b840"], kernel, "cleaned_area long, inspected long, suspicious long, removed_px long, preserved_px long")
+    return K.per_frame(bands(frames(spark, d)), ["frame_id"], ["e", "b660", "b840"], kernel, "area long, cleaned_area long, inspected long, suspicious long, removed_px long, preserved_px long")
 
 
 @query()
 def q_visible_surface_rows(spark, d):
     def kernel(e):
-        return K.visible_surface(900 + 100 * _grid(e), _grid(e) > 0, CAMERA, reach=2)
+        return G.visible_surface(900 + 100 * _grid(e), _grid(e) > 0, CAMERA, cfg=G.CanopyConfig(normal_reach=2))
 
     return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "visible_surface_area double, normal_support double, capped_fraction double")
 
 
-@query()
-def q_feature_image_rows(spark, d):
+#: Weights by which a place takes its sources along one axis: a Gaussian of deviation 7 cut at 28 pixels, and both parts
+#: of a 3 by 3 gradient; places off the frame are mirrored at its border pixels.
+_AXIS = """axis AS (SELECT pos, k, ((pos + k) % 14 + 14) % 14 AS m FROM range(8) a(pos), range(-28, 29) b(k)),
+src AS (SELECT pos, k, CASE WHEN m > 7 THEN 14 - m ELSE m END AS s FROM axis),
+blur AS (SELECT pos, s, sum(exp(-0.5 * (k / 7.0) ** 2)) / (SELECT sum(exp(-0.5 * (j / 7.0) ** 2)) FROM range(-28, 29) t(j)) AS w FROM src GROUP BY ALL),
+diff AS (SELECT pos, s, sum(k) AS w FROM src WHERE abs(k) <= 1 GROUP BY ALL), flat AS (SELECT pos, s, sum(2 - abs(k)) AS w FROM src WHERE abs(k) <= 1 GROUP BY ALL)"""
+
+
+@query(f"""WITH {PX}, {_AXIS}, p AS (SELECT frame_id, quantile_cont(25 + 5 * e, 0.01) AS p1, quantile_cont(25 + 5 * e, 0.99) AS p99 FROM px GROUP BY frame_id),
+v AS (SELECT frame_id, x, y, least(1, greatest(0, (25 + 5 * e - p1) / greatest(p99 - p1, 1e-9))) AS v FROM px JOIN p USING (frame_id)),
+xb AS (SELECT frame_id, pos AS x, y, sum(w * v) AS v FROM v JOIN blur ON s = x GROUP BY ALL), b AS (SELECT frame_id, x, pos AS y, sum(w * v) AS b FROM xb JOIN blur ON s = y GROUP BY ALL),
+xd AS (SELECT frame_id, pos AS x, y, sum(w * v) AS v FROM v JOIN diff ON s = x GROUP BY ALL), gx AS (SELECT frame_id, x, pos AS y, sum(w * v) AS g FROM xd JOIN flat ON s = y GROUP BY ALL),
+xf AS (SELECT frame_id, pos AS x, y, sum(w * v) AS v FROM v JOIN flat ON s = x GROUP BY ALL), gy AS (SELECT frame_id, x, pos AS y, sum(w * v) AS g FROM xf JOIN diff ON s = y GROUP BY ALL),
+f AS (SELECT frame_id, v, least(1, greatest(0, (v - b) * 3 + 0.5)) AS c, sqrt(gx.g ** 2 + gy.g ** 2) AS g FROM v JOIN b USING (frame_id, x, y) JOIN gx USING (frame_id, x, y) JOIN gy USING (frame_id, x, y)),
+q AS (SELECT frame_id, greatest(quantile_cont(g, 0.99), 1e-9) AS top FROM f GROUP BY frame_id)
+SELECT frame_id, round(avg(v), 9) AS scaled, round(avg(c), 9) AS contrast, round(avg(least(1, g / top)), 9) AS gradient FROM f JOIN q USING (frame_id) GROUP BY frame_id""")
+def q_feature_image(spark, d):
     def kernel(temp):
         f = K.feature_image(_grid(temp))
         return {"scaled": float(f[..., 0].mean()), "contrast": float(f[..., 1].mean()), "gradient": float(f[..., 2].mean())}
 
-    return K.per_frame(frames(spark, d), ["frame_id"], ["temp"], kernel, "scaled double, contrast double, gradient double")
+    out = K.per_frame(frames(spark, d), ["frame_id"], ["temp"], kernel, "scaled double, contrast double, gradient double")
+    return out.select("frame_id", *(r9(F.col(c)).alias(c) for c in ("scaled", "contrast", "gradient")))
 
 
 @query("""SELECT label, list(name ORDER BY tier, name) AS traits FROM (SELECT DISTINCT label FROM embeddings) e JOIN (VALUES ('shape2d', 1, 0), ('canopy_temperature', 1, 1), ('layer_temperature', 2, 1), ('canopy_delta_t', 2, 2)) t(name, tier, need)
@@ -124,27 +186,43 @@ def q_resize_mask(spark, d):
 @query()
 def q_all_traits_rows(spark, d):
     """Every trait of the registry over frames with all inputs."""
-    return traits.compute_traits(bands(channels(frames(spark, d))), SIDE, ["frame_id"])
+    f = bands(channels(frames(spark, d))).withColumn("depth", F.transform("e", lambda v: 900 + 100 * v)).withColumn("camera", F.array(*map(F.lit, CAMERA)))
+    return traits.compute_traits(f, SIDE, ["frame_id"])
 
 
-@query()
-def q_canopy_geometry_rows(spark, d):
-    import numpy as np
+@query(f"""WITH {PX} SELECT frame_id, count(*) FILTER (WHERE e > 0) AS area_px, 'missing inputs: b720, b840' AS multispectral_vegetation_indices_error, CASE WHEN label % 2 = 1 THEN 'temp is missing' END AS canopy_temperature_error,
+CASE WHEN label % 2 = 0 THEN round(avg(25 + 5 * e) FILTER (WHERE e > 0), 9) END AS canopy_mean FROM px GROUP BY frame_id, label""")
+def q_trait_errors(spark, d):
+    """A trait that fails says why and leaves the others alone: two of four bands, and temperatures of every other label."""
+    f = bands(frames(spark, d)).select("frame_id", "mask", "b555", "b660", F.when(F.col("label") % 2 == 0, F.col("temp")).alias("temp"))
+    t = traits.compute_traits(f, SIDE, ["frame_id"])
+    return t.select("frame_id", F.col("area_px").cast("long").alias("area_px"), "multispectral_vegetation_indices_error", "canopy_temperature_error", r9(F.col("canopy_mean")).alias("canopy_mean"))
+
+
+@query(f"""WITH {PX}, h AS (SELECT frame_id, greatest(1000 - (900 + 100 * e), 0) AS h, e > 0 AS m FROM px)
+SELECT frame_id, round(quantile_cont(h, 0.95), 9) AS canopy_height_p95_mm, 1.0::DOUBLE AS native_depth_fraction, 1.0::DOUBLE AS edge_depth_fraction FROM h WHERE m GROUP BY frame_id""")
+def q_canopy_geometry(spark, d):
+    """Geometry of each mask over a level ground 1000 mm away."""
 
     def kernel(e):
-        g = K.canopy_geometry(900 + 100 * _grid(e), _grid(e) > 0, CAMERA, np.array([0.0, 0.0, 1000.0]))
-        return {k: g[k] for k in ("projected_area", "envelope_volume", "mean_height", "p95_height", "visible_surface_area", "qc_pass", "qc_reasons")}
+        g = G.canopy_geometry(900 + 100 * _grid(e), _grid(e) > 0, CAMERA, np.array([0.0, 0.0, 1000.0]))
+        return {k: g[k] for k in ("canopy_height_p95_mm", "native_depth_fraction", "edge_depth_fraction")}
 
-    schema = "projected_area double, envelope_volume double, mean_height double, p95_height double, visible_surface_area double, qc_pass boolean, qc_reasons string"
-    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, schema)
+    out = K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "canopy_height_p95_mm double, native_depth_fraction double, edge_depth_fraction double")
+    return out.select("frame_id", r9(F.col("canopy_height_p95_mm")).alias("canopy_height_p95_mm"), "native_depth_fraction", "edge_depth_fraction")
 
 
 @query()
 def q_plant_height_rows(spark, d):
+    """A canopy on sloping soil in a large frame: the soil is found around it, then all is measured over that."""
+    ys, xs = np.indices((SIDE * SCALE, SIDE * SCALE))
+
     def kernel(e):
-        return K.plant_height(900 + 100 * _grid(e), _grid(e) > 0, CAMERA)
+        mask = (np.hypot(xs - 31.5, ys - 31.5) < 13) & (_large(e) > -0.4)
+        depth = np.where(mask, 900 + 100 * _large(e), 1000 + 0.2 * xs + 0.1 * ys)
+        return G.plant_height(depth, mask, LARGE_CAMERA)
 
-    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "mean_height double, p95_height double, max_height double, missing_reason string")
+    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, G.CANOPY_SCHEMA)
 
 
 @query()

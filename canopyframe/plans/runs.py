@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import json
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import raster as R, segments, sequence as S
-from ..sources import tables
+from ..functions.arrays import count_true
+from ..functions.physics import path_stem
+from ..operators import kernels as K, raster as R, segments, sequence as S
+from ..sources import png, tables
 
 #: A provider makes the logits table (keys, frame_idx, logits) of some frames.
 Provider = Callable[[DataFrame], DataFrame]
@@ -29,6 +34,11 @@ def provider(name: str) -> Provider:
     raise KeyError(f"unknown provider {name}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def run_sequences(
     frames: DataFrame, logits: DataFrame, rescue: DataFrame, keys: Sequence[str], width: int, height: int, path: str, done: DataFrame | None = None, cfg: R.PropagationConfig | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -62,6 +72,59 @@ def crop_frames(frames: DataFrame, keys: Sequence[str], width: int, height: int,
     return reported.select(*keys, "_r.*", F.when(F.col("_r.ok"), R.crop_to_roi(inside, width, F.col("_r.box"))).alias("cropped"))
 
 
+def _file_rows(rows: DataFrame, inputs: Sequence[str], kernel: Callable[..., list[tuple[str, bytes]]]) -> DataFrame:
+    """(name, content) of the files that a kernel makes of each row."""
+    files = K.per_frame(rows, [], inputs, lambda *v: {"files": [{"name": n, "content": c} for n, c in kernel(*v)]}, "files array<struct<name:string,content:binary>>")
+    return files.select(F.when(F.col("error").isNotNull(), F.raise_error("error").cast("array<struct<name:string,content:binary>>")).otherwise(F.col("files")).alias("files")).select(F.inline("files"))
+
+
+def persist_sequences(frames: DataFrame, path: str, width: int, height: int, cfg: R.PropagationConfig | None = None, isat: bool = True) -> int:
+    """Files of propagated frames, and how many: ``<sequence>/masks/<stem>.png``, ``<sequence>/jsons/<stem>.json`` and a table ``area`` as CSV.
+
+    ``frames`` has sequence_key, frame_idx, frame_path, frame_label, mask, pred_source and threshold; other plain columns go to the table.
+    """
+    cfg = cfg or R.PropagationConfig()
+    core = ("sequence_key", "frame_idx", "frame_path", "frame_label", "mask", "pred_source", "threshold")
+    rows = frames.withColumn("stem", path_stem(F.col("frame_path")))
+
+    def files(key, idx, frame_path, label, mask, source, stem):
+        m = K.as_grid(mask, width, bool)
+        out = [(f"{key}/masks/{stem}.png", png.encode(m.astype(np.uint8) * 255))]
+        if isat:
+            folder, _, name = frame_path.replace("\\", "/").rpartition("/")
+            note = f"{key} | frame_idx={idx} | label={label} | src={source}"
+            objects = K.isat_objects(m, cfg.isat_simplify_eps, cfg.isat_min_area, cfg.isat_category)
+            out.append((f"{key}/jsons/{stem}.json", json.dumps(K.isat_document(objects, width, height, folder, name, note), ensure_ascii=False).encode()))
+        return out
+
+    n = tables.write_files(_file_rows(rows, ["sequence_key", "frame_idx", "frame_path", "frame_label", "mask", "pred_source", "stem"], files), path)
+    extras = [c for c in frames.columns if c not in core]
+    area = rows.select(
+        F.col("sequence_key").alias("sequence"), "frame_idx", "frame_label", *extras, "stem", count_true(F.col("mask")).alias("area_px"), "pred_source", F.col("threshold").alias("thr")
+    )
+    tables.write_csv(area, f"{path}/area", mode="overwrite")
+    return n
+
+
+def save_crops(frames: DataFrame, keys: Sequence[str], width: int, height: int, path: str, pad: int = 0, min_size: int = 0) -> int:
+    """Files of each frame's crop, and how many: temperatures as ``.npy`` and ``.csv`` (not a number outside the plant), and a report, which a failed frame has too."""
+    crops = crop_frames(frames, keys, width, height, pad, min_size)
+    report = F.to_json(F.struct(*(F.col(c) for c in crops.columns if c != "cropped")), {"ignoreNullFields": "false"})
+    rows = crops.select(F.concat_ws("_", *keys).alias("stem"), report.alias("report"), "cropped", (F.col("box.x1") - F.col("box.x0")).alias("w"))
+
+    def files(stem, text, cropped, w):
+        out = [(f"{stem}_report.json", text.encode())]
+        if cropped is not None and w:
+            grid = np.array([np.nan if v is None else v for v in cropped], dtype=np.float32).reshape(-1, int(w))
+            npy, table = io.BytesIO(), io.StringIO()
+            np.save(npy, grid)
+            np.savetxt(table, grid, delimiter=",", fmt="%.3f")
+            out += [(f"{stem}_crop.npy", npy.getvalue()), (f"{stem}_crop.csv", table.getvalue().encode())]
+        return out
+
+    return tables.write_files(_file_rows(rows, ["stem", "report", "cropped", "w"], files), path)
+
+
 def long_traits(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Traits as (keys, trait, value): one row per numeric trait, null values kept."""
     numeric = [f.name for f in rows.schema.fields if f.name not in keys and f.dataType.typeName() in ("double", "float", "integer", "long", "bigint", "int")]

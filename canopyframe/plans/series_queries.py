@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A, physics as P
-from ..operators import inference as N, raster as R, sequence as S, timeseries as T
+from ..operators import inference as N, kernels as K, raster as R, sequence as S, timeseries as T
 from .frames import PX, SIDE, frames, logits, r9, rolled, table
 from .raster_queries import CFG, _LADDER
 
@@ -163,15 +163,18 @@ def q_ols_post(spark, d):
     return o.select("phase", "n", *(r9(F.col(c)).alias(c) for c in ("post_coef", "const", "r_squared")))
 
 
-@query(f"""WITH {_PLANTS}, o AS (SELECT plant_id % 5 AS g, value AS x, row_number() OVER (PARTITION BY plant_id % 5 ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY plant_id % 5) AS n FROM plants WHERE plant_id % 5 < 2 AND event_id % 10 = 0),
-draws AS (SELECT g, i, sum(x) / any_value(n) AS m FROM (
-  SELECT a.g, i, a.n, a.x FROM (SELECT DISTINCT g, n FROM o) s, range(200) r(i), range(1000) b(b), range(12) t(o), o a
-  WHERE b * 12 < s.n AND o < least(12, s.n - b * 12) AND a.g = s.g AND a.k = ((i * 7919 + b * 104729 + 13) % s.n + o) % s.n) GROUP BY g, i)
-SELECT d.g AS series, (SELECT any_value(n) FROM o WHERE o.g = d.g) AS n, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM draws d GROUP BY d.g""")
+#: Quantiles of means of two-decimal values are often halfway between two roundings; shifted, none is.
+_OFF_GRID = 3.14159e-8
+
+
+@query(f"""WITH {_PLANTS}, o AS (SELECT plant_id, sum(value) OVER (PARTITION BY plant_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY plant_id ORDER BY ts) AS k, count(*) OVER (PARTITION BY plant_id) AS n FROM plants),
+p AS (SELECT plant_id, any_value(n) AS n, list_prepend(0.0, list(run ORDER BY k)) AS c FROM o GROUP BY plant_id HAVING any_value(n) >= 12),
+s AS (SELECT plant_id, n, c, i, (i * 7919 + b * 104729 + 13) % n AS lo, least(12, n - b * 12) AS size FROM p, range(4000) r(i), range(1000) b(b) WHERE b * 12 < n),
+draws AS (SELECT plant_id, any_value(n) AS n, sum(CASE WHEN lo + size > n THEN c[n + 1] + c[lo + size - n + 1] ELSE c[lo + size + 1] END - c[lo + 1]) / any_value(n) AS m FROM s GROUP BY plant_id, i)
+SELECT plant_id, any_value(n) AS n, round(quantile_cont(m, 0.025) + {_OFF_GRID}, 6) AS ci_low, round(quantile_cont(m, 0.975) + {_OFF_GRID}, 6) AS ci_high FROM draws GROUP BY plant_id""")
 def q_bootstrap_hashseed(spark, d):
-    x = _plants(spark, d).where("plant_id % 5 < 2 and event_id % 10 = 0").withColumn("series", F.col("plant_id") % 5)
-    b = N.bootstrap_hash_ci(x, ["series"], "ts", "value")
-    return b.select("series", "n", r9(F.col("ci_low")).alias("ci_low"), r9(F.col("ci_high")).alias("ci_high"))
+    b = N.bootstrap_hash_ci(_plants(spark, d), ["plant_id"], "ts", "value")
+    return b.select("plant_id", "n", *(F.round(F.col(c) + _OFF_GRID, 6).alias(c) for c in ("ci_low", "ci_high")))
 
 
 @query(f"""WITH {_PLANTS}, c AS (SELECT a.phase, a.event_id, b.value - a.value AS diff, row_number() OVER (PARTITION BY a.event_id ORDER BY abs((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6 - 86400), b.ts) AS k
@@ -190,10 +193,16 @@ def q_stress_contrast_rows(spark, d):
     return N.phase_contrast(scoped, ["plant_id", "scope"], "ts", "value", _post())
 
 
-@query()
-def q_hac_regression_rows(spark, d):
+@query(f"""WITH {_PLANTS}, x AS (SELECT plant_id, value AS y, (ts >= TIMESTAMP '{EVENT}')::INT::DOUBLE AS a, hour(ts)::DOUBLE AS b FROM plants),
+m AS (SELECT plant_id, count(*) AS n, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS hy, var_pop(y) AS yy FROM x GROUP BY plant_id),
+c AS (SELECT *, (ay * bb - hy * ab) / (aa * bb - ab * ab) AS ca, (hy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM m)
+SELECT plant_id, n, round(ca, 6) AS coef, round(cb, 6) AS hour_coef, round((ca * ay + cb * hy) / yy, 6) AS r_squared FROM c""")
+def q_hac_regression(spark, d):
+    """Coefficients of the event beside the hour, by normal equations; the tests hold the standard errors."""
     x = _plants(spark, d).withColumn("post", _post().cast("double")).withColumn("hour", F.hour("ts").cast("double"))
-    return N.hac_regression(x, ["plant_id"], "ts", "value", ["post", "hour"])
+    h = N.hac_regression(x, ["plant_id"], "ts", "value", ["post", "hour"])
+    r6 = lambda c, name: (F.round(c, 6) + 0.0).alias(name)
+    return h.select("plant_id", "n", r6(F.col("coef"), "coef"), r6(F.col("covariate_coefs")["hour"], "hour_coef"), r6(F.col("r_squared"), "r_squared"))
 
 
 @query()
@@ -202,6 +211,30 @@ def q_driver_screen_rows(spark, d):
     return N.driver_screen(x, "plant_id", "ts", "phase", ["b"], ["value"])
 
 
+_WELCH = """SELECT plant_id, scope, count(*) FILTER (WHERE NOT post) AS n_before, count(*) FILTER (WHERE post) AS n_after, round(avg(value) FILTER (WHERE post) - avg(value) FILTER (WHERE NOT post), 6) AS effect,
+  CASE WHEN n_before >= 2 AND n_after >= 2 THEN round((avg(value) FILTER (WHERE post) - avg(value) FILTER (WHERE NOT post)) / sqrt(var_samp(value) FILTER (WHERE post) / n_after + var_samp(value) FILTER (WHERE NOT post) / n_before), 6) END AS t
+FROM scoped GROUP BY ALL"""
+
+
+@query(f"""WITH {_PLANTS}, scoped AS (SELECT plant_id, unnest(['all', phase]) AS scope, value, ts >= TIMESTAMP '{EVENT}' AS post FROM plants) {_WELCH}""")
+def q_stress_response(spark, d):
+    """The composite analysis around an event: its contrasts over all rows and per phase (tests hold intervals, regression and kinetics)."""
+    contrasts, _, _ = N.stress_response(_plants(spark, d), ["plant_id"], "ts", "phase", "value", EVENT, iterations=400)
+    r6 = lambda c: (F.round(c, 6) + 0.0).alias(c)
+    return contrasts.select("plant_id", "scope", "n_before", "n_after", r6("effect"), r6("t"))
+
+
+@query(f"""WITH {_PLANTS}, c AS (SELECT a.phase, a.event_id, b.value - a.value AS diff, row_number() OVER (PARTITION BY a.event_id ORDER BY abs((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6 - 86400), b.ts) AS k
+  FROM plants a JOIN plants b ON a.plant_id = b.plant_id AND b.ts BETWEEN a.ts + INTERVAL 1 DAY - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 DAY + INTERVAL 1 HOUR),
+m AS (SELECT phase, unnest([{{'metric': 'diff__value', 'x': diff}}, {{'metric': 'double', 'x': 2 * diff}}], recursive := true) FROM c WHERE k = 1)
+SELECT phase AS subset, metric, count(*) AS n_pairs, round(median(x), 9) AS median, round(avg((x > 0)::INT), 9) AS positive_fraction, round(avg(x), 9) AS mean FROM m GROUP BY ALL""")
+def q_paired_differences(spark, d):
+    """The summary operator over two metrics (tests hold its intervals)."""
+    pairs = T.pair_shifted(_plants(spark, d), "ts", ["value"], ["plant_id"], 24.0, 3600.0, "phase").withColumn("double", 2 * F.col("diff__value")).withColumn("subset", F.col("phase_shift"))
+    s = N.paired_difference_summary(pairs, "subset", "ts_shift", ["diff__value", "double"], iterations=400)
+    return s.select("subset", "metric", "n_pairs", *(r9(F.col(c)).alias(c) for c in ("median", "positive_fraction", "mean")))
+
+
 @query()
 def q_bootstrap_rows(spark, d):
     return N.bootstrap_ci(_plants(spark, d), ["plant_id"], "ts", "value")
@@ -299,6 +332,73 @@ def q_evidence_frames(spark, d):
     return S.evidence_frames(f, ["label"]).select("frame_id")
 
 
+@query(f"""WITH {PX}, z AS (SELECT DISTINCT frame_id, label, frame_id % 5 = 0 AS held FROM px), n AS (SELECT label, count(*) FILTER (WHERE held) AS k FROM z GROUP BY label),
+q AS (SELECT frame_id, px.label, count(*) FILTER (WHERE e > 0 AND e1 > 0) AS n_both, count(*) FILTER (WHERE e > 0 OR e1 > 0) AS n_any, count(*) FILTER (WHERE e > 0) AS gt_area, count(*) FILTER (WHERE e1 > 0) AS pred_area
+  FROM px JOIN n USING (label) WHERE frame_id % 5 = 0 AND k >= 2 GROUP BY ALL),
+pos AS (SELECT vec_id AS frame_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx FROM embeddings)
+SELECT q.label, frame_idx::INT AS held_idx, round_even(CASE WHEN n_any = 0 THEN 1.0 ELSE n_both / n_any END, 4) AS iou, gt_area, pred_area, 'propagated' AS pred_source FROM q JOIN pos USING (frame_id)""")
+def q_loo_validation(spark, d):
+    """Every anchor held out in turn and compared with what a provider predicts from the others (here a shifted copy of it)."""
+    f = _sequence_frames(spark, d)
+    predicted = f.where("is_anchor").select("label", F.col("frame_idx").alias("held_idx"), F.transform(rolled(F.col("mask"), 1), lambda m: F.when(m, 1.0).otherwise(-9.0)).alias("logits"))
+    out = S.leave_one_out(f, predicted, ["label"], SIDE, SIDE, CFG)
+    return out.select("label", "held_idx", "iou", "gt_area", "pred_area", "pred_source")
+
+
+@query("""WITH m AS (SELECT vec_id % 97 AS a, vec_id % 89 AS b, label AS k FROM embeddings), pts AS (SELECT vec_id AS id, i % 8 AS x, i // 8 AS y, embedding[i + 1] > -0.1 AS la, embedding[i + 1] < 0.1 AS lb, embedding[i + 1] > 0.15 AS sa, embedding[i + 1] < -0.15 AS sb FROM embeddings, range(64) t(i)),
+g AS (SELECT p.id, p.x, p.y, min((p.x - s.x) ** 2 + (p.y - s.y) ** 2) FILTER (WHERE s.sa) AS ga, min((p.x - s.x) ** 2 + (p.y - s.y) ** 2) FILTER (WHERE s.sb) AS gb FROM pts p JOIN pts s ON p.id = s.id WHERE p.la AND p.lb GROUP BY ALL),
+o AS (SELECT id, x, y, coalesce(ga, 1e9) <= coalesce(gb, 1e9) AS to_a FROM g)
+SELECT p.id AS frame_id, count(o.id) AS contested, count(*) FILTER (WHERE CASE WHEN o.id IS NULL THEN la ELSE o.to_a END OR (sa AND (la OR lb))) AS area_a, count(*) FILTER (WHERE CASE WHEN o.id IS NULL THEN lb ELSE NOT o.to_a END OR (sb AND (la OR lb))) AS area_b
+FROM pts p LEFT JOIN o ON o.id = p.id AND o.x = p.x AND o.y = p.y GROUP BY p.id""".replace("WITH m AS (SELECT vec_id % 97 AS a, vec_id % 89 AS b, label AS k FROM embeddings), pts", "WITH pts"))
+def q_layer_overlap(spark, d):
+    """Two layers that overlap; each contested pixel goes to the nearer seed."""
+
+    def kernel(e):
+        g = K.as_grid(e, SIDE)
+        out, n = K.resolve_overlap({"a": g > -0.1, "b": g < 0.1}, {"a": g > 0.15, "b": g < -0.15})
+        return {"contested": n, "area_a": int(out["a"].sum()), "area_b": int(out["b"].sum())}
+
+    return K.per_frame(frames(spark, d), ["frame_id"], ["e"], kernel, "contested long, area_a long, area_b long").drop("error")
+
+
+@query("""WITH i AS (SELECT o_custkey AS n, printf('%010d', o_orderkey) AS stem, o_orderpriority = '1-URGENT' AS anchor FROM orders WHERE o_orderstatus <> 'F'),
+c AS (SELECT n, count(*) FILTER (WHERE anchor) AS n_anchors FROM i GROUP BY n)
+SELECT 'plant_' || CASE WHEN n < 100 THEN lpad(n::VARCHAR, 2, '0') ELSE n::VARCHAR END AS plant_key, n_anchors, CASE WHEN n_anchors = 0 THEN 'no anchor directory' ELSE 'too few matched anchors' END AS reason FROM c WHERE n_anchors < 2""")
+def q_index_skipped(spark, d):
+    """Plants of a frame index that lack anchors, and why."""
+    _, skipped = S.index_sequences(*_index(spark, d), "crop")
+    return skipped.select("plant_key", "n_anchors", "reason")
+
+
+@query("""WITH i AS (SELECT o_custkey AS n, printf('%010d', o_orderkey) AS stem, o_orderpriority = '1-URGENT' AS anchor FROM orders WHERE o_orderstatus <> 'F'),
+k AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY stem) - 1 AS frame_idx, count(*) FILTER (WHERE anchor) OVER (PARTITION BY n) AS a FROM i)
+SELECT 'plant_' || CASE WHEN n < 100 THEN lpad(n::VARCHAR, 2, '0') ELSE n::VARCHAR END AS plant_key, frame_idx::INT AS frame_idx, stem, anchor AS is_anchor FROM k WHERE a >= 2""")
+def q_index_sequences(spark, d):
+    """Frames of a frame index, numbered by stem, with the anchors that match them."""
+    kept, _ = S.index_sequences(*_index(spark, d), "crop")
+    return kept.select("plant_key", F.col("frame_idx").cast("int").alias("frame_idx"), "stem", "is_anchor")
+
+
+def _index(spark, d):
+    o = table(spark, d, "orders")
+    stem = F.format_string("%010d", "o_orderkey")
+    index = o.select(F.concat(F.col("o_custkey").cast("string"), F.lit(".0")).alias("plant_no"), F.when(F.col("o_orderstatus") == "F", "side").otherwise(" crop ").alias("frame_role"), F.concat(F.lit("rgb\\a/"), stem, F.lit(".png")).alias("rgb_path"))
+    anchors = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") != "F")).select(P.plant_key(F.col("o_custkey").cast("int")).alias("plant_key"), stem.alias("stem"))
+    return index, anchors
+
+
+@query("""SELECT printf('%08d', o_orderkey) AS stem, CASE WHEN o_orderkey % 3 = 0 THEN 'masks/' || printf('%08d', o_orderkey) || '.png' WHEN o_orderkey % 3 = 1 THEN 'masks/whole/a/' || printf('%08d', o_orderkey) || '.png'
+  ELSE 'masks/s_' || printf('%08d', o_orderkey) || '.png' END AS mask_path FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT printf('%08d', o_orderkey), NULL FROM orders WHERE o_orderkey % 7 = 0""")
+def q_find_mask(spark, d):
+    """A mask file for every frame: of its stem, below ``whole``, or of a longer name that ends in its stem."""
+    stem = F.format_string("%08d", "o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", stem.alias("stem"))
+    folder = F.when(F.col("o_orderkey") % 3 == 0, "masks/").when(F.col("o_orderkey") % 3 == 1, "masks/whole/a/").otherwise("masks/s_")
+    masks = o.where("o_orderkey % 7 <> 0").select(F.concat(folder, "stem", F.lit(".png")).alias("path"))
+    extra = o.where("o_orderkey % 21 = 3").select(F.concat(F.lit("masks/t_"), "stem", F.lit(".png")).alias("path"))  # the exact stem goes first
+    return S.find_mask(o.select("stem"), masks.unionByName(extra)).select("stem", "mask_path")
+
+
 # --- names and times ---------------------------------------------------------------------------
 
 

@@ -1,8 +1,10 @@
 """Trait registry and orchestration: which traits a frame's inputs allow, computed in one projection.
 
-A trait is a builder of Columns over a frame's arrays (or a kernel run under
-Arrow).  Only traits whose inputs are present are planned, so columns that no
-trait needs are never read.
+A trait is a builder of Columns over a frame's arrays, a kernel run under Arrow,
+or both.  Only traits whose inputs are present are planned, so columns that no
+trait needs are never read; all kernels of a frame run in one pass over it.  A
+trait that fails on a frame says why in its column ``<trait>_error`` and leaves
+its traits null; the others are not touched.
 """
 
 from __future__ import annotations
@@ -10,20 +12,37 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as A
-from ..operators import kernels as K, raster as R
+from ..operators import geometry as G, kernels as K, raster as R
 
 
 @dataclass(frozen=True)
 class Trait:
+    """``prepare`` adds structs to the frames, ``columns`` reads the traits from them; ``kernel`` takes the columns ``kernel_inputs`` of a frame and its width.
+
+    Of the inputs in ``together`` all must be given: where only some are, the
+    trait runs and fails on every frame.
+    """
+
     name: str
     requires: frozenset[str]
     tier: int
-    prepare: Callable[[DataFrame, int], DataFrame]
-    columns: Callable[[], dict[str, Column]]
+    prepare: Callable[[DataFrame, int], DataFrame] = lambda df, width: df
+    columns: Callable[[], dict[str, Column]] = dict
     description: str = ""
+    rasters: tuple[str, ...] = ()
+    together: frozenset[str] = frozenset()
+    kernel: Callable[..., dict] | None = None
+    kernel_inputs: tuple[str, ...] = ()
+    kernel_schema: str = ""
+
+    def lacks(self, given: Sequence[str]) -> set[str]:
+        """Inputs that keep the trait from running at all."""
+        some = bool(self.together & set(given))
+        return set(self.requires) - set(given) - (set(self.together) if some else set())
 
 
 @dataclass
@@ -41,7 +60,7 @@ class Registry:
 
     def available_for(self, inputs: Sequence[str]) -> list[Trait]:
         """Traits whose inputs are all given, by tier, then name."""
-        return sorted((t for t in self.traits.values() if t.requires <= set(inputs)), key=lambda t: (t.tier, t.name))
+        return sorted((t for t in self.traits.values() if not t.lacks(inputs)), key=lambda t: (t.tier, t.name))
 
     def clear(self) -> None:
         self.traits.clear()
@@ -65,16 +84,37 @@ MS_NAMES = ("NDVI", "NDRE", "GNDVI", "SAVI", "OSAVI", "RVI", "DVI", "CIgreen", "
 MS_BANDS = ("b555", "b660", "b720", "b840")
 
 
+CONTOUR_SCHEMA = "convex_hull_area_px double, perimeter_px double, solidity double, circularity double"
+
+
+def _contour(mask, width: int) -> dict:
+    return K.shape_traits(K.as_grid(mask, width, bool))
+
+
+def _canopy(depth, mask, camera, width: int) -> dict:
+    if camera is None or len(camera) != 4:
+        raise ValueError("a camera is fx, fy, cx, cy")
+    return G.canopy_traits(K.as_grid(depth, width), K.as_grid(mask, width, bool), tuple(map(float, camera)))
+
+
 def standard() -> Registry:
-    """All built-in traits: ``prepare`` adds structs to the frames, ``columns`` reads the traits from them."""
+    """All built-in traits, by tier: masks and temperatures, colour, depth, spectral bands."""
     c, out = F.col, Registry()
     canopy = lambda df, w: df.withColumn("_canopy", R.canopy_temperature(c("temp"), c("mask")))
-    out.register(Trait("shape2d", frozenset(["mask"]), 1, lambda df, w: df.withColumn("_shape", R.shape_moments(c("mask"), w)), lambda: {k: c(f"_shape.{k}") for k in R.SHAPE}, "area, box, centroid"))
-    out.register(Trait("canopy_temperature", frozenset(["mask", "temp"]), 1, canopy, lambda: _flat("canopy_", "_canopy"), "masked temperature"))
-    out.register(Trait("layer_temperature", frozenset(["mask", "temp"]), 2, lambda df, w: df.withColumn("_layers", R.layer_temperatures(c("temp"), c("mask"), w)), lambda: {k: c(f"_layers.{k}") for k in R.LAYER_COLUMNS}, "temperature by thirds of height"))
-    out.register(Trait("canopy_delta_t", frozenset(["mask", "temp", "ambient"]), 2, lambda df, w: canopy(df, w).withColumn("_ambient", A.fin(c("ambient"))), _delta, "canopy less ambient temperature"))
-    out.register(Trait("rgb_indices", frozenset(["mask", "r", "g", "b"]), 1, lambda df, w: R.rgb_summaries(df, "r", "g", "b", "mask"), lambda: _index_columns("rgb_masked", RGB_NAMES), "16 colour indices"))
-    out.register(Trait("multispectral_indices", frozenset(["mask", *MS_BANDS]), 2, lambda df, w: R.spectral_summaries(df, MS_BANDS, "mask"), lambda: _index_columns("ms_masked", MS_NAMES), "12 spectral indices"))
+    add = lambda name, requires, tier, *rest, **more: out.register(Trait(name, frozenset(requires), tier, *rest, **more))
+    add(
+        "shape2d", ["mask"], 1, lambda df, w: df.withColumn("_shape", R.shape_moments(c("mask"), w)), lambda: {k: c(f"_shape.{k}") for k in R.SHAPE}, "area, box, centroid, hull, perimeter and ratios",
+        kernel=_contour, kernel_inputs=("mask",), kernel_schema=CONTOUR_SCHEMA,
+    )
+    add("canopy_temperature", ["mask", "temp"], 1, canopy, lambda: _flat("canopy_", "_canopy"), "masked temperature", rasters=("temp",))
+    add("layer_temperature", ["mask", "temp"], 2, lambda df, w: df.withColumn("_layers", R.layer_temperatures(c("temp"), c("mask"), w)), lambda: {k: c(f"_layers.{k}") for k in R.LAYER_COLUMNS}, "temperature by thirds of height", rasters=("temp",))
+    add("canopy_delta_t", ["mask", "temp", "ambient"], 2, lambda df, w: canopy(df, w).withColumn("_ambient", A.fin(c("ambient"))), _delta, "canopy less ambient temperature", rasters=("temp",))
+    add("rgb_vegetation_indices", ["mask", "r", "g", "b"], 2, lambda df, w: R.rgb_summaries(df, "r", "g", "b", "mask"), lambda: _index_columns("rgb_masked", RGB_NAMES), "16 colour indices", rasters=("r", "g", "b"))
+    add("canopy_3d_geometry", ["mask", "depth", "camera"], 3, description="height, area, surface and volume over the fitted soil", kernel=_canopy, kernel_inputs=("depth", "mask", "camera"), kernel_schema=G.CANOPY_SCHEMA)
+    add(
+        "multispectral_vegetation_indices", ["mask", *MS_BANDS], 4, lambda df, w: R.spectral_summaries(df, MS_BANDS, "mask"), lambda: _index_columns("ms_masked", MS_NAMES), "12 spectral indices",
+        rasters=MS_BANDS, together=frozenset(MS_BANDS),
+    )
     return out
 
 
@@ -86,26 +126,62 @@ def _delta() -> dict[str, Column]:
     }
 
 
-INPUTS = ("mask", "temp", "ambient", "r", "g", "b", "b555", "b660", "b720", "b840", "depth")
+INPUTS = ("mask", "temp", "ambient", "r", "g", "b", "b555", "b660", "b720", "b840", "depth", "camera")
+
+
+def _misfit(trait: Trait) -> Column:
+    """What keeps a trait's Columns from a frame: a raster that is missing or not as large as the mask; null if nothing does."""
+    checks = [F.when(F.col("mask").isNull(), "mask is missing")]
+    checks += [F.when(F.col(r).isNull(), f"{r} is missing").when(F.size(r) != F.size("mask"), f"{r} and mask differ in size") for r in trait.rasters]
+    return F.coalesce(*checks, F.lit(None).cast("string"))
 
 
 def compute_traits(frames: DataFrame, width: int, keys: Sequence[str], registry: Registry | None = None, inputs: Sequence[str] | None = None) -> DataFrame:
-    """One row per frame with every trait its columns allow, and which inputs and traits those were."""
+    """One row per frame with every trait its columns allow, each trait's error, and which inputs and traits those were."""
     given = [c for c in (inputs or INPUTS) if c in frames.columns]
     chosen = (registry or standard()).available_for(given)
-    cols = {k: v for t in chosen for k, v in t.columns().items()}
-    prepared = frames
-    for t in chosen:  # each struct is computed once
+    whole = [t for t in chosen if t.requires <= set(given)]
+    cols, errors, prepared = {}, {}, frames
+    for t in whole:  # each struct is computed once
         prepared = t.prepare(prepared, width)
+        misfit = _misfit(t)
+        cols |= {k: F.when(misfit.isNull(), v) if t.rasters else v for k, v in t.columns().items()}
+        if not t.kernel:
+            errors[f"{t.name}_error"] = misfit
+    for t in chosen:
+        if t not in whole:
+            errors[f"{t.name}_error"] = F.lit(f"missing inputs: {', '.join(sorted(t.requires - set(given)))}")
+    kernels = [t for t in whole if t.kernel]
+    needed = list(dict.fromkeys(c for t in kernels for c in t.kernel_inputs))
     listed = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
-    return prepared.select(*keys, *(v.alias(k) for k, v in cols.items()), listed(given).alias("_inputs"), listed([t.name for t in chosen]).alias("_traits_run"))
+    rows = prepared.select(
+        *keys, *(v.alias(k) for k, v in cols.items()), *(v.alias(k) for k, v in errors.items()), listed(given).alias("_inputs"), listed([t.name for t in chosen]).alias("_traits_run"),
+        *(F.col(c).alias(f"_in_{c}") for c in needed),
+    )
+    if not kernels:
+        return rows
+    names = {t.name: [f.split()[0] for f in t.kernel_schema.split(", ")] for t in kernels}
+
+    def run(*values) -> dict:
+        row, out = dict(zip(needed, values)), {}
+        for t in kernels:
+            try:
+                found = t.kernel(*(row[c] for c in t.kernel_inputs), width)
+                out |= {k: found.get(k) for k in names[t.name]}
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+                out[f"{t.name}_error"] = str(e)
+        return out
+
+    schema = ", ".join(f"{t.kernel_schema}, {t.name}_error string" for t in kernels)
+    kept = [c for c in rows.columns if not c.startswith("_in_")]
+    return K.per_frame(rows, kept, [f"_in_{c}" for c in needed], run, schema, "_kernel_error").drop("_kernel_error")
 
 
 def contour_traits(frames: DataFrame, keys: Sequence[str], width: str = "width") -> DataFrame:
     """Perimeter, hull and shape ratios; an error is reported beside null traits."""
 
     def kernel(mask, w):
-        t = K.shape_traits(K.as_grid(mask, int(w), bool))
+        t = _contour(mask, int(w))
         return {k: t.get(k) for k in ("area_px", "perimeter_px", "convex_hull_area_px", "circularity", "solidity")}
 
     return K.per_frame(frames, keys, ["mask", width], kernel, "area_px long, perimeter_px double, convex_hull_area_px double, circularity double, solidity double")

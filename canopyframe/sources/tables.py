@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -59,8 +62,8 @@ def overlay(cls, defaults: dict | None = None, presets: dict[str, dict] | None =
     return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in merged.items() if k in known})
 
 
-def load_config(cls, path: str | None = None, preset: str | None = None):
-    """Configuration from a JSON or YAML file with optional ``presets``."""
+def load_config(cls, path: str | None = None, preset: str | None = None, block: str | None = None):
+    """Configuration from a JSON or YAML file with optional ``presets``; its values are at the top, or in a ``block``."""
     if path is None:
         if preset is not None:
             raise FileNotFoundError("a preset needs a configuration file")
@@ -73,7 +76,8 @@ def load_config(cls, path: str | None = None, preset: str | None = None):
         import yaml
 
         data = yaml.safe_load(text) or {}
-    return overlay(cls, {k: v for k, v in data.items() if k != "presets"}, data.get("presets"), preset)
+    values = data.get(block, {}) if block else {k: v for k, v in data.items() if k != "presets"}
+    return overlay(cls, values, data.get("presets"), preset)
 
 
 def check_prompts(prompts: DataFrame, width: int = 640, height: int = 480) -> DataFrame:
@@ -110,8 +114,44 @@ def write_run(tables: dict[str, DataFrame], path: str, partition: Sequence[str]
         (w.partitionBy(*by) if by else w).parquet(f"{path}/{name}")
 
 
+def write_files(rows: DataFrame, root: str, name: str = "name", content: str = "content") -> int:
+    """One file per row: ``name`` below ``root`` (a path or a URI that Arrow knows), holding the bytes of ``content``; how many were written.
+
+    A file appears whole, under its name, once written; a task that runs again writes the same again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for n, c in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                place = f"{base}/{n}"
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                partial = f"{place}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(partial) as f:
+                    f.write(c or b"")
+                store.move(partial, place)
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    written = rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).mapInArrow(run, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def publish(rows: DataFrame, path: str, flag: str = "qc_flag") -> None:
-    """Fail-closed sink: nothing is written if any row failed its checks."""
-    if not rows.where(F.col(flag) == "FAIL").isEmpty():
-        raise ValueError("a frame failed its checks; nothing was published")
-    rows.write.mode("error").parquet(path)
+    """Fail-closed sink: nothing is published if any row failed its checks.
+
+    The rows are written aside, checked as written, and only then moved into place.
+    """
+    spark = rows.sparkSession
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}.part"
+    rows.write.parquet(aside)
+    jvm = spark.sparkContext._jvm
+    here, there = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        if not spark.read.parquet(aside).where(F.col(flag) == "FAIL").isEmpty():
+            raise ValueError("a frame failed its checks; nothing was published")
+        if store.exists(there) or not store.rename(here, there):
+            raise FileExistsError(f"{path} exists already")
+    finally:
+        if store.exists(here):
+            store.delete(here, True)
