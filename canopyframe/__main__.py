@@ -90,9 +90,10 @@ def segment(spark: SparkSession, args) -> int:
     if not args.no_resume and runs.exists(spark, f"{args.output}/sequence_summary"):
         done = spark.read.parquet(f"{args.output}/sequence_summary").select("sequence_key")
     todo = S.remaining(ready, done, ["sequence_key"]) if done is not None else ready
-    _, summary = runs.run_sequences(ready, logits, none, ["sequence_key"], width, height, args.output, done, cfg)
+    # files first: the summary, written last, says which sequences are done
     propagated = S.propagate(todo, logits, none, ["sequence_key"], cfg, width * height).drop("anchor_mask", "is_anchor")
     n = runs.persist_sequences(propagated, args.output, width, height, cfg, not args.no_isat)
+    _, summary = runs.run_sequences(ready, logits, none, ["sequence_key"], width, height, args.output, done, cfg)
     print(f"{summary.count()} sequences, {n} files")
     if args.fold_logits and not args.no_loo:
         loo = S.leave_one_out(ready, spark.read.parquet(args.fold_logits), ["sequence_key"], width, height, cfg)

@@ -60,6 +60,16 @@ def is_rotation(r: list[Column]) -> Column:
     return out
 
 
+#: A camera that looks straight down.
+LEVEL = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+
+
+def footprint_area(depth: Column, fx: Column | float, fy: Column | float, rotation: tuple[float, ...] = LEVEL) -> Column:
+    """Ground area of a pixel at a depth: its corners share the depth, so a rotation scales the area by the determinant of its ground part."""
+    r = rotation
+    return F.abs(F.lit(r[0] * r[4] - r[1] * r[3])) * depth * depth / (fx * fy)
+
+
 def circularity(area: Column, perimeter: Column) -> Column:
     return F.when(perimeter > 0, 4 * F.pi() * area / (perimeter * perimeter))
 

@@ -250,7 +250,3 @@ def assert_anchor_bounds(frames: DataFrame, anchors: DataFrame, keys: Sequence[s
     ok = (F.col("frame_idx") >= 0) & (F.col("frame_idx") < F.col("_n"))
     checked = anchors.join(sizes, list(keys), "left")
     return checked.withColumn("frame_idx", F.when(F.coalesce(ok, F.lit(False)), F.col("frame_idx")).otherwise(F.raise_error(F.lit("anchor index outside its sequence")).cast("int"))).drop("_n")
-
-
-def logits_inside(logits: Column, width: int, height: int, box: Column) -> Column:
-    return R.constrain_logits(logits, width, height, box)

@@ -190,6 +190,14 @@ def q_all_traits_rows(spark, d):
     return traits.compute_traits(f, SIDE, ["frame_id"])
 
 
+@query("SELECT count(*) AS tier_1, count(*) AS tier_2, 0::BIGINT AS tier_3, count(*) AS tier_4 FROM embeddings")
+def q_tier_counts(spark, d):
+    """Frames that ran some trait of each tier: there is no depth."""
+    registry = traits.standard()
+    rows = traits.compute_traits(bands(frames(spark, d)).drop("e"), SIDE, ["frame_id"], registry)
+    return traits.tier_counts(rows, registry)
+
+
 @query(f"""WITH {PX} SELECT frame_id, count(*) FILTER (WHERE e > 0) AS area_px, 'missing inputs: b720, b840' AS multispectral_vegetation_indices_error, CASE WHEN label % 2 = 1 THEN 'temp is missing' END AS canopy_temperature_error,
 CASE WHEN label % 2 = 0 THEN round(avg(25 + 5 * e) FILTER (WHERE e > 0), 9) END AS canopy_mean FROM px GROUP BY frame_id, label""")
 def q_trait_errors(spark, d):

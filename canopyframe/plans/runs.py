@@ -102,7 +102,7 @@ def persist_sequences(frames: DataFrame, path: str, width: int, height: int, cfg
     area = rows.select(
         F.col("sequence_key").alias("sequence"), "frame_idx", "frame_label", *extras, "stem", count_true(F.col("mask")).alias("area_px"), "pred_source", F.col("threshold").alias("thr")
     )
-    tables.write_csv(area, f"{path}/area", mode="overwrite")
+    tables.write_csv(area, f"{path}/area", mode="append")
     return n
 
 

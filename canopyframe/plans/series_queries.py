@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A, physics as P
 from ..operators import inference as N, kernels as K, raster as R, sequence as S, timeseries as T
+from ..sources.tables import union_rows
 from .frames import PX, SIDE, frames, logits, r9, rolled, table
 from .raster_queries import CFG, _LADDER
 
@@ -399,6 +400,82 @@ def q_find_mask(spark, d):
     return S.find_mask(o.select("stem"), masks.unionByName(extra)).select("stem", "mask_path")
 
 
+_KEY = "printf('%08d', o_orderkey)"
+
+
+@query(f"""SELECT {_KEY} AS stem, 'a/' || {_KEY} || CASE WHEN o_orderkey % 2 = 0 THEN '.PNG' WHEN o_orderkey % 3 = 0 THEN '.jpeg' ELSE '.npy' END AS path FROM orders""")
+def q_first_match(spark, d):
+    """One file per stem: the first known extension that exists."""
+    o = table(spark, d, "orders")
+    stem = F.concat(F.lit("a/"), F.format_string("%08d", "o_orderkey"))
+    name = lambda ext, when: o.where(when).select(F.concat(stem, F.lit(ext)).alias("path"))
+    files = name(".npy", "true").unionByName(name(".jpeg", "o_orderkey % 3 = 0")).unionByName(name(".PNG", "o_orderkey % 2 = 0")).unionByName(name(".txt", "o_orderkey % 5 = 0"))
+    return S.first_match(files).select("stem", "path")
+
+
+@query(f"""SELECT {_KEY} AS stem, CASE WHEN o_orderkey % 2 = 0 THEN 'rgb/' || {_KEY} || '.png' END AS rgb_path, CASE WHEN o_orderkey % 3 = 0 THEN 'depth/' || {_KEY} || '.npy' END AS depth_path FROM orders""")
+def q_stem_join(spark, d):
+    """Masks with the colour and depth files of their stems."""
+    o = table(spark, d, "orders").select("o_orderkey", F.format_string("%08d", "o_orderkey").alias("stem"))
+    side = lambda folder, ext, k: o.where(F.col("o_orderkey") % k == 0).select("stem", F.concat(F.lit(folder), "stem", F.lit(ext)).alias("path"))
+    return S.stem_join(o.select("stem"), ("rgb", side("rgb/", ".png", 2)), ("depth", side("depth/", ".npy", 3))).select("stem", "rgb_path", "depth_path")
+
+
+@query("SELECT o_custkey AS sequence_key, o_orderkey AS stem FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 4 = 1")
+def q_unmatched_anchors(spark, d):
+    """Anchors whose frame is absent."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("sequence_key"), F.col("o_orderkey").alias("stem"), "o_orderpriority")
+    return S.unmatched_anchors(o.where("o_orderpriority = '1-URGENT'").drop("o_orderpriority"), o.where("stem % 4 <> 1"), ["sequence_key", "stem"])
+
+
+@query("SELECT DISTINCT o_custkey AS sequence_key FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')")
+def q_remaining(spark, d):
+    """Sequences that a resumed run still has to do."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("sequence_key"), "o_orderpriority")
+    return S.remaining(o.select("sequence_key").distinct(), o.where("o_orderpriority = '5-LOW'").select("sequence_key").distinct(), ["sequence_key"])
+
+
+@query(f"""WITH {_PROV}, b AS (SELECT label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px WHERE e > 0 AND frame_id % 5 = 0 GROUP BY label)
+SELECT src.label, frame_idx::INT AS frame_idx, s AS pred_source, area AS area_px, 0 AS roi_x0, 0 AS roi_y0, 8 AS roi_x1, 8 AS roi_y1 FROM src""")
+def q_frame_rows(spark, d):
+    """Provenance of every frame, with the region of its sequence (the whole of such small frames)."""
+    f = _sequence_frames(spark, d)
+    base = f.select("label", "frame_idx", "is_anchor", "anchor_mask")
+    done = S.propagate(base, f.select("label", "frame_idx", "logits"), f.select("label", "frame_idx", "logits").where("false"), ["label"], CFG, 64)
+    rois = R.sequence_roi(f.where("is_anchor").withColumn("mask", F.col("anchor_mask")), ["label"], SIDE, SIDE, CFG)
+    rows = S.frame_rows(done, rois, ["label"])
+    return rows.select("label", F.col("frame_idx").cast("int").alias("frame_idx"), "pred_source", "area_px", "roi_x0", "roi_y0", "roi_x1", "roi_y1")
+
+
+@query("SELECT o_orderkey AS key, o_orderpriority AS priority, NULL::DOUBLE AS price FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, o_totalprice::DOUBLE FROM orders WHERE o_orderkey % 2 = 1")
+def q_union_rows(spark, d):
+    """Rows of two tables whose columns differ."""
+    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "key")
+    return union_rows(o.where("key % 2 = 0").select("key", F.col("o_orderpriority").alias("priority")), o.where("key % 2 = 1").select("key", F.col("o_totalprice").cast("double").alias("price")))
+
+
+@query("""SELECT o_orderkey, lower(trim(CASE o_orderkey % 4 WHEN 0 THEN ' Viridis ' WHEN 1 THEN 'JET' WHEN 2 THEN 'no_such_map' END)) IN ('viridis', 'jet') IS TRUE AS known FROM orders""")
+def q_colormap(spark, d):
+    name = F.when(F.col("o_orderkey") % 4 == 0, " Viridis ").when(F.col("o_orderkey") % 4 == 1, "JET").when(F.col("o_orderkey") % 4 == 2, "no_such_map")
+    return table(spark, d, "orders").select("o_orderkey", P.colormap_known(name).alias("known"))
+
+
+@query(f"""WITH {PX} SELECT frame_id, round(sum(0.6 * (900 + 100 * e) ** 2 / (600.0 * 500.0)) FILTER (WHERE e > 0), 6) AS tilted, round(sum((900 + 100 * e) ** 2 / (600.0 * 500.0)) FILTER (WHERE e > 0), 6) AS level FROM px GROUP BY frame_id""")
+def q_footprint(spark, d):
+    """Ground area of the pixels of each mask, for a level camera and a tilted one."""
+    tilt = (1.0, 0.0, 0.0, 0.0, 0.6, -0.8, 0.0, 0.8, 0.6)
+    area = lambda r: F.aggregate(A.where_mask(F.col("e"), F.col("mask")), F.lit(0.0), lambda acc, v: acc + P.footprint_area(900 + 100 * v, 600.0, 500.0, r))
+    out = frames(spark, d).select("frame_id", area(tilt).alias("tilted"), area(P.LEVEL).alias("level"))
+    return out.select("frame_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("tilted", "level")))
+
+
+@query(f"""WITH {PX}, s AS (SELECT frame_id, count(*) FILTER (WHERE e > 0) AS area FROM px GROUP BY frame_id) SELECT frame_id, round(CASE WHEN area > 0 THEN 4 * pi() * area / 576.0 END, 9) AS circularity, round(area / 49.0, 9) AS solidity FROM s""")
+def q_shape_ratios(spark, d):
+    """Ratios of each mask's area to the frame's border, and to its hull."""
+    area = A.count_true(F.col("mask"))
+    return frames(spark, d).select("frame_id", r9(P.circularity(area, F.lit(24.0))).alias("circularity"), r9(P.solidity(area, F.lit(49.0))).alias("solidity"))
+
+
 # --- names and times ---------------------------------------------------------------------------
 
 
