@@ -11,7 +11,7 @@ suffixes that could matter are found first, without loss:
     grams of least hash.  Equal windows have equal anchors at equal offsets, so
     a window can only repeat where its anchor's hash occurs twice.  Anchors are
     about one byte in 35.
-    Hashes are counted first; a bitmap of fixed size, made from those that
+    Hashes are counted first; a bitmap of bounded size, made from those that
     occur twice, spares the others the shuffle (an exact join follows it).
 2.  Anchors that occur twice are grouped by hash, and those with the same
     surroundings (all bytes that their windows can cover) fold into the
@@ -24,8 +24,9 @@ suffixes that could matter are found first, without loss:
     over the surroundings, and keeps in each run of common prefixes of
     ``width`` or more the earliest window; the others are removed.
 4.  A hash with more than ``SHARD`` surroundings is split over several shards.
-    Their earliest windows are merged by key: sorted, each finds the first of
-    its equals by binary search, and all but that are removed.
+    Their earliest windows are merged, shard by shard, in order of their keys:
+    each finds its place among those merged so far by binary search, and of
+    equal ones the earliest stays.
 
 Removed windows meet per document, where they are joined to spans.
 
@@ -53,10 +54,12 @@ GRAM = 32
 #: Bytes handled at once (arrays that stay in the cache); positions must fit the low bits of a packed minimum.
 CHUNK, POSITION_BITS = 1 << 16, 22
 BATCH_BYTES = 1 << 22
-#: Bits of the bitmap of repeated hashes: 16 MB, whatever the corpus.
-BITMAP = 1 << 27
+#: Bits of the bitmap of repeated hashes: 16 for each, between these (128 KB to 128 MB).
+LEAST_BITMAP, MOST_BITMAP = 1 << 20, 1 << 30
 SHARD = 4096
 SHARD_BYTES = 1 << 16
+#: Windows that a part of the merge across shards holds, about.
+PART_WINDOWS = 200_000
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -93,16 +96,17 @@ def window_anchors(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def in_bitmap(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    x = hashes.view(np.uint64) & np.uint64(BITMAP - 1)
+    x = hashes.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
     return (bitmap[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def hash_bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bitmap of the low bits of a column ``h``; at most BITMAP / 8 bytes reach the driver."""
-    low = F.pmod("h", F.lit(BITMAP))
+    """Bitmap of the low bits of a column ``h``; at most MOST_BITMAP / 8 bytes reach the driver."""
+    bits = min(MOST_BITMAP, max(LEAST_BITMAP, 1 << (16 * hashes.count()).bit_length()))
+    low = F.pmod("h", F.lit(bits))
     parts = hashes.select(F.floor(low / 32768).cast("int").alias("part"), (low % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(BITMAP // 8, dtype=np.uint8)
-    for row in parts.collect():
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for row in parts.toLocalIterator():
         out[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out
 
@@ -329,17 +333,18 @@ def earliest_windows(texts: list[bytes], starts: np.ndarray, counts: np.ndarray,
     return lane, column, run, earliest
 
 
-FOUND = "d long, t int, lo long, hi long, k1 long, k2 long"
+FOUND = "d long, t int, lo long, hi long, salt long, key binary"
 
 
-def _found(d, t, lo, hi, k1=None, k2=None) -> pa.RecordBatch:
-    keys = [pa.nulls(len(d), pa.int64()) if k is None else pa.array(k, pa.int64()) for k in (k1, k2)]
-    return pa.record_batch([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), *keys], ["d", "t", "lo", "hi", "k1", "k2"])
+def _found(d, t, lo, hi, salt=None, key=None) -> pa.RecordBatch:
+    """Runs of windows; those that other shards must see have a shard and a key."""
+    extra = [pa.nulls(len(d), pa.int64()) if salt is None else pa.array(salt, pa.int64()), pa.nulls(len(d), pa.binary()) if key is None else pa.array(key, pa.binary())]
+    return pa.record_batch([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), *extra], ["d", "t", "lo", "hi", "salt", "key"])
 
 
 def _shard_windows(rows: dict[str, list]) -> pa.RecordBatch:
     """Removed runs of windows of one shard and, where its hashes are split over shards, its earliest windows with their keys."""
-    d, t, base, split = (np.array(rows[k], dtype=np.int64) for k in ("d", "t", "base", "split"))
+    d, t, base, split, salt = (np.array(rows[k], dtype=np.int64) for k in ("d", "t", "base", "split", "salt"))
     starts, counts = np.array(rows["start"]), np.array(rows["count"])
     lane, column, _, earliest = earliest_windows(rows["text"], starts, counts, d, base, np.array(rows["group"]))
     gone = np.flatnonzero(~earliest)
@@ -351,14 +356,13 @@ def _shard_windows(rows: dict[str, list]) -> pa.RecordBatch:
     if not len(kept):
         return removed
     digests = [xxhash.xxh3_128_digest(rows["text"][i][c : c + WIDTH]) for i, c in zip(lane[kept].tolist(), column[kept].tolist())]
-    keys = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-    open_ = _found(d[lane[kept]], t[lane[kept]], at(kept), at(kept), keys[:, 0], keys[:, 1])
+    open_ = _found(d[lane[kept]], t[lane[kept]], at(kept), at(kept), salt[lane[kept]], digests)
     return pa.Table.from_batches([removed, open_]).combine_chunks().to_batches()[0]
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Surroundings, sorted by (h, salt), to windows; a group may go on over several batches."""
-    names = ("d", "t", "base", "split", "start", "count", "text")
+    names = ("d", "t", "base", "salt", "split", "start", "count", "text")
     rows: dict[str, list] = {k: [] for k in (*names, "group")}
     size, key, number = 0, None, -1
     for batch in batches:
@@ -378,21 +382,55 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _shard_windows(rows)
 
 
+def merge_shards(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Which windows of each shard start later than an equal one of another shard.
+
+    A shard is (keys in order, doc, offset).  Shards are merged one after the
+    other: the keys of the next find their places among those merged so far by
+    binary search, equal ones keep the earliest start, the others are put in at
+    their places.  Then every window finds its key and compares.
+    """
+    keys, doc, at = (c[:0].copy() for c in shards[0])
+    for k, d, o in shards:
+        first = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, dtype=bool)
+        order = np.lexsort((o, d, np.cumsum(first)))  # equal keys of one shard: the earliest goes first
+        k, d, o = (c[order][first] for c in (k, d, o))
+        place = np.searchsorted(keys, k)
+        met = np.flatnonzero(place < len(keys))
+        met = met[keys[place[met]] == k[met]]
+        old = place[met]
+        earlier = (d[met] < doc[old]) | ((d[met] == doc[old]) & (o[met] < at[old]))
+        doc[old[earlier]], at[old[earlier]] = d[met[earlier]], o[met[earlier]]
+        new = np.setdiff1d(np.arange(len(k)), met, assume_unique=True)
+        keys, doc, at = np.insert(keys, place[new], k[new]), np.insert(doc, place[new], d[new]), np.insert(at, place[new], o[new])
+    places = [np.searchsorted(keys, k) for k, _, _ in shards]
+    return [(d != doc[p]) | (o != at[p]) for (_, d, o), p in zip(shards, places)]
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Earliest windows of split hashes, sorted by (k1, k2, d, lo): all but the first of each key are removed."""
+    """Earliest windows of split hashes, sorted by (part, salt, key): all but the first of each key are removed; a part holds all of a key and may go on over several batches."""
+
+    def removed(rows: tuple) -> pa.RecordBatch:
+        salt, keys, d, t, lo = rows
+        cuts = np.flatnonzero(np.r_[True, salt[1:] != salt[:-1]])
+        shards = [(keys[x], d[x], lo[x]) for x in (slice(p, q) for p, q in zip(cuts, [*cuts[1:], len(salt)]))]
+        gone = np.flatnonzero(np.concatenate(merge_shards(shards)))
+        return _found(d[gone], t[gone], lo[gone], lo[gone])
+
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2")], axis=1)
-        d, t, lo = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "t", "lo"))
-        if held is not None:  # the first of a key that goes on
-            k, d, t, lo = np.concatenate([held[0], k]), np.r_[held[1], d], np.r_[held[2], t], np.r_[held[3], lo]
-        group = np.cumsum(np.r_[0, (k[1:] != k[:-1]).any(axis=1)])
-        first = np.searchsorted(group, group)  # binary search for the first equal key
-        later = (d != d[first]) | (lo != lo[first])
-        held = k[first[-1] : first[-1] + 1], d[first[-1] : first[-1] + 1], t[first[-1] : first[-1] + 1], lo[first[-1] : first[-1] + 1]
-        yield _found(d[later], t[later], lo[later], lo[later])
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731,B023
+        keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), dtype="S16")
+        now = column("part"), (column("salt"), keys, column("d"), column("t"), column("lo"))
+        part, rows = now if held is None else (np.r_[held[0], now[0]], tuple(np.concatenate(x) for x in zip(held[1], now[1])))
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        for p, q in zip(cuts[:-1], cuts[1:]):
+            yield removed(tuple(c[p:q] for c in rows))
+        held = part[cuts[-1] :], tuple(c[cuts[-1] :] for c in rows)
+    if held is not None:
+        yield removed(held[1])
 
 
 def _cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,9 +501,10 @@ def removed_windows(keyed: DataFrame) -> DataFrame:
     by_doc = places.groupBy("d", "t").agg(F.collect_list("place").alias("places"))
     surroundings = packed(keyed).join(by_doc, ["d", "t"]).select("d", "t", "packed", "places").mapInArrow(_cut_surroundings, CUT)
     found = materialize(surroundings.repartition("h", "salt").sortWithinPartitions("h", "salt", "d", "at").mapInArrow(_shards, FOUND))
-    inside = found.where(F.col("k1").isNull()).select("d", "t", "lo", "hi")
-    open_ = found.where(F.col("k1").isNotNull())
-    across = open_.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "d", "lo").mapInArrow(_merge, FOUND).select("d", "t", "lo", "hi")
+    inside = found.where(F.col("key").isNull()).select("d", "t", "lo", "hi")
+    # windows of all shards meet by the leading bits of their keys, in as many parts as keep each small
+    open_ = found.where(F.col("key").isNotNull()).withColumn("part", F.pmod(F.xxhash64(F.substring("key", 1, 8)), F.lit(max(1, found.where(F.col("key").isNotNull()).count() // PART_WINDOWS))))
+    across = open_.repartition("part").sortWithinPartitions("part", "salt", "key").mapInArrow(_merge, FOUND).select("d", "t", "lo", "hi")
     return copies.unionByName(inside).unionByName(across)
 
 

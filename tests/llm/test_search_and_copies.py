@@ -271,6 +271,34 @@ def test_components_of_chains_and_stars(spark):
 # --- substring dedup ---------------------------------------------------------
 
 
+def test_shards_merge_by_key():
+    """Of equal windows of any shards those stay that start first; equal starts (rows of one id) stay together."""
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        shards, every = [], []
+        for _ in range(r.integers(1, 5)):
+            n = r.integers(0, 12)
+            rows = sorted((bytes(r.integers(0, 3, 1, dtype=np.uint8)) * 15 + bytes(r.integers(0, 4, 1, dtype=np.uint8)), int(r.integers(0, 4)), int(r.integers(0, 3))) for _ in range(n))
+            keys = np.frombuffer(b"".join(k for k, _, _ in rows), dtype="S16")
+            shards.append((keys, np.array([d for _, d, _ in rows], dtype=np.int64), np.array([o for _, _, o in rows], dtype=np.int64)))
+            every.append(rows)
+        least = {}
+        for rows in every:
+            for k, d, o in rows:
+                least[k] = min(least.get(k, (d, o)), (d, o))
+        got = substring_dedup.merge_shards(shards)
+        assert [g.tolist() for g in got] == [[(d, o) != least[k] for k, d, o in rows] for rows in every]
+
+
+def test_bitmap_is_sized_by_hashes(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LEAST_BITMAP", 1 << 15)
+    h = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
+    found = substring_dedup.hash_bitmap(spark.createDataFrame([(int(x),) for x in h], "h long"))
+    assert len(found) * 8 == 1 << 17 and substring_dedup.in_bitmap(h, found).all()
+    assert substring_dedup.in_bitmap(np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 5000), found).mean() < 0.1
+    assert not substring_dedup.hash_bitmap(spark.createDataFrame([], "h long")).any()
+
+
 def brute_repeats(docs, width=100):
     first, out = {}, []
     for d, t in sorted(((-(1 << 62) if d is None else d, t or "") for d, t in docs), key=lambda x: x[0]):
