@@ -59,7 +59,7 @@ LEAST_BITMAP, MOST_BITMAP = 1 << 20, 1 << 30
 SHARD = 4096
 SHARD_BYTES = 1 << 16
 #: Windows that a part of the merge across shards holds, about.
-PART_WINDOWS = 200_000
+PART_WINDOWS = 16_000
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:

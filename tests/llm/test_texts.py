@@ -566,6 +566,72 @@ def test_pipeline_run_agrees_with_stages(spark, corpus):
     assert sorted(tuple(x) for x in corpus_pipeline.run(spark, path).select(*order).collect()) == want
 
 
+def plain_lines(rows):
+    """doc_id to text after line dedup, by the definition; a document left without text goes."""
+    where, out = {}, {}
+    for d, text, _, site in rows:
+        for pos, line in enumerate((text or "").split("\n")):
+            if cut := line.strip(" \t\r\x0b\x0c"):
+                where.setdefault(cut, set()).add((site, d, pos))
+    first = {cut: min((d, pos) for _, d, pos in places) for cut, places in where.items() if len({site for site, _, _ in places}) >= line_dedup.MIN_SITES}
+    for d, text, _, _ in rows:
+        lines = (text or "").split("\n")
+        kept = [line for pos, line in enumerate(lines) if first.get(line.strip(" \t\r\x0b\x0c"), (d, pos)) == (d, pos)]
+        if len(kept) == len(lines) or "\n".join(kept).strip(" \t\r\x0b\x0c\n"):
+            out[d] = "\n".join(kept) if text is not None else None
+    return out
+
+
+def plain_near(texts):
+    """The smallest id of each group of texts of five-word-shingle similarity 0.8 or more."""
+    grams = lambda t: frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset()
+    sets, label = {d: grams(t) for d, t in texts.items()}, {d: d for d in texts}
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0]
+    for _ in range(20):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    return set(label.values())
+
+
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor kept: near copies of many similarities, repeated rows, very long texts, null and empty ones, shared lines, planted items."""
+    r = random.Random(31)
+    rows, item = [], sentence("aa", r, 14)
+    line = sentence("bb", r, 6)
+    for i in range(50):
+        lang = "aa" if i % 2 else "bb"
+        words = sentence(lang, r, 30_000 if i == 7 else 120).split()
+        for copy in range(3):
+            w = list(words)
+            for _ in range(copy * r.randint(0, 6)):
+                w[r.randrange(len(w))] = sentence(lang, r, 1)
+            text = " ".join(w[:60]) + (f"\n{line}\nshort" if i % 3 == 0 else "") + "\n" + " ".join(w[60:])
+            if i % 10 == 4 and copy == 1:
+                text += f" {item.upper()}, and"
+            rows.append((10 * i + copy, text, lang, f"site{i % 9}"))
+    rows += [(900, None, "aa", "s"), (901, "", "bb", None), (902, "12345 !!", None, "s"), rows[5], rows[5], rows[31]]
+    df = frame(spark, rows)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages, path = dict(corpus_pipeline.STAGES), str(tmp_path)
+    read = lambda docs: sorted({(x.doc_id, x.text) for x in docs.collect()}, key=str)
+    docs = stages["language_id"](spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    assert {d for d, _ in read(docs)} == {d for d, t, _, _ in rows if d < 900} and docs.count() == len(rows) - 3
+    kept = [x for x in rows if x[0] < 900]
+    docs = stages["line_dedup"](spark, docs, path)
+    assert dict(read(docs)) == plain_lines(kept) and docs.count() == len(kept)
+    want = plain_near(dict(read(docs)))
+    docs = stages["simhash_near_dedup"](spark, docs, path)
+    texts = dict(read(docs))
+    assert set(texts) == want and docs.count() == len(want) and 50 <= len(want) < 150
+    docs = stages["benchmark_decontamination"](spark, docs, path)
+    plain = decontaminate.normalize(item)
+    clean = {d for d, t in texts.items() if sellers(plain, decontaminate.normalize(t)) > decontaminate.budget(plain)}
+    assert {d for d, _ in read(docs)} == clean and len(clean) < len(texts)
+    mix = stages["mixing"](spark, docs, path).collect()
+    assert {x.doc_id for x in mix} == clean and all(0 <= x.taken <= 3 * x.size for x in mix)
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
