@@ -446,7 +446,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     listed = checkpoint(templates(pages))
     if listed.count() <= BROADCAST_HASHES:
         by_host: dict[str, list[bytes]] = {}
-        for host, subtree in listed.toLocalIterator():
+        for host, subtree in listed.collect():
             by_host.setdefault(host, []).append(bytes(subtree))
         shared = pages.sparkSession.sparkContext.broadcast({host: b"".join(sorted(subtrees)) for host, subtrees in by_host.items()})
 
