@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 EPS = 1e-6
@@ -24,8 +25,15 @@ def fin(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
-def safe_div(num: Column, den: Column, eps: float = EPS) -> Column:
-    """num / den where both are finite and the denominator exceeds eps in size; the sign is kept."""
+def safe_div(num, den, eps: float = EPS):
+    """num / den where both are finite and the denominator exceeds eps in size; the sign is kept.
+
+    Columns give null elsewhere, numpy arrays NaN.
+    """
+    if isinstance(den, np.ndarray):
+        size = np.abs(den)
+        ratio = np.where((size > eps) & (size < np.inf), num, np.nan) / den
+        return np.where(np.isfinite(ratio), ratio, np.nan)
     size = F.abs(den)  # not a number is larger than any, so both limits exclude it
     ratio = F.when((size > eps) & (size < float("inf")), num / den)
     return F.when(F.abs(ratio) < float("inf"), ratio)

@@ -1,4 +1,4 @@
-"""Vegetation indices as Column expressions of channels and bands."""
+"""Vegetation indices of channels and bands: formulas of Columns, or of numpy arrays."""
 
 from __future__ import annotations
 
@@ -31,10 +31,15 @@ def rgb_indices(r: Column, g: Column, b: Column) -> dict[str, Column]:
         "MGRVI": sd(g * g - r * r, g * g + r * r),
         "WI": sd(g - b, r - g),
         "PSRI": sd(r - b, r),
-        "ARI": sd(F.lit(1.0), 1 - r),
+        "ARI": sd(1.0, 1 - r),
     }
 
 
+#: Names in report order.
+RGB_NAMES = ("NDI", "CIVE", "MNDVI", "GRVI", "IKAW", "ExG", "ExR", "ExGR", "VARI", "GLA", "GLI", "RGBVI", "MGRVI", "WI", "PSRI", "ARI")
+MS_NAMES = ("NDVI", "NDRE", "GNDVI", "SAVI", "OSAVI", "RVI", "DVI", "CIgreen", "CIrededge", "MTCI", "MCARI", "TCARI")
+
+
 def channel_features(r: Column, g: Column, b: Column) -> dict[str, Column]:
     """Ten plain features of normalized channels."""
     return {

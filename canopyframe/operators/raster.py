@@ -7,14 +7,15 @@ be columns or numbers.  Masks are boolean arrays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as A
 from ..functions.arrays import let
-from ..functions.indices import normalized, rgb_indices, spectral_indices
+from ..functions.indices import MS_NAMES, RGB_NAMES, normalized, rgb_indices, spectral_indices
+from .index_stats import index_statistics
 
 
 def _c(x: Column | int | float) -> Column:
@@ -316,27 +317,22 @@ def _pixels(mask: Column, *channels: Column) -> Column:
     return F.filter(zipped, lambda p: F.coalesce(p["m"], F.lit(False)))
 
 
-def _index_summaries(df: DataFrame, pixels: str, n: int, formulas: Callable[..., dict[str, Column]]) -> DataFrame:
-    names = list(formulas(*[F.lit(0.0)] * n))
-    each = F.transform(pixels, lambda p: F.struct(*(c.alias(k) for k, c in formulas(*(p[f"c{k}"] for k in range(n))).items())))
-    return A.with_summaries(df.withColumn("_ix", each), {k: F.col("_ix")[k] for k in names}).drop("_ix")
+def _index_summaries(df: DataFrame, found: Column, masked: str, names: Sequence[str]) -> DataFrame:
+    column = "_indices"
+    while column in df.columns:
+        column = f"_{column}"
+    return df.withColumn(column, found).select(*(F.col(f"`{c}`") for c in df.columns), F.col(column)["masked"].alias(masked), *(F.col(column)[k].alias(k) for k in names))
 
 
 def rgb_summaries(df: DataFrame, r: str, g: str, b: str, mask: str) -> DataFrame:
     """The frames with a struct of statistics per colour index (16) over the mask, and ``rgb_masked``, the masked pixels."""
-
-    def shares(p: Column) -> Column:
-        return F.struct(*(c.alias(f"c{k}") for k, c in enumerate(normalized(p["c0"], p["c1"], p["c2"]))))
-
-    # channels are normalized once, not once per index
-    ready = df.withColumn("_px", F.transform(_pixels(F.col(mask), F.col(r), F.col(g), F.col(b)), shares)).withColumn("rgb_masked", A.count_true(F.col(mask)))
-    return _index_summaries(ready, "_px", 3, rgb_indices).drop("_px")
+    found = index_statistics(F.col(mask), [F.col(c) for c in (r, g, b)], RGB_NAMES, lambda *c: rgb_indices(*normalized(*c)))
+    return _index_summaries(df, found, "rgb_masked", RGB_NAMES)
 
 
 def spectral_summaries(df: DataFrame, bands: Sequence[str], mask: str) -> DataFrame:
     """The frames with a struct of statistics per spectral index (12) over the mask, and ``ms_masked``."""
-    ready = df.withColumn("_px", _pixels(F.col(mask), *map(F.col, bands))).withColumn("ms_masked", A.count_true(F.col(mask)))
-    return _index_summaries(ready, "_px", 4, spectral_indices).drop("_px")
+    return _index_summaries(df, index_statistics(F.col(mask), [F.col(c) for c in bands], MS_NAMES, spectral_indices), "ms_masked", MS_NAMES)
 
 
 def valid_fraction(n: Column, masked: Column) -> Column:
@@ -385,21 +381,26 @@ def cell_area(depth: Column, width: int, height: int, fx: float, fy: float, cx:
         z = F.get(depth, i.cast("int"))
         return F.struct(((i % width - cx) * z / fx).alias("x"), ((F.floor(i / width) - cy) * z / fy).alias("y"), z.alias("z"))
 
-    def triangle(a: Column, b: Column, c: Column) -> Column:
+    def triangle(q: Column) -> Column:
+        a, b, c = q[0], q[1], q[2]
         flat = F.abs((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])) / 2
-        good = ok(a["z"]) & ok(b["z"]) & ok(c["z"])
-        high, low = F.greatest(a["z"], b["z"], c["z"]), F.least(a["z"], b["z"], c["z"])
-        middle = a["z"] + b["z"] + c["z"] - high - low
-        return F.when(good & (high - low <= F.greatest(F.lit(jump_abs), jump_rel * middle)) & (2 * flat > 1e-8), flat)
+        depths = F.array_sort(F.transform(q, lambda p: p["z"]))
+        level = let(depths, lambda z: z[2] - z[0] <= F.greatest(F.lit(jump_abs), jump_rel * z[1]))
+        return let(flat, lambda f: F.when(F.forall(q, lambda p: ok(p["z"])) & level & (2 * f > 1e-8), f))
+
+    # triangles by their corners' places: both of the shorter diagonal, or any of three
+    chosen = lambda *t: F.array(*(F.array(*map(F.lit, k)) for k in t))
+    main, other, three = chosen((0, 1, 3), (0, 3, 2)), chosen((0, 1, 2), (1, 3, 2)), chosen((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))
 
     def cell(i: Column) -> Column:
-        a, b, c, d = corner(i), corner(i + 1), corner(i + width), corner(i + width + 1)
-        dist = lambda p, q: (p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2 + (p["z"] - q["z"]) ** 2
-        all_four = ok(a["z"]) & ok(b["z"]) & ok(c["z"]) & ok(d["z"])
-        main = F.array(triangle(a, b, d), triangle(a, d, c))
-        other = F.array(triangle(a, b, c), triangle(b, d, c))
-        three = F.array(triangle(a, b, c), triangle(a, b, d), triangle(a, c, d), triangle(b, c, d))
-        return F.when(all_four, F.when(dist(a, d) <= dist(b, c), main).otherwise(other)).otherwise(three)
+        corners = F.transform(F.array(F.lit(0), F.lit(1), F.lit(width), F.lit(width + 1)), lambda k: corner(i + k))
+
+        def triangles(p: Column) -> Column:
+            dist = lambda u, v: (p[u]["x"] - p[v]["x"]) ** 2 + (p[u]["y"] - p[v]["y"]) ** 2 + (p[u]["z"] - p[v]["z"]) ** 2
+            wanted = F.when(F.forall(p, lambda q: ok(q["z"])), F.when(dist(0, 3) <= dist(1, 2), main).otherwise(other)).otherwise(three)
+            return F.transform(wanted, lambda t: let(F.transform(t, lambda k: F.get(p, k)), triangle))
+
+        return let(corners, triangles)
 
     cells = F.filter(F.sequence(F.lit(0), F.lit(width * (height - 1) - 2)), lambda i: i % width < width - 1)
     found = F.filter(F.flatten(F.transform(cells, cell)), lambda t: t.isNotNull())

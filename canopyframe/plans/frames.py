@@ -47,6 +47,11 @@ def r9(c: Column) -> Column:
     return F.round(c * 1e9) / 1e9 + F.lit(0.0)
 
 
+def r9_of(path: str, name: str) -> Column:
+    """The same of a column or field by its path; one expression, for queries with very many."""
+    return F.expr(f"round({path} * 1e9D) / 1e9D + 0.0D AS {name}")
+
+
 PX = """px AS (
   SELECT vec_id AS frame_id, label, i, i // 8 AS y, i % 8 AS x, embedding[i + 1]::DOUBLE AS e, embedding[(i + 1) % 64 + 1]::DOUBLE AS e1,
     embedding[(i + 16) % 64 + 1]::DOUBLE AS e16, embedding[(i + 21) % 64 + 1]::DOUBLE AS e21, embedding[(i + 32) % 64 + 1]::DOUBLE AS e32,
@@ -63,5 +68,10 @@ def sql_stats(value: str, prefix: str = "", where: str = "TRUE") -> str:
       round(quantile_cont({value}, 0.9) {f}, 9) + 0.0 AS {p}p90, round(stddev_pop({value}) {f}, 9) + 0.0 AS {p}std, count({value}) {f} AS {p}n"""
 
 
+def stat_fields(path: str, prefix: str = "") -> list[Column]:
+    """The rounded statistics of a struct by its path."""
+    return [*(r9_of(f"{path}.{k}", f"{prefix}{k}") for k in ("median", "mean", "p10", "p90", "std")), F.expr(f"{path}.n AS {prefix}n")]
+
+
 def stat_columns(s: Column, prefix: str = "") -> list[Column]:
     return [*(r9(s[k]).alias(f"{prefix}{k}") for k in ("median", "mean", "p10", "p90", "std")), s["n"].alias(f"{prefix}n")]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A, indices as I, physics as P
 from ..operators import raster as R
-from .frames import PX, SIDE, bands, channels, frames, logits, r9, rolled, sql_stats, stat_columns, table
+from .frames import PX, SIDE, bands, channels, frames, logits, r9, r9_of, rolled, sql_stats, stat_columns, stat_fields, table
 
 CFG = R.PropagationConfig(roi_min_size=4, min_valid_area=3)
 QUERIES: dict = {}
@@ -84,7 +84,7 @@ def _index_sql(source: str, table_: str, named: dict[str, str]) -> str:
 
 
 def _index_columns(names, masked):
-    return [c for n in names for c in (*stat_columns(F.col(n), f"{n}_"), r9(R.valid_fraction(F.col(f"{n}.n"), F.col(masked))).alias(f"{n}_valid_frac"))]
+    return [c for n in names for c in (*stat_fields(n, f"{n}_"), r9_of(f"(CASE WHEN {masked} > 0 THEN {n}.n / {masked} END)", f"{n}_valid_frac"))]
 
 
 @query(_index_sql(_RGB, "nrm", RGB_SQL))

@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as A
+from ..functions.indices import MS_NAMES, RGB_NAMES
 from ..operators import geometry as G, kernels as K, raster as R
 
 
@@ -79,8 +80,6 @@ def _index_columns(masked: str, names: Sequence[str]) -> dict[str, Column]:
     return {k: v for n in names for k, v in (_flat(f"{n}_", n) | {f"{n}_valid_frac": R.valid_fraction(F.col(f"{n}.n"), F.col(masked))}).items()}
 
 
-RGB_NAMES = ("NDI", "CIVE", "MNDVI", "GRVI", "IKAW", "ExG", "ExR", "ExGR", "VARI", "GLA", "GLI", "RGBVI", "MGRVI", "WI", "PSRI", "ARI")
-MS_NAMES = ("NDVI", "NDRE", "GNDVI", "SAVI", "OSAVI", "RVI", "DVI", "CIgreen", "CIrededge", "MTCI", "MCARI", "TCARI")
 MS_BANDS = ("b555", "b660", "b720", "b840")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopyframe.functions import arrays as A, indices as I, physics as P
-from canopyframe.operators import geometry as G, kernels as K, raster as R
+from canopyframe.operators import geometry as G, index_stats as X, kernels as K, raster as R
 from canopyframe.plans import traits
 
 
@@ -54,6 +54,24 @@ def test_green_plant(spark):
     assert got.ExG.mean > 1 and got.GRVI.mean > 0.5 and got.VARI.mean is not None and got.rgb_masked == 4 and got.ExG.n == 4
 
 
+def test_index_statistics_of_odd_frames(spark):
+    """Nulls, short channels, pixels that are no numbers and empty masks; statistics are those of the values one by one."""
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [True, False, True, True, None, True], [1.0, 9.0, nan, 4.0, 5.0, None], [2.0, 9.0, 3.0, inf, 5.0, 6.0]), (2, [False] * 3, [1.0] * 3, [1.0] * 3), (3, None, [1.0], [1.0]), (4, [True], None, [1.0]),
+        (5, [True, True, True], [1.0, 2.0], [3.0, 4.0, 5.0]), (6, [], [], []), (7, [True] * 4, [3.0, 1.0, 2.0, 10.0], [1.0, 1.0, 1.0, 1.0]),
+    ]
+    df = spark.createDataFrame(rows, "k int, m array<boolean>, a array<double>, b array<double>").repartition(1)
+    found = X.index_statistics(F.col("m"), [F.col("a"), F.col("b")], ["sum", "ratio"], lambda a, b: {"sum": a + b, "ratio": A.safe_div(a, b - 1)})
+    got = {r.k: r.s for r in df.select("k", found.alias("s")).collect()}
+    assert got[1].masked == 4 and got[1]["sum"].n == 1 and got[1]["sum"].median == got[1]["sum"].p90 == 3.0 and got[1]["sum"].std == 0.0 and got[1].ratio.n == 1
+    assert got[2].masked == 0 and got[2]["sum"].n == 0 and got[2]["sum"].mean is None and got[6].masked == 0
+    assert got[3].masked is None and got[3]["sum"].n is None and got[4].masked == 1 and got[4]["sum"].n is None
+    assert got[5].masked == 3 and got[5]["sum"].n == 2 and got[5]["sum"].mean == 5.0
+    v = np.array([4.0, 2.0, 3.0, 11.0])
+    assert [got[7]["sum"][k] for k in A.STATS] == [np.median(v), v.mean(), np.quantile(v, 0.1), np.quantile(v, 0.9), v.std(), 4] and got[7].ratio.n == 0
+
+
 def test_uniform_bands(spark):
     got = one(spark, (0.1, 0.05, 0.1, 0.5), "g double, r double, e double, n double", **I.spectral_indices(*map(F.col, "gren")))
     for name, want in {"NDVI": 0.8182, "NDRE": 0.6667, "GNDVI": 0.6667, "MCARI": 0.10, "TCARI": 0.15}.items():
