@@ -42,6 +42,8 @@ DIGITS, SUB_DIGITS = 2, 3
 LEVELS = 3
 #: Leading digits of a node's draw order that its draws are counted by: 16 ** LEAD_DIGITS counts a node at most are sent to every task.
 LEAD_DIGITS = 3
+#: Draws that a part of a written table holds, about.
+PART_DRAWS = 100_000
 SEED = "mix-1"
 
 
@@ -97,12 +99,14 @@ def quota_tree(ordered: DataFrame, levels: int = LEVELS) -> DataFrame:
     """
     last = F.when(F.col("before") < F.col("extra"), 1).otherwise(0)
     counted = ordered.withColumn("n", F.col("epochs") + last).where("n > 0")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    written = lambda df: checkpoint(df.coalesce(1 + total // PART_DRAWS))
     draws = counted.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("source", "block", "turn", "epoch").withColumn("shard", F.lit(0))
     for level in range(levels):
         # a single draw order per node: half of the node's draws, rounded up, go left.  Ranks are counted by the
         # leading digits of the order first, so no task sorts a node's draws.
         # Each level uses the last one twice: it is written, or plans would double with every level.
-        draws = checkpoint(draws).withColumn("luck", _key(F.lit(f"node{level}"), "source", "block", "epoch")).withColumn("lead", F.substring("luck", 1, LEAD_DIGITS))
+        draws = written(draws).withColumn("luck", _key(F.lit(f"node{level}"), "source", "block", "epoch")).withColumn("lead", F.substring("luck", 1, LEAD_DIGITS))
         of_node = W.partitionBy("shard")
         counts = draws.groupBy("shard", "lead").agg(F.count(F.lit(1)).alias("n"))
         ahead = counts.select("shard", "lead", _running(["shard"], ["lead"], "n").alias("ahead"), F.sum("n").over(of_node).alias("held"))
@@ -110,7 +114,7 @@ def quota_tree(ordered: DataFrame, levels: int = LEVELS) -> DataFrame:
         placed = draws.join(F.broadcast(ahead), ["shard", "lead"]).withColumn("rank", place + F.col("ahead"))
         draws = placed.select("source", "block", "turn", "epoch", (F.col("shard") * 2 + F.when(F.col("rank") * 2 <= F.col("held") + 1, 0).otherwise(1)).alias("shard"))
     # the leaves' counts are quotas; a source's i-th draw takes the i-th place of its quotas in shard order
-    draws = checkpoint(draws)
+    draws = written(draws)
     dealt = draws.withColumn("seat", F.row_number().over(W.partitionBy("source").orderBy("shard", "turn", "epoch")))
     seats = dealt.select("source", "seat", "shard")
     order = draws.withColumn("seat", F.row_number().over(W.partitionBy("source").orderBy("epoch", "turn", "block"))).select("source", "block", "epoch", "seat")
