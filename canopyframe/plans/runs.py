@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.arrays import count_true
 from ..functions.physics import path_stem
-from ..operators import kernels as K, raster as R, segments, sequence as S
+from ..operators import kernels as K, raster as R, render, segments, sequence as S
 from ..sources import png, tables
 
 #: A provider makes the logits table (keys, frame_idx, logits) of some frames.
@@ -106,6 +106,43 @@ def persist_sequences(frames: DataFrame, path: str, width: int, height: int, cfg
     return n
 
 
+def save_overlays(frames: DataFrame, keys: Sequence[str], width: int, path: str, low: float = 23.0, high: float = 30.0) -> int:
+    """Pictures of temperature frames with their masks, whole and by layers, and how many; ``frames`` has temp and mask."""
+    rows = frames.select(F.concat_ws("_", *keys).alias("stem"), "temp", "mask", R.layer_of(F.col("mask"), width).alias("layers"))
+
+    def files(stem, temp, mask, layers):
+        t, m = K.as_grid(temp, width), K.as_grid(mask, width, bool)
+        of = np.array([-1 if v is None else v for v in layers]).reshape(m.shape)
+        parts = {name: of == k for k, name in enumerate(R.LAYERS)}
+        return [(f"{stem}_overlay.png", png.encode(render.overlay(t, m, low, high))), (f"{stem}_layers.png", png.encode(render.layer_overlay(t, parts, low, high)))]
+
+    return tables.write_files(_file_rows(rows, ["stem", "temp", "mask", "layers"], files), path)
+
+
+def save_contact_sheets(frames: DataFrame, keys: Sequence[str], width: int, path: str, cfg: R.PropagationConfig | None = None) -> int:
+    """One contact sheet per sequence, and how many; ``frames`` has frame_idx, r, g, b and mask.
+
+    A sequence's frames are cut down to tiles before they are brought together.
+    """
+    cfg = cfg or R.PropagationConfig()
+    tiled = K.per_frame(
+        frames, [*keys, "frame_idx"], ["r", "g", "b", "mask"],
+        lambda r, g, b, m: {"tile": render.contact_sheet([np.stack([K.as_grid(c, width) for c in (r, g, b)], axis=2).astype(np.uint8)], [K.as_grid(m, width, bool)], 1, cfg.qa_grid_tile).tobytes()}, "tile binary",
+    )
+    sheets = tiled.where("tile is not null").groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_idx", "tile"))), lambda t: t["tile"]).alias("tiles"))
+    rows = sheets.select(F.concat_ws("_", *keys).alias("stem"), "tiles")
+
+    def files(stem, tiles):
+        n, side = cfg.qa_grid_cols, cfg.qa_grid_tile
+        sheet = np.zeros((-(-len(tiles) // n) * side, n * side, 3), dtype=np.uint8)
+        for i, t in enumerate(tiles):
+            y, x = divmod(i, n)
+            sheet[y * side : (y + 1) * side, x * side : (x + 1) * side] = np.frombuffer(t, dtype=np.uint8).reshape(side, side, 3)
+        return [(f"{stem}_qa_grid.png", png.encode(sheet))]
+
+    return tables.write_files(_file_rows(rows, ["stem", "tiles"], files), path)
+
+
 def save_crops(frames: DataFrame, keys: Sequence[str], width: int, height: int, path: str, pad: int = 0, min_size: int = 0) -> int:
     """Files of each frame's crop, and how many: temperatures as ``.npy`` and ``.csv`` (not a number outside the plant), and a report, which a failed frame has too."""
     crops = crop_frames(frames, keys, width, height, pad, min_size)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopyframe.__main__ import main
-from canopyframe.operators import kernels as K, raster as R, sequence as S
+from canopyframe.operators import kernels as K, raster as R, render, sequence as S
 from canopyframe.plans import runs, traits
 from canopyframe.sources import config, png, rasters, tables
 
@@ -72,6 +72,31 @@ def test_crop_files(spark, tmp_path):
     assert all(json.loads((tmp_path / f"{k}_report.json").read_text())["ok"] is False for k in "bc")
 
 
+def test_overlays(spark, tmp_path):
+    image = render.temperature_image(np.array([[20.0, 23.0, 26.5, 30.0, 99.0, np.nan]]), 23.0, 30.0)[0]
+    assert abs(image[1].astype(int) - (0, 0, 4)).max() <= 5 and abs(image[3].astype(int) - (252, 255, 164)).max() <= 6 and abs(image[2].astype(int) - (188, 55, 84)).max() <= 6
+    assert (image[0] == image[1]).all() and (image[3] == image[4]).all() and not image[5].any()
+    temp, mask = np.full((H, W), 26.5), disc(6)
+    shown, base, edge = render.overlay(temp, mask, 23.0, 30.0), image[2].astype(float), render.border(mask)
+    inner = mask & ~edge
+    assert (shown[edge] == (0, 255, 255)).all() and (shown[~mask & ~edge] == image[2]).all() and (shown[inner] == (0.72 * base + 0.28 * np.array((0, 170, 220))).astype(np.uint8)).all()
+    layers = render.layer_overlay(temp, {"upper": mask, "odd": disc(1)}, 23.0, 30.0)
+    assert (layers[render.border(disc(1))] == 255).all() and (layers[edge] == (0, 255, 255)).all()
+    df = spark.createDataFrame([("a", temp.ravel().tolist(), mask.ravel().tolist())], "stem string, temp array<double>, mask array<boolean>")
+    assert runs.save_overlays(df, ["stem"], W, str(tmp_path)) == 2
+    assert (png.decode((tmp_path / "a_overlay.png").read_bytes()) == shown).all() and png.decode((tmp_path / "a_layers.png").read_bytes()).shape == (H, W, 3)
+
+
+def test_contact_sheets(spark, tmp_path):
+    rows = [("s", i, *[[float(40 * i + c)] * (H * W) for c in range(3)], disc(3 + i).ravel().tolist()) for i in (2, 0, 1)]
+    df = spark.createDataFrame(rows, "seq string, frame_idx int, r array<double>, g array<double>, b array<double>, mask array<boolean>")
+    assert runs.save_contact_sheets(df, ["seq"], W, str(tmp_path), R.PropagationConfig(qa_grid_cols=2, qa_grid_tile=48)) == 1
+    sheet = png.decode((tmp_path / "s_qa_grid.png").read_bytes())
+    images = [np.dstack([np.full((H, W), 40 * i + c, dtype=np.uint8) for c in range(3)]) for i in range(3)]
+    assert (sheet == render.contact_sheet(images, [disc(3 + i) for i in range(3)], 2, 48)).all() and sheet.shape == (96, 96, 3)
+    assert (sheet[0, 48] == (40, 41, 42)).all() and (sheet == render.SHEET).all(axis=2).any() and not sheet[48:, 48:].any()
+
+
 def test_publish_writes_what_it_checked(spark, tmp_path):
     good, bad = (spark.createDataFrame([(1, flag)], "k int, qc_flag string") for flag in ("OK", "FAIL"))
     with pytest.raises(ValueError):
