@@ -35,6 +35,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a written table up to which no garbage is collected behind it.
+SMALL_TABLE = 4 << 20
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: columns can be pruned, unlike those of a checkpoint.
 
@@ -45,11 +49,12 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(place)
     # what led here is garbage once the frame is let go; collecting it now lets the driver drop its
-    # shuffle files before the next phase writes its own
+    # shuffle files before the next phase writes its own (little is behind a small table)
     del df
-    for _ in range(2):  # the second finds what the first has cut loose
+    for _ in range(2 if store.getContentSummary(place).getLength() > SMALL_TABLE else 0):  # the second finds what the first has cut loose
         gc.collect()
         jvm.System.gc()
         time.sleep(0.2)
