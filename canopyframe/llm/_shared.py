@@ -14,8 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a table up to which its rows are dealt to all cores: so little often lies in one row group, which one task reads.
+ONE_SPLIT = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= ONE_SPLIT else df
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
