@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopyframe.operators import geometry as G, kernels as K, segments
+from canopyframe.operators import geometry as G, segments
 from canopyframe.plans import runs
 
 
