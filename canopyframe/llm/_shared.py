@@ -35,10 +35,20 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Bits of a table's estimated size beyond which the estimate is let go.
+ESTIMATE_BITS = 256
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    _checkpoint_folder(spark)
+    cut = df.checkpoint()
+    # a checkpoint inherits the size estimated for its plan, joins multiply sizes: in a loop its digits double each round
+    plan = cut._jdf.queryExecution().analyzed()
+    if plan.stats().sizeInBytes().bit_length() > ESTIMATE_BITS:
+        cut = DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), cut._jdf.schema(), False), spark)
+    return cut
 
 
 #: Bytes of a written table up to which no garbage is collected behind it.

@@ -29,7 +29,12 @@ then run over the links.
   A crowded bucket is dealt again by sampled bits, so often that 95 % of the
   pairs at the limit meet; a bucket that is crowded even so (copies of one text)
   is cut by a salt, and ``LEADERS`` of its fingerprints go to every part, which
-  ties the parts together.
+  ties the parts together.  This finds most groups at little cost and loses
+  some links: those that a refused shorter one stood for, and those of parts
+  that do not meet.  The rest (:func:`remaining_links`) is exact: in every
+  bucket that still holds texts of several groups, all pairs of different
+  groups are compared by their sets, whatever their bits, so that no link of
+  two texts that share a bucket is lost.
 
 Defined cases: null text has no words; fewer words than a shingle are one
 shingle; no words give fingerprint 0, linked like any other; repeated rows are
@@ -66,6 +71,8 @@ WIDE, SIMILARITY, BANDS, ROWS = 8, 0.8, 10, 4
 FAR, SURE = 0.22, 0.08
 #: Share of the pairs at the limit that meet again where a crowded bucket is dealt by sampled bits; what ties parts of a bucket.
 RECALL, LEADERS = 0.95, 64
+#: Shingles a part of a bucket holds, about, where sets are compared (two parts meet in a task).
+PART_SHINGLES = 1_000_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -448,11 +455,19 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     return _meet(placed, radius, 1, True).select("a", "b").distinct()
 
 
+def _dealt_by_bands(prints: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of each text once per band, with its bucket (choice, bits)."""
+    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col(f"k{i}").alias("bits")) for i in range(BANDS)))
+    return prints.select(*kept, F.explode(keys).alias("k")).select(*kept, "k.choice", "k.bits")
+
+
 def similar_links(prints: DataFrame, wide: int = WIDE, far: float = FAR) -> DataFrame:
-    """Distinct texts (node, f0 ..., k0 ...) to links (a, b, gap): the shortest that span each bucket."""
+    """Distinct texts (node, f0 ..., k0 ...) to links (a, b, gap): the shortest that span each bucket, or each part of a crowded one.
+
+    What these do not join is left to :func:`remaining_links`.
+    """
     cols, radius = fp_columns(wide), int(far * 64 * wide)
-    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col(f"k{i}").alias("bits")) for i in range(BANDS)))
-    dealt = prints.select("node", *cols, F.explode(keys).alias("k")).select("node", *cols, "k.choice", "k.bits")
+    dealt = _dealt_by_bands(prints, ["node", *cols])
     sized, most = _with_sizes(dealt)
     here = ["node", *cols, "choice", "bits"]
     placed = sized.where(F.col("n").isNull()).select(*here, F.lit(0).cast("long").alias("cell"))
@@ -484,15 +499,15 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def _set_batches(shingle: int, wide: int):
-    """Texts to fingerprints and band keys of their shingle sets."""
-    names = [*fp_columns(wide), *(f"k{i}" for i in range(BANDS))]
+    """Texts to fingerprints, band keys and sizes of their shingle sets."""
+    names = [*fp_columns(wide), *(f"k{i}" for i in range(BANDS)), "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.empty((batch.num_rows, len(names)), dtype=np.uint64)
             for i, text in enumerate(batch.column("text")):
                 hashes = shingle_set(text.as_py(), shingle)
-                found[i, :wide], found[i, wide:] = majority_bits(hashes, wide), band_keys(hashes)
+                found[i, :wide], found[i, wide:-1], found[i, -1] = majority_bits(hashes, wide), band_keys(hashes), len(hashes)
             words = np.ascontiguousarray(found.T).view(np.int64)
             yield pa.record_batch([batch.column("d"), batch.column("t"), *(pa.array(w) for w in words)], ["d", "t", *names])
 
@@ -526,21 +541,121 @@ def _row_key() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), F.xxhash64("text")
 
 
+def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node, n, shingles of every node of ``wanted``, which holds it ``n`` times."""
+    times = wanted.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    one = texts.join(times, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("n").alias("n"))
+    return checkpoint(one.mapInArrow(_pack_sets(shingle), "node long, n long, shingles binary"))
+
+
 def similar_enough(found: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of the links (a, b) those whose shingle sets are similar enough, by comparing the sets.
 
     ``texts`` has the node and text of a row of each end.
     """
     total = found.count()
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    one = texts.join(ends, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("n").alias("n"))
-    sets = checkpoint(one.mapInArrow(_pack_sets(shingle), "node long, n long, shingles binary"))
+    sets = _sets(texts, found.select(F.explode(F.array("a", "b")).alias("node")), shingle)
     side = lambda end, name: sets.select(F.col("node").alias(end), "n", F.col("shingles").alias(name))
     left = join_hot(found.select("a", "b"), side("a", "sa"), ["a"], "n", total, ["b"]).drop("n")
     both = join_hot(left, side("b", "sb"), ["b"], "n", total, ["a"]).drop("n")
     return both.select("a", "b", "sa", "sb").mapInArrow(_compare_sets(similarity), "a long, b long")
 
 
+def _link_sets(label: np.ndarray, lead: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (indices) that join all groups which similar enough pairs of a leading and any other text join."""
+    order = np.argsort(~lead, kind="stable")
+    label, size = label[order], np.array([len(sets[i]) for i in order])
+    _, code, held = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    shared = held[code] > 1  # a shingle of one text alone is in no intersection
+    ends = np.r_[0, np.cumsum(shared)][np.r_[0, np.cumsum(size)]]
+    code, mark = code[shared], np.zeros(len(held), dtype=bool)
+    found = []
+    for i in range(int(lead.sum())):
+        apart = label[i + 1 :] != label[i]
+        if not apart.any():
+            continue
+        mine = code[ends[i] : ends[i + 1]]
+        mark[mine] = True
+        upto = np.r_[0, np.cumsum(mark[code[ends[i + 1] :]])]
+        mark[mine] = False
+        both = np.diff(upto[ends[i + 1 :] - ends[i + 1]])
+        near = apart & (both >= similarity * (size[i] + size[i + 1 :] - both) - 1e-9)
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if label[j] != label[i]:
+                found.append((order[i], order[j]))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _link_cells(similarity: float):
+    """Rows sorted by cell to links between nodes; a cell may go on over several batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links_of(nodes: list, labels: list, leads: list, sets: list) -> pa.RecordBatch:
+            pairs = _link_sets(np.array(labels, dtype=np.int64), np.array(leads, dtype=bool), sets, similarity)
+            return pa.record_batch([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], ["a", "b"])
+
+        now, held = None, ([], [], [], [])
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("choice", "bits", "cell")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("node", "label", "lead")), batch.column("shingles"))
+            for key, (node, label, lead, packed) in zip(keys, rows):
+                if key != now and now is not None:
+                    yield links_of(*held)
+                    held = ([], [], [], [])
+                now = key
+                for column, value in zip(held, (node, label, lead, np.frombuffer(packed.as_py(), dtype=np.uint64))):
+                    column.append(value)
+        if now is not None:
+            yield links_of(*held)
+
+    return run
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table of buckets, sent to every task if its checked size allows it."""
+    return F.broadcast(df) if df.count() <= FEW_CROWDED else df
+
+
+def _cells_of_groups(named: DataFrame) -> DataFrame:
+    """Texts (node, label, size, k0 ...) to cells (node, label, choice, bits, cell, lead): any two of a bucket whose labels differ share a cell that one of them leads.
+
+    The texts of the bucket's largest group need not meet each other.  They are
+    cut to parts, the others too, and each part of the others leads a cell
+    with every later part and every part of the largest group.
+    """
+    dealt, bucket = _dealt_by_bands(named, ["node", "label", "size"]), ["choice", "bits"]
+    mixed = checkpoint(dealt.groupBy(*bucket).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*bucket))
+    rows = checkpoint(dealt.join(_few(mixed), bucket))
+    groups = rows.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    buckets = groups.groupBy(*bucket).agg(F.max(F.struct("n", "s", "label")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    parts = lambda n, s: F.ceil(F.greatest(2 * n / SPLIT, s / PART_SHINGLES, F.lit(1.0)))
+    cut = buckets.select(
+        *bucket, F.col("main.label").alias("main"),
+        parts(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("others"), parts(F.col("main.n"), F.col("main.s")).alias("mains"),
+    )
+    luck, others, every = F.xxhash64("node", "choice"), F.col("others"), F.col("others") + F.col("mains")
+    part = F.when(F.col("label") == F.col("main"), others + F.pmod(luck, F.col("mains"))).otherwise(F.pmod(luck, others))
+    placed = rows.join(_few(checkpoint(cut)), bucket).withColumn("part", part)
+    meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("part") >= others, others).otherwise(every) - 1)
+    placed = placed.select("node", "label", *bucket, "part", every.alias("every"), F.explode(meets).alias("other")).where("part <> other")
+    cell = F.least("part", "other") * F.col("every") + F.greatest("part", "other")
+    return placed.select("node", "label", *bucket, cell.alias("cell"), (F.col("part") < F.col("other")).alias("lead"))
+
+
+def remaining_links(named: DataFrame, texts_of, shingle: int, similarity: float) -> DataFrame:
+    """Texts (node, label, size, k0 ...) to links (a, b) that join all groups which similar enough texts of one bucket join.
+
+    Exact for any bucket, crowded or not: sets are compared, not fingerprints.
+    ``texts_of`` gives the node and text of a row of each of some nodes.
+    """
+    placed = checkpoint(_cells_of_groups(named))
+    sets = _sets(texts_of(placed.select("node").distinct()), placed.select("node"), shingle)
+    full = join_hot(placed, sets, ["node"], "n", placed.count(), ["choice", "cell"]).drop("n")
+    ordered = full.repartition("choice", "bits", "cell").sortWithinPartitions("choice", "bits", "cell")
+    return ordered.mapInArrow(_link_cells(similarity), "a long, b long").distinct()
+
+
 def near_copies(documents: DataFrame, shingle: int = 5, wide: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
     """d, t, node, label for every row: ``d`` and ``t`` tell rows by id and text, ``label`` tells groups of near copies."""
     d, t = _row_key()
@@ -553,12 +668,16 @@ def near_copies(documents: DataFrame, shingle: int = 5, wide: int = WIDE, simila
     found = checkpoint(similar_links(prints.select("node", *cols), wide))
     sure = F.col("gap") <= int(SURE * 64 * wide)
     doubtful = found.where(~sure)
+    texts_of = lambda nodes: keyed.join(prints.select("node", "d", "t").join(nodes, "node", "left_semi"), ["d", "t"]).select("node", "text")
     ends = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = keyed.join(prints.select("node", "d", "t").join(ends, "node", "left_semi"), ["d", "t"]).select("node", "text")
-    stand = found.where(sure).select("a", "b").unionByName(similar_enough(doubtful, texts, shingle, similarity))
-    labels = components(stand).join(prints.select("node", "n"), "node")
-    rows = printed.select("d", "t", "node")
-    return join_hot(rows, labels, ["node"], "n", printed.count(), ["d", "t"], "left").select("d", "t", "node", F.coalesce("label", "node").alias("label"))
+    stand = checkpoint(found.where(sure).select("a", "b").unionByName(similar_enough(doubtful, texts_of(ends), shingle, similarity)))
+    labels = components(stand)
+    named = prints.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = checkpoint(remaining_links(named, texts_of, shingle, similarity))
+    if not rest.isEmpty():
+        labels = components(stand.unionByName(rest))
+    rows, sized = printed.select("d", "t", "node"), labels.join(prints.select("node", "n"), "node")
+    return join_hot(rows, sized, ["node"], "n", printed.count(), ["d", "t"], "left").select("d", "t", "node", F.coalesce("label", "node").alias("label"))
 
 
 def keep_one_of_each(documents: DataFrame, shingle: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from canopyframe.llm import components, simhash, substring_dedup, topk
+from canopyframe.llm._shared import ESTIMATE_BITS, checkpoint
 
 DOCS = "doc_id long, text string, f0 string, node long, h string"
 VECS = "vec_id long, embedding array<float>, score string, rank int"
@@ -232,6 +233,28 @@ def test_near_copies_match_brute_force(spark, split, monkeypatch):
     assert sum(apart[i] == apart[j] for i, j in pairs) >= 0.97 * len(pairs)
 
 
+@pytest.mark.parametrize("split, part", [(simhash.SPLIT, simhash.PART_SHINGLES), (12, 2000)])
+def test_no_link_of_a_bucket_is_lost(spark, split, part, monkeypatch):
+    """Groups are exactly those that pairs of one bucket join, however crowded, and whether or not a shorter link was refused.
+
+    One page stands behind all texts, and many pairs lie just above or just below the limit.
+    """
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    monkeypatch.setattr(simhash, "PART_SHINGLES", part)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(50000)]
+    pages = [[r.choice(words) for _ in range(200)] for _ in range(3)]
+    texts = [" ".join(p + [r.choice(words) for _ in range(r.randint(21, 31))]) for p in pages for _ in range(70)]
+    df = spark.createDataFrame([(i, t, "", 0, "h") for i, t in enumerate(texts)], DOCS)
+    got = groups_of((x.d, x.label) for x in simhash.near_copies(df).collect())
+    sets, keys, label = [shingles_of(t) for t in texts], [set(enumerate(simhash.band_keys(simhash.shingle_set(t, 5)))) for t in texts], list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if keys[i] & keys[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(60):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups_of(enumerate(label)).values()))
+
+
 def test_simhash_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.digest(empty).count() == 0 and simhash.keep_one_of_each(empty).count() == 0
@@ -259,6 +282,15 @@ def test_keep_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(v) for v in group.values())
 
 
+def test_estimates_stay_small(spark):
+    """Tables that are joined and checkpointed in a loop: the estimated size does not double its digits each round."""
+    df = spark.range(3)
+    for _ in range(10):
+        df = checkpoint(df.join(df.select("id"), "id"))
+    assert df._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length() <= ESTIMATE_BITS
+    assert sorted(r.id for r in df.collect()) == [0, 1, 2]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 40)]
     star = [(100, i) for i in range(101, 160)]
