@@ -11,11 +11,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame_id, label, e (64 doubles), mask (e > 0), temp, ambient."""
+#: Bytes of frames in a task where a kernel takes milliseconds a frame, and most tasks.
+DEALT, MOST_TASKS = 128 << 10, 10_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of a scan in many small tasks: files of one row group are one task, whatever the number of cores."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, size // DEALT)))
+
+
+def frames(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """frame_id, label, e (64 doubles), mask (e > 0), temp, ambient; ``deal`` for slow kernels."""
     e = F.transform("embedding", lambda v: v.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     return (
-        table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), "label", e.alias("e"))
+        (dealt(rows) if deal else rows).select(F.col("vec_id").alias("frame_id"), "label", e.alias("e"))
         .withColumn("mask", F.transform("e", lambda v: v > 0)).withColumn("temp", F.transform("e", lambda v: 25 + 5 * v)).withColumn("ambient", 20 + F.col("label") / 10)
     )
 

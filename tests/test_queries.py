@@ -66,3 +66,11 @@ def test_frame_queries_do_not_shuffle(spark):
     for name in ("q_canopy_temperature", "q_threshold_ladder", "q_mask_iou", "q_boundary_f1", "q_shape_moments"):
         plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan, name
+
+
+def test_slow_kernels_run_on_all_cores(spark):
+    """A file of one row group is one task; frames that take milliseconds each are dealt."""
+    if not os.path.isdir(DATA):
+        pytest.skip("the driver's tables are absent")
+    for name in ("q_plant_height_rows", "q_canopy_geometry", "q_visible_surface_rows", "q_pot_rim_rows"):
+        assert catalog.QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name

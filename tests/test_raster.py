@@ -351,6 +351,29 @@ def test_visible_surface_matches_the_definition():
     np.testing.assert_allclose([got["visible_surface_area"], got["normal_support"], got["capped_fraction"]], want, rtol=1e-9)
 
 
+def test_visible_surface_across_tiles_and_along_lines():
+    r = np.random.default_rng(5)
+    ys, xs = np.indices((60, 50))
+    depth = 700 + 2.0 * xs - 1.0 * ys + r.normal(0, 1, ys.shape)
+    mask = (r.random(depth.shape) < 0.7) & (ys > 5) & (ys < 50) & (xs > 3)
+    mask[52, :] = True  # a line one pixel wide has no slope across
+    cfg = G.CanopyConfig(normal_reach=7)
+    got = G.visible_surface(depth, mask, (300.0, 310.0, 25.0, 30.0), cfg=cfg)
+    np.testing.assert_allclose([got["visible_surface_area"], got["normal_support"], got["capped_fraction"]], slow_surface(depth, mask, (300.0, 310.0, 25.0, 30.0), cfg), rtol=1e-9)
+    alone = np.zeros_like(mask)
+    alone[52, 3:40] = True
+    got = G.visible_surface(depth, alone, (300.0, 310.0, 25.0, 30.0), cfg=cfg)["visible_surface_area"]
+    assert G.visible_surface(depth, np.zeros_like(mask), (300.0, 310.0, 25.0, 30.0))["normal_support"] == 0.0 and got > 0
+
+
+def test_boxes_dilate_and_erode_by_the_definition():
+    mask = np.random.default_rng(4).random((12, 9)) < 0.4
+    padded = lambda fill: np.pad(mask, ((2, 2), (1, 1)), constant_values=fill)
+    windows = lambda fill: np.lib.stride_tricks.sliding_window_view(padded(fill), (5, 3))
+    element = np.ones((5, 3), dtype=bool)
+    assert (K.dilate(mask, element) == windows(False).any(axis=(2, 3))).all() and (K.erode(mask, element) == windows(True).all(axis=(2, 3))).all()
+
+
 def test_footprints_and_rotations():
     xs, ys, z = np.array([3.0, 9.0]), np.array([4.0, 1.0]), np.array([500.0, 800.0])
     np.testing.assert_allclose(G.footprint_areas(xs, ys, z, (600.0, 500.0, 5.0, 5.0)), z * z / 3e5)
