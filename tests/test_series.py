@@ -396,3 +396,18 @@ def test_bootstrap_queries_take_all_plants_and_draws(spark, tmp_path):
             r = boot[i, "all"]
             assert (r.boot_ci_low, r.boot_ci_high, r.p_positive) == _plain_difference(x[~side], x[side])
     assert sum(r.p_positive is not None for r in boot.values()) > 3
+
+
+def test_bootstrap_by_formula_computes_recurring_draws_once(spark):
+    """Series shorter and longer than the iterations, against every draw; no row is made per draw."""
+    r = np.random.default_rng(6)
+    series = {"a": r.normal(size=17), "b": r.normal(size=40), "c": r.normal(size=150), "d": r.normal(size=12), "short": r.normal(size=11)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "k string, i int, v double")
+    found = N.bootstrap_hash_ci(df, ["k"], "i", "v", iterations=100)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {x.k: x for x in found.collect()}
+    assert set(got) == set(series) - {"short"}
+    for k in got:
+        x, n = series[k], len(series[k])
+        means = [np.mean(np.concatenate([x[((7919 * i + 104729 * b + 13) + np.arange(12)) % n] for b in range(-(-n // 12))])[:n]) for i in range(100)]
+        np.testing.assert_allclose([got[k].n, got[k].ci_low, got[k].ci_high], [n, *np.quantile(means, [0.025, 0.975])], rtol=1e-9)
