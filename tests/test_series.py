@@ -411,3 +411,30 @@ def test_bootstrap_by_formula_computes_recurring_draws_once(spark):
         x, n = series[k], len(series[k])
         means = [np.mean(np.concatenate([x[((7919 * i + 104729 * b + 13) + np.arange(12)) % n] for b in range(-(-n // 12))])[:n]) for i in range(100)]
         np.testing.assert_allclose([got[k].n, got[k].ci_low, got[k].ci_high], [n, *np.quantile(means, [0.025, 0.975])], rtol=1e-9)
+
+
+def test_benjamini_hochberg_ranks_no_family_in_one_task(spark):
+    """Ties, zeros, ones and several families against the definition; the largest task holds a small share of a family."""
+    r = np.random.default_rng(8)
+    ps = np.concatenate([r.random(3000), r.random(500) ** 6, np.zeros(20), np.ones(30), np.full(40, 0.25), [1e-300]])
+    names = [None, "x", "y"]
+    df = spark.createDataFrame([(i, names[i % 3], float(v)) for i, v in enumerate(ps)] + [(9000 + i, "y", None) for i in range(50)], "i int, f string, p double")
+
+    def q(values):
+        order = np.argsort(values)
+        raw = values[order] * len(values) / np.arange(1, len(values) + 1)
+        out = np.empty(len(values))
+        out[order] = np.minimum(np.minimum.accumulate(raw[::-1])[::-1], 1.0)
+        return out
+
+    whole = {x.i: x.q for x in N.benjamini_hochberg(df.where("p is not null"), "p").collect()}
+    np.testing.assert_allclose([whole[i] for i in range(len(ps))], q(ps), rtol=1e-12)
+    found = N.benjamini_hochberg(df, "p", ["f"])
+    assert found.columns == ["i", "f", "p", "q"] and found.count() == len(ps) + 50
+    got = {x.i: x.q for x in found.collect()}
+    for k in (0, 1):
+        np.testing.assert_allclose([got[i] for i in range(k, len(ps), 3)], q(ps[k::3]), rtol=1e-12)
+    assert all(got[i] is None for i in range(2, len(ps), 3)) and got[9000] is None
+    plan = N.benjamini_hochberg(df, "p", poisoned=False)._jdf.queryExecution().optimizedPlan().toString()
+    rows = [line for line in plan.splitlines() if "Window" in line and "_p#" in line]
+    assert rows and all("windowspecdefinition(_b" in line for line in rows)
